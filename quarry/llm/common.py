@@ -85,3 +85,71 @@ def global_rank(df: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame
         .withColumn(rank, F.col("_off") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_mid", "_pid", "_off")
     )
+
+
+def with_struct(df: DataFrame, inputs: list[str], name: str, dtype, make) -> DataFrame:
+    """All columns of ``df`` and a new one, worked out batch by batch in Arrow.
+
+    ``make()`` runs once in each task and gives a function from the input columns to an Arrow array of
+    ``dtype``.  The other columns pass through untouched, whatever they are called.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    small_batches(session(df))
+    at = [df.columns.index(c) for c in inputs]
+    kind = to_arrow_type(dtype)
+
+    def run(batches):
+        f = make()
+        for b in batches:
+            new = f(*[b.column(i) for i in at])
+            new = new if isinstance(new, pa.Array) else pa.array(new, kind)
+            yield pa.RecordBatch.from_arrays([*b.columns, new], [*b.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, dtype)]))
+
+
+class WordHashes(dict):
+    """64-bit hash of each word, kept for words seen before; bounded."""
+
+    LIMIT = 1_000_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]):
+        import numpy as np
+
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mix64(x):
+    """A bijection on unsigned 64-bit integers that spreads every bit (the finaliser of splitmix64)."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_ODD = 0x9E3779B97F4A7C15
+
+
+def gram_hashes(words, k: int):
+    """64-bit hashes of all runs of k consecutive word hashes (none if there are fewer words)."""
+    import numpy as np
+
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out = np.full(n, k, np.uint64)
+    for j in range(k):
+        out = (out + words[j : j + n]) * np.uint64(_ODD)
+    return mix64(out)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, tokens
+from . import decontamination, mixing, near_dedup, sharding, tokens
 
 QUERIES = {
+    "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_hilbert_sharding": sharding.op3_hilbert_sharding,
     "op5_token_store": tokens.op5_token_store,
+    "op7_decontamination": decontamination.op7_decontamination,
 }
 ORACLES = {"op2_mixing": mixing.ORACLE}
