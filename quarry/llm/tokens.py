@@ -6,7 +6,8 @@ once; a document's recipe lists its chunks; the Merkle root over the list, and a
 root over each recipe file, let a reader prove what it has put together.
 
 Files below one folder, all Parquet:
-  chunks/    hash, n_ids, payload (zstd over little-endian unsigned 16-bit ids; 32-bit if the vocabulary needs it)
+  store/     kind=chunk: key (the hash), n_ids, payload (zstd over little-endian unsigned 16-bit ids; 32-bit if the
+             vocabulary needs it); kind=recipe: the recipes as encoded, not yet in order
   recipes/   part, doc_id, local_start, n_tokens, hashes, root, file_root (last row of a file); files are ranges of
              doc_id, ascending
   manifest/  part, base (ids before the file), n_docs, n_tokens, root
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_folder, n_partitions, shared_dir, small_batches, table
+from .common import n_partitions, shared_dir, small_batches, table
 
 END_ID = 2
 WINDOW, MEAN_BITS, MIN_IDS, MAX_IDS = 16, 9, 128, 2048
-CACHE_WORDS, CACHE_CHARS = 800_000, 32
+CACHE_WORDS, CACHE_CHARS, CACHE_TAILS = 800_000, 32, 20_000
 
 
 def default_tokenizer() -> str:
@@ -50,20 +52,59 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+#: ASCII signs that the pre-tokenizer keeps together after letters (an apostrophe may begin a contraction).
+SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^`{|}~'
+#: White space other than single spaces and line ends between other characters.
+_SPACES = ["  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
+
+
+def _latin(word: str) -> bool:
+    try:
+        return bool(word.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
+class _Known(dict):
+    """Ids of pieces, worked out on first sight.  ``space`` is what stands before each piece in its text."""
+
+    def __init__(self, encoder: Encoder, space: str):
+        super().__init__()
+        self.encoder, self.space, self.tails = encoder, space, {"": b""}
+
+    def __missing__(self, piece: str) -> bytes:
+        e = self.encoder
+        if piece[:1] == "\n" and len(piece) > 1:
+            ids = e.newline + e.starts[piece[1:]]
+        elif e.direct and (base := piece.rstrip(SIGNS)).isalpha() and (base.isascii() or _latin(base)):
+            tail = piece[len(base) :]
+            if tail:
+                if tail not in self.tails:
+                    if len(self.tails) > CACHE_TAILS:
+                        self.tails = {"": b""}
+                    self.tails[tail] = e.whole(tail)
+                ids = self[base] + self.tails[tail]
+            else:
+                word = self.space + base if base.isascii() else (self.space + base).encode().decode("latin-1")
+                ids = b"".join([e.packed[t.id] for t in e.bpe.tokenize(word.translate(e.byte_level))])
+        else:
+            ids = e.whole(self.space + piece)
+        if len(piece) <= CACHE_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts, by the tokenizers library, with the pieces between spaces kept.
 
-    The byte-level pre-tokenizer never joins a character other than white space with a single space after it,
-    so a text may be cut before each single space that has such characters on both sides, and the pieces
-    encoded alone.  A piece seen before comes from a bounded cache.  A new one that is a run of Latin letters
-    (a comma or full stop behind it is a piece of its own to the pre-tokenizer) goes straight to the library's
-    BPE model; any other goes through the library's whole encoder.
+    The byte-level pre-tokenizer never joins a character other than white space with a single space or line
+    end after it, so a text may be cut before each single space, and around each single line end, that
+    has such characters on both sides, and the pieces encoded alone.  A piece seen before comes from a
+    bounded cache.  A new one of Latin letters, with ASCII signs after them or not, is two units to the
+    pre-tokenizer, which go straight to the library's BPE model; any other goes through its whole encoder.
     """
 
-    _odd = re.compile(r"\s[ ]|[ ]\s|^[ ]|[ ]$")
     _cut = re.compile(r"(?<=\S)(?=[ ]\S)")
-    _letters = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
-    _byte_level = _byte_letters()
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -74,49 +115,31 @@ class Encoder:
         self.direct = all(parts) and not self.library.pre_tokenizer.add_prefix_space
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
-        self.starts: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}  # by piece without the space before it
-
-    def _new(self, pieces: list[str], space: str, into: dict[str, bytes]) -> dict[str, bytes]:
-        """Adds the pieces' ids to the cache; those of long pieces are returned instead."""
-        once, rest, width = {}, [], 4 if self.wide else 2
-        tail = {c: np.array(self.library.encode(c, add_special_tokens=False).ids, self.kind).tobytes() for c in ".,"}
-        for p in pieces:
-            base, end = (p[:-1], tail[p[-1]]) if p[-1:] in tail else (p, b"")
-            if not self.direct or len(base) > CACHE_CHARS or not self._letters.fullmatch(base):
-                rest.append(p)
-                continue
-            ids = into.get(base)
-            if ids is None:
-                word = (space + base).encode().decode("latin-1").translate(self._byte_level)
-                into[base] = ids = b"".join([t.id.to_bytes(width, "little") for t in self.bpe.tokenize(word)])
-            into[p] = ids + end
-        for p, e in zip(rest, self.library.encode_batch_fast([space + p for p in rest], add_special_tokens=False), strict=True):
-            (into if len(p) <= CACHE_CHARS else once)[p] = np.array(e.ids, self.kind).tobytes()
-        return once
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        self.byte_level = _byte_letters()
+        self.packed = [self.pack([i]) for i in range(self.library.get_vocab_size())]
+        self.newline = self.whole("\n")
+        self.starts, self.known = _Known(self, ""), _Known(self, " ")
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'I' if self.wide else 'H'}", *ids)
+
+    def whole(self, text: str) -> bytes:
+        return self.pack(self.library.encode(text, add_special_tokens=False).ids)
+
+    def encode(self, text: str) -> np.ndarray:
+        if not text:
+            return np.empty(0, self.kind)
         if len(self.known) + len(self.starts) > CACHE_WORDS:
             self.known.clear()
             self.starts.clear()
-        heads, rests = [], []
-        for t in texts:
-            if self._odd.search(t):
-                first, *rest = self._cut.split(t)
-                rest = [p[1:] for p in rest]
-            else:
-                first, *rest = t.split(" ")
-            heads.append(first)
-            rests.append(rest)
-        known, starts = self.known, self.starts
-        far = self._new(list({p for rest in rests for p in rest}.difference(known)), " ", known)
-        near = self._new(list(set(heads).difference(starts, [""])), "", starts)
-        get = known.__getitem__ if not far else lambda p: known[p] if p in known else far[p]
-        out = []
-        for first, rest in zip(heads, rests, strict=True):
-            head = starts[first] if first in starts else near.get(first, b"")
-            out.append(np.frombuffer(head + b"".join(map(get, rest)), self.kind))
-        return out
+        if text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, _SPACES)):
+            first, *rest = self._cut.split(text)
+            if first[:1] == "\n":  # such a key stands for a line end between two other characters
+                return np.frombuffer(self.whole(text), self.kind)
+            rest = [p[1:] for p in rest]
+        else:
+            first, *rest = text.replace("\n", " \n").split(" ")
+        return np.frombuffer(self.starts[first] + b"".join(map(self.known.__getitem__, rest)), self.kind)
 
 
 def _gear() -> np.ndarray:
@@ -201,27 +224,42 @@ def crc32_join(first: int, second: int, n_bytes: int) -> int:
     return first ^ second
 
 
-_CHUNK = pa.list_(pa.struct([("hash", pa.binary()), ("n_ids", pa.int32()), ("payload", pa.binary())]))
 _ENCODERS: dict[str, Encoder] = {}
+_ROW = ["kind", "key", "n_ids", "payload", "doc_id", "n_tokens", "hashes"]
+SEEN = 500_000
 
 
 def _encode(path: str, end_id: int):
+    """Chunk rows and recipe rows of each text.  A task sends a chunk once as long as it remembers it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _ENCODERS[path] if path in _ENCODERS else _ENCODERS.setdefault(path, Encoder(path))
-        pack = zstandard.ZstdCompressor(level=3)
-        end = np.array([end_id], enc.kind)
+        compress = zstandard.ZstdCompressor(level=1).compress
+        end, sha, seen = np.array([end_id], enc.kind), hashlib.sha256, set()
         for b in batches:
-            counts, chunks = [], []
-            for ids in enc.batch([t or "" for t in b.column(1).to_pylist()]):
-                ids = np.concatenate([ids, end])
-                own, at = [], 0
+            chunks, recipes = [], []
+            for text in b.column(1).to_pylist():
+                ids = np.concatenate([enc.encode(text), end])
+                raw, names, at = ids.tobytes(), [], 0
                 for to in cut_points(ids):
-                    raw = ids[at:to].tobytes()
-                    own.append({"hash": hashlib.sha256(raw).digest(), "n_ids": to - at, "payload": pack.compress(raw)})
+                    part = raw[at * ids.itemsize : to * ids.itemsize]
+                    names.append(name := sha(part).digest())
+                    if name not in seen:
+                        seen.add(name)
+                        chunks.append((name, to - at, compress(part)))
                     at = to
-                counts.append(len(ids))
-                chunks.append(own)
-            yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(chunks, _CHUNK)], ["doc_id", "n_tokens", "chunks"])
+                recipes.append((len(ids), names))
+            if len(seen) > SEEN:
+                seen.clear()
+            n, m, id_type = len(chunks), len(recipes), b.schema.field(0).type
+            name, size, payload = zip(*chunks, strict=True) if chunks else ((), (), ())
+            yield pa.record_batch(
+                [pa.array(["chunk"] * n, pa.string()), pa.array(name, pa.binary()), pa.array(size, pa.int64()), pa.array(payload, pa.binary()), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.binary()))], _ROW
+            )
+            keys = [sha(repr(i).encode() + merkle_root(r[1])).digest() for i, r in zip(b.column(0).to_pylist(), recipes, strict=True)]
+            yield pa.record_batch(
+                [pa.array(["recipe"] * m, pa.string()), pa.array(keys, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), b.column(0), pa.array([r[0] for r in recipes], pa.int64()), pa.array([r[1] for r in recipes], pa.list_(pa.binary()))], _ROW
+            )
 
     return run
 
@@ -272,25 +310,23 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
-    """(doc_id, text) -> the files described above.  The texts are encoded once; what that pass wrote is deleted at the end."""
+    """(doc_id, text) -> the files described above.  One pass encodes, one shuffle by name keeps one copy of each chunk."""
     spark = docs.sparkSession
     small_batches(spark)
-    raw = f"{path}/raw"
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    enc = docs.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id), f"doc_id {id_type}, n_tokens long, chunks array<struct<hash: binary, n_ids: int, payload: binary>>")
-    enc.write.option("compression", "zstd").parquet(raw)
-    enc = spark.read.schema(enc.schema).parquet(raw)
-    each = enc.select(F.explode("chunks").alias("c")).select("c.hash", "c.n_ids", "c.payload")
-    # one copy of each: equal hashes have equal payloads, and the partial aggregation drops most copies before the shuffle
-    each.groupBy("hash", "n_ids").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    ranged = enc.select("doc_id", "n_tokens", F.col("chunks.hash").alias("hashes")).repartitionByRange(n_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "hashes")
+    row = f"kind string, key binary, n_ids long, payload binary, doc_id {id_type}, n_tokens long, hashes array<binary>"
+    rows = docs.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id), row).repartition(n_partitions(spark), "kind", "key")
+    # rows of one key are equal; of recipes, repeated documents, the number is kept
+    once = rows.groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in _ROW[2:]], F.count("*").alias("copies"))
+    once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/store")
+    kept = spark.read.parquet(f"{path}/store/kind=recipe").select("doc_id", "n_tokens", "hashes", F.explode(F.sequence(F.lit(1), "copies")))
+    ranged = kept.select("doc_id", "n_tokens", "hashes").repartitionByRange(n_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "hashes")
     rec = ranged.mapInArrow(_recipes, f"part int, doc_id {id_type}, local_start long, n_tokens long, hashes array<binary>, root binary, file_root binary")
     rec.write.option("compression", "zstd").parquet(f"{path}/recipes")
     rec = spark.read.schema(rec.schema).parquet(f"{path}/recipes")
     sums = rec.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.max("file_root").alias("root"))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a recipe file
     sums.withColumn("base", F.coalesce(F.sum("n_tokens").over(upto), F.lit(0))).write.parquet(f"{path}/manifest")
-    drop_folder(spark, raw)
 
 
 def _digest(kind: str):
@@ -323,6 +359,13 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(out, pa.int64())], ["part", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
 
+_STORE = "key binary, n_ids long, payload binary"
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_STORE).parquet(f"{path}/store/kind=chunk").select(F.col("key").alias("hash"), "n_ids", "payload")
+
+
 def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files alone, every chunk and recipe verified.
 
@@ -330,8 +373,7 @@ def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFram
     go through the join, and the CRC of a document is put together from those of its chunks.
     """
     small_batches(spark)
-    chunks = spark.read.parquet(f"{path}/chunks")
-    digests = chunks.select("hash", "n_ids", "payload").mapInArrow(_digest("<u4" if wide else "<u2"), "hash binary, n_ids int, crc long")
+    digests = read_chunks(spark, path).mapInArrow(_digest("<u4" if wide else "<u2"), "hash binary, n_ids long, crc long")
     rec = spark.read.parquet(f"{path}/recipes")
     id_type = rec.schema["doc_id"].dataType.simpleString()
     keys = ["part", "doc_id", "local_start", "n_tokens", "root"]
@@ -354,7 +396,7 @@ def read_ids(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     rec = spark.read.parquet(f"{path}/recipes")
-    each = rec.select("part", "doc_id", "local_start", F.posexplode("hashes").alias("pos", "hash")).join(spark.read.parquet(f"{path}/chunks"), "hash")
+    each = rec.select("part", "doc_id", "local_start", F.posexplode("hashes").alias("pos", "hash")).join(read_chunks(spark, path), "hash")
     whole = each.groupBy("part", "doc_id", "local_start").agg(F.collect_list(F.struct("pos", "payload")).alias("chunks")).select("doc_id", "chunks")
     return whole.mapInArrow(join, f"doc_id {rec.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
