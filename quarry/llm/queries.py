@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_dedup, sharding, tokens
+from . import decontamination, language, mixing, near_dedup, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -10,5 +10,7 @@ QUERIES = {
     "op3_hilbert_sharding": sharding.op3_hilbert_sharding,
     "op5_token_store": tokens.op5_token_store,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_language_id": language.op10_language_id,
 }
 ORACLES = {"op2_mixing": mixing.ORACLE}
