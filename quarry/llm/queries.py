@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, near_dedup, sharding, tokens, toxicity
+from . import decontamination, language, mixing, near_dedup, preferences, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_hilbert_sharding": sharding.op3_hilbert_sharding,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op5_token_store": tokens.op5_token_store,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_preferences": preferences.op9_preferences,
     "op10_language_id": language.op10_language_id,
 }
 ORACLES = {"op2_mixing": mixing.ORACLE}
