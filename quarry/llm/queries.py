@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, near_dedup, preferences, quality, sharding, tokens, toxicity
+from . import decontamination, language, line_dedup, mixing, near_dedup, preferences, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_hilbert_sharding": sharding.op3_hilbert_sharding,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_token_store": tokens.op5_token_store,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_preferences": preferences.op9_preferences,
