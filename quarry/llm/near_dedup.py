@@ -4,10 +4,10 @@
    odd sketch: every (number, value) of the MinHash sample flips one of 1024 bits, so that the population
    count of two sketches' XOR tells the size of the samples' symmetric difference.
 2. Texts with equal sets are one representative.  Representatives that share a band are candidates.
-   Each is first held against one leader of its bucket (a star, not all pairs); components come from the links
-   that full sets confirm.  Members of a bucket that are still in different components are then held against
-   each other, until no candidate pair between two components is left untested.  Pairs inside a
-   component could not change the result and are never formed.
+   Each is first held against one leader of its bucket (a star, not all pairs), a few bands at a time;
+   components come from the links that full sets confirm.  Members of a bucket that are still in different
+   components are then held against each other, so that no candidate pair between two components is left
+   untested.  Pairs inside a component could not change the result and are never formed.
 3. A pair goes to the full sets only if sizes allow the similarity and the sketch's estimate is not
    below the threshold by more than MARGIN (over six standard errors).
 
@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, mix64, small_batches, stage, table
+from .common import WordHashes, drop_folder, gram_hashes, mix64, shared_dir, small_batches, stage, table
 
 SHINGLE, SIMILARITY = 5, 75  # words; per cent
 BANDS, ROWS = 40, 5
+STAR_ROUNDS = ((0, 3), (3, 10), (10, BANDS))
 SKETCH_BITS, MARGIN = 1024, 0.18
-_LONGS = SKETCH_BITS // 64
+_LONGS, _PARITY = SKETCH_BITS // 64, 32
 
 
 def shingle_set(text: str | None, known: WordHashes, k: int = SHINGLE) -> np.ndarray:
@@ -122,22 +123,33 @@ def most_bits(n: int) -> int:
     return int(SKETCH_BITS / 2 * (1 - np.exp(-4 * n * (1 - least) / SKETCH_BITS)))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Odd sketch of a whole set.  Two sets differ in at least as many elements as their sketches do in bits."""
+    at = (mix64(s ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * _PARITY)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * _PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set binary) of the named representatives: their sorted shingle hashes."""
+    """(id, n, set, parity) of the named representatives: size, sorted shingle hashes, and the odd sketch of the whole set.
+
+    The ids grow with the corpus, so both sides are shuffled at any size, never one of them broadcast.
+    """
 
     def run(batches):
         known = WordHashes()
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([shingle_set(t, known).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "set"])
+            sets = [shingle_set(t, known) for t in b.column(1).to_pylist()]
+            yield pa.record_batch(
+                [b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), _lists([parity(x) for x in sets])],
+                ["id", "n", "set", "parity"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(run, f"id {kind}, set binary")
+    return docs.select(F.col("doc_id").alias("id"), "text").join(ids.hint("shuffle_merge"), "id", "left_semi").mapInArrow(run, f"id {kind}, n long, set binary, parity array<bigint>")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stage(_sets(docs, ids))
 
     def run(batches):
         for b in batches:
@@ -148,7 +160,7 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * both >= SIMILARITY * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = pairs.schema["a"].dataType.simpleString()
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     return stage(both.select("a", "b", "set_a", "set_b").mapInArrow(run, f"a {kind}, b {kind}"))
@@ -179,38 +191,69 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
-    signed = stage(signatures(docs))
+    spark, key = docs.sparkSession, ["set_lo", "set_hi", "n_shingles"]
+    path = shared_dir(spark)
+    signatures(docs).write.parquet(path)
+    signed = spark.read.parquet(path)
+    kept = stage(signed.select("doc_id", *key))
     sets = signed.where("n_shingles > 0 and doc_id is not null")
-    key = ["set_lo", "set_hi", "n_shingles"]
     reps = stage(sets.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    drop_folder(spark, path)
     digest = reps.select("rep", F.col("n_shingles").alias("n"), *[F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(_LONGS)])
     side = lambda p: digest.select(F.col("rep").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in digest.columns[1:]])
 
-    in_band = reps.select(F.col("rep").alias("x"), F.explode("bands").alias("band"))
+    in_band = reps.select(F.col("rep").alias("x"), F.posexplode("bands").alias("no", "band"))
     shared = in_band.groupBy("band").agg(F.min("x").alias("leader"), F.count("*").alias("k")).where("k > 1")
     buckets = stage(in_band.join(shared.select("band", "leader"), "band"))
-
-    star = buckets.where("x <> leader").select(F.col("x").alias("a"), F.col("leader").alias("b")).distinct()
-    star = stage(star.join(side("a"), "a").join(side("b"), "b").where(may_link("a", "b")).select("a", "b"))
-    links = confirm(docs, star)
-    roots = components(links)
-    rest = stage(_between(buckets, roots, digest).join(star, ["a", "b"], "left_anti"))
+    shingles = stage(_sets(docs, buckets.select(F.col("x").alias("id")).distinct()))
+
+    # a few bands first: they bring most of a large group together, and later bands pass over what is together
+    roots = links = tested = None
+    for first, last in STAR_ROUNDS:
+        star = buckets.where((F.col("no") >= first) & (F.col("no") < last) & (F.col("x") != F.col("leader"))).select(F.col("x").alias("a"), F.col("leader").alias("b"))
+        star = _apart(star, roots).distinct()
+        star = star if tested is None else star.join(tested, ["a", "b"], "left_anti")
+        star = stage(star.join(side("a"), "a").join(side("b"), "b").where(may_link("a", "b")).select("a", "b"))
+        found = confirm(star, shingles)
+        links = found if links is None else links.union(found)
+        tested = star if tested is None else tested.union(star)
+        roots = components(links)
+    rest = stage(_between(buckets, roots, shingles).join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = confirm(docs, rest)
-        roots = components(links.union(more))
+        roots = components(links.union(confirm(rest, shingles)))
     of_set = reps.select(*key, "rep").join(roots, F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("root", "rep").alias("component"))
-    out = signed.select("doc_id", *key).join(of_set, key, "left")
+    out = kept.join(of_set, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _between(buckets: DataFrame, roots: DataFrame, digest: DataFrame) -> DataFrame:
-    """Distinct pairs (a > b) of a bucket whose components differ and that sizes and sketches leave possible."""
+def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The pairs whose ends aren't known to be in one component."""
+    if roots is None:
+        return pairs
+    of = lambda p: roots.select(F.col("id").alias(p), F.col("root").alias(f"{p}_root"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
+def _between(buckets: DataFrame, roots: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Distinct pairs (a > b) of a bucket whose components differ and whose sets may reach the similarity.
+
+    Sets x, y reach it only if they differ in at most (100 - SIMILARITY) / (100 + SIMILARITY) of |x| + |y| elements, and
+    they differ in no fewer than their odd sketches do in bits, so this filter loses nothing.
+    """
     of = buckets.join(roots, F.col("x") == F.col("id"), "left").select("band", "x", F.coalesce("root", "x").alias("root"))
     mixed = of.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    open_ = of.join(mixed, "band").join(digest.withColumnRenamed("rep", "x"), "x")
-    one = lambda p: open_.select("band", F.col("x").alias(p), F.col("root").alias(f"{p}_root"), *[F.col(c).alias(f"{p}_{c}") for c in digest.columns[1:]])
-    return one("a").join(one("b"), "band").where((F.col("a") > F.col("b")) & (F.col("a_root") != F.col("b_root")) & may_link("a", "b")).select("a", "b").distinct()
+    sketch = [F.element_at("parity", i + 1).alias(f"p{i}") for i in range(_PARITY)]
+    open_ = of.join(mixed, "band").join(shingles.select(F.col("id").alias("x"), "n", *sketch), "x")
+    one = lambda p: open_.select("band", *[F.col(c).alias(f"{p}_{c}") for c in open_.columns if c != "band"])
+    differ = F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0")))
+    for i in range(1, _PARITY):
+        differ = differ + F.bit_count(F.col(f"a_p{i}").bitwiseXOR(F.col(f"b_p{i}")))
+    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    near = (100 * small >= SIMILARITY * large) & ((100 + SIMILARITY) * differ <= (100 - SIMILARITY) * (F.col("a_n") + F.col("b_n")))
+    pairs = one("a").join(one("b"), "band").where((F.col("a_x") > F.col("b_x")) & (F.col("a_root") != F.col("b_root")) & near)
+    return pairs.select(F.col("a_x").alias("a"), F.col("b_x").alias("b")).distinct()
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
