@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, gram_hashes, table, with_struct
+from .common import WordHashes, gram_hashes, stage, table, with_struct
 
 MIN_WORDS, MAX_REPEAT = 50, 50  # words; per cent of words in repeated windows
 ALPHA, DELTA, GRID = 0.02, 0.05, 200
@@ -136,15 +136,15 @@ def fit_score(rows: list) -> np.ndarray | None:
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, name: str = "_quality") -> DataFrame:
-    """All of docs, the counted struct, and ``_base_failed``, ``_score``, ``_kept``."""
+    """doc_id, the stratum, the counted struct, ``_base_failed``, ``_score`` and ``_kept``: a row for each row of docs.
+
+    Every text is read once; what is counted is written, and labels meet those narrow rows, never the texts.
+    """
     spark = docs.sparkSession
-    measured = measure(docs, name)
+    measured = stage(measure(docs.select("doc_id", stratum, "text"), name).drop("text"))
     q = F.col(name)
     lab = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y is not null").distinct()
-    # only labelled texts are measured here; the labels are narrow, the join keeps their texts alone
-    known = measure(docs.select("doc_id", stratum, "text").join(lab, F.col("doc_id") == F.col("_id")), name).where(~base_failed(q))
-    from .common import stage
-
+    known = measured.where(~base_failed(q)).join(lab, F.col("doc_id") == F.col("_id"))
     known = stage(known.select("doc_id", F.col(stratum).alias("_stratum"), "_y", F.array(*_inputs(q)).alias("_x"), _half().alias("_h")))
     key = F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string")))
     sample = known.where("_h = 0").select(key.alias("_k"), "_x", "_y").orderBy("_k", "_y").limit(MAX_FIT).collect()
