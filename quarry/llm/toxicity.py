@@ -21,6 +21,7 @@ a row each; a null doc_id counts as held out; labels are null-safe.  Extra colum
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -115,9 +116,12 @@ class Model:
         self.beta, self.bias, self.landmarks = beta, bias, landmarks
         self.mean, self.scale, self.text = np.zeros(5), np.ones(5), np.array([0, 0, 0, 0, 0, -5.0])
 
-    def units(self, units: list[str]) -> np.ndarray:
-        owner, key, w = _normalised([MARK + u for u in units])
-        return np.bincount(owner, w * self.beta[key], len(units)) + self.bias
+    def units(self, units: list[str], batch: int = 4000) -> np.ndarray:
+        out = [np.empty(0)]
+        for i in range(0, len(units), batch):
+            owner, key, w = _normalised([MARK + u for u in units[i : i + batch]])
+            out.append(np.bincount(owner, w * self.beta[key], len(units[i : i + batch])) + self.bias)
+        return np.concatenate(out)
 
     def evidence(self, f: np.ndarray) -> np.ndarray:
         low = self.bias - 1
@@ -136,22 +140,37 @@ def _runs(unit: str) -> set[str]:
     return {u[i : i + n] for n in (4, 5, 6, 7, 8) for i in range(len(u) - n + 1)} | {u}
 
 
-def _toxic_runs(bags: list[set[str]], toxic: list[bool]) -> tuple[list[str], dict[str, float]]:
-    """Character runs that tell toxic texts: greedy cover, PASSES times over so that few depend on one run."""
-    plain, where = Counter(), defaultdict(set)
-    for i, (b, t) in enumerate(zip(bags, toxic, strict=True)):
-        own = set().union(*map(_runs, b)) if b else set()
-        if not t:
-            plain.update(own)
-        else:
-            for r in own:
-                where[r].add(i)
-    n_toxic, n_plain = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
+def _toxic_runs(units: list[str], bags: list[np.ndarray], toxic: np.ndarray, df: np.ndarray) -> list[str]:
+    """Character runs that tell toxic texts: greedy cover, PASSES times over so that few depend on one run.
+
+    Sums over units in a fixed table of hashed runs leave out most runs first (they bound a run's texts from above);
+    only those that remain are counted text by text.
+    """
+    n_toxic, n_plain = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     least, even = max(3, n_toxic // 200), n_toxic / n_plain
-    good = {r: w for r, w in where.items() if len(w) >= least and len(w) > LIFT * (plain[r] + 0.5) * even}
+    sums, slot = np.zeros((2, 1 << 22)), lambda r: zlib.crc32(r.encode()) & ((1 << 22) - 1)
+    for t in (0, 1):
+        for i in np.flatnonzero(df[t]).tolist():
+            sums[t][[slot(r) for r in _runs(units[i])]] += df[t][i]
+    likely = (sums[1] >= least) & (sums[1] > LIFT / 2 * even * sums[0])
+    runs_of = {}
+    for i in np.flatnonzero(df[1]).tolist():
+        if own := [r for r in _runs(units[i]) if likely[slot(r)]]:
+            runs_of[i] = own
+    where = defaultdict(set)
+    for n in np.flatnonzero(toxic).tolist():
+        for i in bags[n].tolist():
+            for r in runs_of.get(i, ()):
+                where[r].add(n)
+    where = {r: w for r, w in where.items() if len(w) >= least}
+    plain_runs = {i: own for i in np.flatnonzero(df[0]).tolist() if (own := [r for r in _runs(units[i]) if r in where])}
+    plain = Counter()
+    for n in np.flatnonzero(~toxic).tolist():
+        plain.update({r for i in bags[n].tolist() for r in plain_runs.get(i, ())})
+    good = {r: w for r, w in where.items() if len(w) > LIFT * (plain[r] + 0.5) * even}
     chosen: list[str] = []
     for _ in range(PASSES):
-        left, pool = {i for i, t in enumerate(toxic) if t}, good
+        left, pool = set(np.flatnonzero(toxic).tolist()), good
         while len(chosen) < MAX_TOXIC_RUNS and pool:
             gain = {r: len(w & left) - COST * plain[r] * even for r, w in pool.items()}
             best = max(pool, key=lambda r: (gain[r], len(r), r))
@@ -161,7 +180,7 @@ def _toxic_runs(bags: list[set[str]], toxic: list[bool]) -> tuple[list[str], dic
             left -= good[best]
             pool = {r: w for r, w in pool.items() if gain[r] >= least and r != best}
         good = {r: w for r, w in good.items() if not any(r in c or c in r for c in chosen)}
-    return chosen, {r: plain[r] for r in chosen}
+    return chosen
 
 
 def _squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
@@ -193,59 +212,58 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def fit(texts: list[str], toxic: list[bool]) -> Model:
-    bags = [units_of(t) for t in texts]
-    runs, _ = _toxic_runs(bags, toxic)
+    number: dict[str, int] = {}
+    bags = [np.array(sorted(number.setdefault(u, len(number)) for u in units_of(t)), np.int64) for t in texts]
+    units, truth = list(number), np.array(toxic, bool)
+    df = np.zeros((2, len(units)), np.int64)
+    for b, t in zip(bags, toxic, strict=True):
+        df[int(t)][b] += 1
+    runs = _toxic_runs(units, bags, truth, df) if truth.any() else []
     if not runs:
         return Model(np.zeros(1 << 18), -1.0, [])
-    df = [Counter(), Counter()]
-    for b, t in zip(bags, toxic, strict=True):
-        df[t].update(b)
-    even = max(1, sum(toxic)) / max(1, len(toxic) - sum(toxic))
-    tells = {u for u, n in df[1].items() if n > LIFT * df[0][u] * even and any(r in MARK + u for r in runs)}
+    even = max(1, truth.sum()) / max(1, (~truth).sum())
+    tells = {units[i] for i in np.flatnonzero(df[1] > LIFT * df[0] * even).tolist() if any(r in MARK + units[i] for r in runs)}
     positive = sorted(tells)
-    plain = sorted(df[0].keys() - tells, key=hash_of)
+    plain = sorted((units[i] for i in np.flatnonzero(df[0]).tolist() if units[i] not in tells), key=hash_of)
     landmarks = [*sorted(runs), *[MARK + u for u in plain[:MAX_PLAIN]]]
     whole = [r for r in sorted({r.lstrip(MARK) for r in runs}) if r in tells]
-    grown = sorted({r[:i] + c + r[i:] for r in whole for i in range(1, len(r)) for c in "xe"} - df[0].keys())
+    grown = sorted({g for r in whole for i in range(1, len(r)) for c in "xe" if (g := r[:i] + c + r[i:]) not in number})
     owner, key, w = _normalised(landmarks)
-    table = np.zeros((len(landmarks), 1 << 18))
-    table[owner, key] = w
-    values, vectors = np.linalg.eigh(table @ table.T)
-    root = vectors / np.sqrt(np.maximum(values, 1e-4))  # K^(-1/2) up to a rotation
-    used = np.flatnonzero(table.any(axis=0))
+    used = np.unique(key)
     small = np.zeros(1 << 18, np.int64)
     small[used] = np.arange(len(used))
-    compact = np.ascontiguousarray(table[:, used].T)
-    del table
+    compact = np.zeros((len(used), len(landmarks)))
+    compact[small[key], owner] = w
+    values, vectors = np.linalg.eigh(compact.T @ compact)
+    root = vectors / np.sqrt(np.maximum(values, 1e-4))  # K^(-1/2) up to a rotation
 
-    def nystroem(units: list[str]) -> np.ndarray:
-        owner, key, w = _normalised([MARK + u for u in units])
+    def nystroem(part: list[str]) -> np.ndarray:
+        owner, key, w = _normalised([MARK + u for u in part])
         at = np.flatnonzero(np.isin(key, used))
-        k = np.zeros((len(units), len(landmarks)))
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            rows, first = np.unique(owner[part], return_index=True)
-            k[rows] += np.add.reduceat(compact[small[key[part]]] * w[part][:, None], first, axis=0)
-        return np.hstack([k @ root, np.ones((len(units), 1))])
-
-    n_copies = np.array([float(df[1][u]) for u in positive] + [1.0] * len(grown))
+        k = np.zeros((len(part), len(landmarks)))
+        for i in range(0, len(at), 20_000):
+            here = at[i : i + 20_000]
+            rows, first = np.unique(owner[here], return_index=True)
+            k[rows] += np.add.reduceat(compact[small[key[here]]] * w[here][:, None], first, axis=0)
+        return np.hstack([k @ root, np.ones((len(part), 1))])
+
+    features = lambda part: np.vstack([nystroem(part[i : i + 4000]) for i in range(0, len(part), 4000)])
+    n_copies = np.array([float(df[1][number[u]]) for u in positive] + [1.0] * len(grown))
     negative = plain[:NEGATIVES]
     for _ in range(3):
-        units = positive + grown + negative
         y = np.array([1.0] * len(n_copies) + [-1.0] * len(negative))
         weight = np.concatenate([n_copies / n_copies.sum(), np.full(len(negative), 1 / max(1, len(negative)))])
-        solved = _squared_hinge(nystroem(units), y, weight)
+        solved = _squared_hinge(features(positive + grown + negative), y, weight)
         beta = np.zeros(1 << 18)
         beta[used] = compact @ (root @ solved[:-1])
         model = Model(beta, float(solved[-1]), landmarks)
         f = model.units(plain)
         hard = [plain[i] for i in np.argsort(-f, kind="stable")[:3000]]
         negative = sorted(set(negative) | set(hard), key=hash_of)
-    every = sorted(set().union(*bags))
-    f = dict(zip(every, model.units(every).tolist(), strict=True))
-    x = np.array([model.evidence(np.array([f[u] for u in b])) for b in bags])
+    f = model.units(units)
+    x = np.array([model.evidence(f[b]) for b in bags])
     model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    model.text = _logistic((x - model.mean) / model.scale, np.array(toxic, float))
+    model.text = _logistic((x - model.mean) / model.scale, truth.astype(float))
     return model
 
 
@@ -281,9 +299,7 @@ def annotate(docs: DataFrame, model: Model, name: str = "_toxicity") -> DataFram
                 known = {}
             bags = [units_of(t) for t in texts.to_pylist()]
             new = list({u for b in bags for u in b if u not in known})
-            for i in range(0, len(new), 4000):
-                part = new[i : i + 4000]
-                known.update(zip(part, model.units(part).tolist(), strict=True))
+            known.update(zip(new, model.units(new).tolist(), strict=True))
             return pa.array([model.score(np.fromiter(map(known.__getitem__, b), float, len(b))) for b in bags], pa.float64())
 
         return f
