@@ -213,15 +213,18 @@ def _times(m: list[int], v: int) -> int:
 _SHIFTS = _shift_tables()
 
 
-def crc32_join(first: int, second: int, n_bytes: int) -> int:
-    """CRC-32 of two strings one after the other, from their own CRCs and the second's length."""
-    k = 0
-    while n_bytes:
-        if n_bytes & 1:
-            first = _times(_SHIFTS[k], first)
-        n_bytes >>= 1
-        k += 1
-    return first ^ second
+def crc32_shift(crcs: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """The CRC-32 states after so many zero bytes more, each; crc(a + b) is crc32_shift(crc(a), len(b)) ^ crc(b)."""
+    out, left, k = crcs.astype(np.uint32), n_bytes.astype(np.int64), 0
+    while left.any():
+        at = np.flatnonzero(left & 1)
+        if len(at):
+            x, y = out[at], np.zeros(len(at), np.uint32)
+            for i, image in enumerate(_SHIFTS[k]):
+                y ^= ((x >> np.uint32(i)) & np.uint32(1)) * np.uint32(image)
+            out[at] = y
+        left, k = left >> 1, k + 1
+    return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -347,16 +350,25 @@ def _digest(kind: str):
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for n, root, chunks in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
-            chunks = sorted(chunks, key=lambda c: c["pos"])
-            if merkle_root([c["hash"] for c in chunks]) != root or sum(c["n_ids"] for c in chunks) != n:
+        if not b.num_rows:
+            continue
+        lists = b.column(5)
+        counts = np.diff(lists.offsets.to_numpy())
+        parts = {f: lists.flatten().field(f) for f in ("pos", "n_ids", "crc", "hash")}
+        row = np.repeat(np.arange(b.num_rows), counts)
+        order = np.lexsort((parts["pos"].to_numpy(), row))
+        first = np.concatenate([[0], np.cumsum(counts)])
+        upto = np.cumsum(parts["n_ids"].to_numpy()[order])
+        ends = upto[first[1:] - 1]
+        if (np.diff(np.concatenate([[0], ends])) != b.column(3).to_numpy()).any():
+            raise ValueError("a recipe's chunks don't sum to its length")
+        crcs = crc32_shift(parts["crc"].to_numpy()[order], 4 * (ends[row] - upto))
+        hashes = parts["hash"].take(pa.array(order)).to_pylist()
+        for i, root in enumerate(b.column(4).to_pylist()):
+            if merkle_root(hashes[first[i] : first[i + 1]]) != root:
                 raise ValueError("a recipe doesn't match its Merkle root")
-            crc = 0
-            for c in chunks:
-                crc = crc32_join(crc, c["crc"], 4 * c["n_ids"])
-            out.append(crc)
-        yield pa.record_batch([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(out, pa.int64())], ["part", "doc_id", "local_start", "n_tokens", "ids_crc32"])
+        whole = np.bitwise_xor.reduceat(crcs, first[:-1]).astype(np.int64)
+        yield pa.record_batch([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(whole)], ["part", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
 
 _STORE = "key binary, n_ids long, payload binary"
