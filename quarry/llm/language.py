@@ -128,7 +128,8 @@ def train(docs: DataFrame) -> Model:
     first = F.row_number().over(Window.partitionBy("lang").orderBy("_k", "doc_id"))
     # a limit by rank: Spark drops rows beyond it in each task before the shuffle, so no language gathers in one
     ids = learn.select("doc_id", "lang", key.alias("_k")).withColumn("_r", first).where(F.col("_r") <= PER_LANGUAGE).select(F.col("doc_id").alias("_id"), "_k")
-    rows = learn.join(ids, F.col("doc_id") == F.col("_id")).select("_k", "lang", "text").collect()
+    # PER_LANGUAGE narrow rows for each language name: small enough for a broadcast, and no text is shuffled
+    rows = learn.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("_k", "lang", "text").collect()
     rows.sort(key=lambda r: (r["_k"], r["lang"], r["text"]))
     return fit([(r["lang"], r["text"]) for r in rows], df, n)
 
