@@ -114,7 +114,7 @@ def with_struct(df: DataFrame, inputs: list[str], name: str, dtype, make) -> Dat
 class WordHashes(dict):
     """64-bit hash of each word, kept for words seen before; bounded."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
