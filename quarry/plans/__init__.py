@@ -1 +1,3 @@
+"""Registered query plans; importing the modules fills the catalog."""
 
+from . import graph, memory, ranking, relational, sources, text  # noqa: F401
