@@ -41,11 +41,11 @@ def publish(df: DataFrame, root: str, expected_rows: int | None = None) -> str:
     n = spark.read.parquet(f"{root}/{slot}").count()
     if expected_rows is not None and n != expected_rows:
         raise ValueError(f"slot {slot} has {n} rows, {expected_rows} were expected; the pointer stays")
-    fs, tmp = _fs(spark, f"{root}/_pointer.tmp")
+    fs, tmp = _fs(spark, f"{root}/CURRENT.tmp")
     out = fs.create(tmp, True)
     out.write(bytearray(json.dumps({"slot": slot, "rows": n}).encode()))
     out.close()
-    _, at = _fs(spark, f"{root}/_pointer")
+    _, at = _fs(spark, f"{root}/CURRENT")
     if fs.exists(at):
         fs.delete(at, False)
     fs.rename(tmp, at)
@@ -53,10 +53,10 @@ def publish(df: DataFrame, root: str, expected_rows: int | None = None) -> str:
 
 
 def current_slot(spark: SparkSession, root: str) -> str | None:
-    fs, at = _fs(spark, f"{root}/_pointer")
+    fs, at = _fs(spark, f"{root}/CURRENT")
     if not fs.exists(at):
         return None
-    return json.loads(spark.read.text(f"{root}/_pointer", wholetext=True).first()[0])["slot"]
+    return json.loads(spark.read.text(f"{root}/CURRENT", wholetext=True).first()[0])["slot"]
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
@@ -70,7 +70,7 @@ def rollback(spark: SparkSession, root: str) -> str:
     """Point at the other slot again."""
     live = current_slot(spark, root)
     slot = "b" if live == "a" else "a"
-    fs, at = _fs(spark, f"{root}/_pointer")
+    fs, at = _fs(spark, f"{root}/CURRENT")
     n = spark.read.parquet(f"{root}/{slot}").count()
     fs.delete(at, False)
     out = fs.create(at, True)
