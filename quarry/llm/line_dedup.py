@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, stage, table
+from .common import WORD, global_rank, stage, table
 
 MIN_WORDS, BLOCK = 8, 256
 
@@ -69,8 +69,9 @@ def neighbourhood(words: Column) -> Column:
 def half_keys(words: Column) -> Column:
     """Hashes of the first and the last half, for the text's own length and one word more or less."""
     n = F.size(words)
-    first = [F.floor((n + d) / 2).cast("int") for d in (-1, 0, 1)]
-    last = [n + d - F.floor((n + d) / 2).cast("int") for d in (-1, 0, 1)]
+    # for a length of n - 1, n and n + 1, the halves are cut at one of two places
+    first = [F.floor((n + d) / 2).cast("int") for d in (-1, 1)]
+    last = [n + d - F.floor((n + d) / 2).cast("int") for d in (-1, 1)]
     head = [F.xxhash64(F.lit(1), F.slice(words, F.lit(1), h)) for h in first]
     tail = [F.xxhash64(F.lit(2), F.slice(words, n - t + 1, t)) for t in last]
     return F.array_distinct(F.array(*head, *tail))
@@ -113,13 +114,14 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     whole = docs.select("doc_id", "text").join(which.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_doc")))
     picked = whole.select("doc_id", "_lines", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("_lines", F.col("line_no")))
     picked = picked.select(at.alias("at"), F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("words"))
-    near = stage(picked.dropDuplicates(["at"]))
-    keyed = near.select("at", F.explode(neighbourhood(F.col("words"))).alias("key"))
-    first = keyed.groupBy("key").agg(F.min("at").alias("to"), F.count("*").alias("n")).where("n > 1").select("key", "to")
+    # numbers in order of first occurrence stand for the texts: plain longs aggregate by hash, without sorting
+    near = stage(global_rank(picked.dropDuplicates(["at"]), ["at"], "id"))
+    keyed = near.select("id", F.explode(neighbourhood(F.col("words"))).alias("key"))
+    first = keyed.groupBy("key").agg(F.min("id").alias("to_id"), F.count("*").alias("n")).where("n > 1").select("key", "to_id")
     # a text's earliest partner: the smallest first occurrence over its keys
-    found = keyed.join(first, "key").where("to < at").groupBy("at").agg(F.min("to").alias("to"))
-    mine, theirs = near.withColumnRenamed("words", "a"), near.select(F.col("at").alias("to"), F.col("words").alias("b"))
-    partner = stage(found.join(mine, "at").join(theirs, "to").where(within_one(F.col("a"), F.col("b"))).select("at", "to"))
+    found = keyed.join(first, "key").where("to_id < id").groupBy("id").agg(F.min("to_id").alias("to_id"))
+    mine, theirs = near.withColumnRenamed("words", "a"), near.select(F.col("id").alias("to_id"), F.col("at").alias("to"), F.col("words").alias("b"))
+    partner = stage(found.join(mine, "id").join(theirs, "to_id").where(within_one(F.col("a"), F.col("b"))).select("at", "to"))
     of_text = texts.join(partner, "at", "left").select("h1", "h2", "at", F.coalesce("to", "at").alias("to"))
     out = narrow.drop("halves").join(of_text, ["h1", "h2"])
     own = F.col("at") == at
