@@ -42,10 +42,10 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of whole long texts stay bounded: few rows, few bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -87,6 +87,21 @@ def global_rank(df: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame
     )
 
 
+def give_back() -> None:
+    """Workers live on between tasks: let what a task has freed go back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def with_struct(df: DataFrame, inputs: list[str], name: str, dtype, make) -> DataFrame:
     """All columns of ``df`` and a new one, worked out batch by batch in Arrow.
 
@@ -107,6 +122,8 @@ def with_struct(df: DataFrame, inputs: list[str], name: str, dtype, make) -> Dat
             new = f(*[b.column(i) for i in at])
             new = new if isinstance(new, pa.Array) else pa.array(new, kind)
             yield pa.RecordBatch.from_arrays([*b.columns, new], [*b.schema.names, name])
+        del f
+        give_back()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, dtype)]))
 

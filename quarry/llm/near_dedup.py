@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, drop_folder, gram_hashes, mix64, shared_dir, small_batches, stage, table
+from .common import WordHashes, drop_folder, give_back, gram_hashes, mix64, shared_dir, small_batches, stage, table
 
 SHINGLE, SIMILARITY = 5, 75  # words; per cent
 BANDS, ROWS = 40, 5
@@ -101,6 +101,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                 [b.column(0), pa.array(sizes, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), _lists(keys), _lists(sketches)],
                 ["doc_id", "n_shingles", "set_lo", "set_hi", "bands", "sketch"],
             )
+        del known
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNED.format(id=docs.schema["doc_id"].dataType.simpleString()))
 

@@ -36,7 +36,7 @@ SPAN, DECAY, UNIT = 6, 0.6, 24
 MAX_TEXTS = 2000  # labelled texts of each class that training reads
 MAX_TOXIC_RUNS, MAX_PLAIN, NEGATIVES = 96, 48, 20_000
 PASSES, LIFT, COST = 12, 5, 4  # a run tells toxic texts if it is so many times as frequent there
-CACHE = 400_000
+CACHE = 120_000
 MARK = "^"
 _CODES = 64
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
