@@ -19,6 +19,7 @@ columns are read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import struct
@@ -36,7 +37,7 @@ from .common import n_partitions, shared_dir, small_batches, table
 
 END_ID = 2
 WINDOW, MEAN_BITS, MIN_IDS, MAX_IDS = 16, 9, 128, 2048
-CACHE_WORDS, CACHE_CHARS, CACHE_TAILS = 800_000, 32, 20_000
+CACHE_WORDS, CACHE_CHARS, CACHE_TAILS = 500_000, 32, 20_000
 
 
 def default_tokenizer() -> str:
@@ -71,22 +72,25 @@ class _Known(dict):
     def __init__(self, encoder: Encoder, space: str):
         super().__init__()
         self.encoder, self.space, self.tails = encoder, space, {"": b""}
+        self.lead = space.translate(encoder.byte_level)
+        self.tokenize, self.packed = encoder.bpe.tokenize, encoder.packed
 
     def __missing__(self, piece: str) -> bytes:
         e = self.encoder
-        if piece[:1] == "\n" and len(piece) > 1:
+        if piece.isalpha() and e.direct and (piece.isascii() or _latin(piece)):
+            # ASCII letters stand for themselves in the byte-level alphabet
+            word = self.lead + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(e.byte_level))
+            packed = self.packed
+            ids = b"".join([packed[t.id] for t in self.tokenize(word)])
+        elif piece[:1] == "\n" and len(piece) > 1:
             ids = e.newline + e.starts[piece[1:]]
         elif e.direct and (base := piece.rstrip(SIGNS)).isalpha() and (base.isascii() or _latin(base)):
             tail = piece[len(base) :]
-            if tail:
-                if tail not in self.tails:
-                    if len(self.tails) > CACHE_TAILS:
-                        self.tails = {"": b""}
-                    self.tails[tail] = e.whole(tail)
-                ids = self[base] + self.tails[tail]
-            else:
-                word = self.space + base if base.isascii() else (self.space + base).encode().decode("latin-1")
-                ids = b"".join([e.packed[t.id] for t in e.bpe.tokenize(word.translate(e.byte_level))])
+            if tail not in self.tails:
+                if len(self.tails) > CACHE_TAILS:
+                    self.tails = {"": b""}
+                self.tails[tail] = e.whole(tail)
+            ids = self[base] + self.tails[tail]
         else:
             ids = e.whole(self.space + piece)
         if len(piece) <= CACHE_CHARS:
@@ -239,6 +243,7 @@ def _encode(path: str, end_id: int):
         enc = _ENCODERS[path] if path in _ENCODERS else _ENCODERS.setdefault(path, Encoder(path))
         compress = zstandard.ZstdCompressor(level=1).compress
         end, sha, seen = np.array([end_id], enc.kind), hashlib.sha256, set()
+        gc.disable()  # millions of small tokens, and no cycles among them
         for b in batches:
             chunks, recipes = [], []
             for text in b.column(1).to_pylist():
@@ -263,6 +268,7 @@ def _encode(path: str, end_id: int):
             yield pa.record_batch(
                 [pa.array(["recipe"] * m, pa.string()), pa.array(keys, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), b.column(0), pa.array([r[0] for r in recipes], pa.int64()), pa.array([r[1] for r in recipes], pa.list_(pa.binary()))], _ROW
             )
+        gc.enable()
 
     return run
 
@@ -322,7 +328,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     # rows of one key are equal; of recipes, repeated documents, the number is kept
     once = rows.groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in _ROW[2:]], F.count("*").alias("copies"))
     once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/store")
-    kept = spark.read.parquet(f"{path}/store/kind=recipe").select("doc_id", "n_tokens", "hashes", F.explode(F.sequence(F.lit(1), "copies")))
+    kept = spark.read.schema(once.schema).parquet(f"{path}/store").where("kind = 'recipe'").select("doc_id", "n_tokens", "hashes", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     ranged = kept.select("doc_id", "n_tokens", "hashes").repartitionByRange(n_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "hashes")
     rec = ranged.mapInArrow(_recipes, f"part int, doc_id {id_type}, local_start long, n_tokens long, hashes array<binary>, root binary, file_root binary")
     rec.write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -371,11 +377,11 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(whole)], ["part", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
 
-_STORE = "key binary, n_ids long, payload binary"
+_STORE = "key binary, n_ids long, payload binary, kind string"
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_STORE).parquet(f"{path}/store/kind=chunk").select(F.col("key").alias("hash"), "n_ids", "payload")
+    return spark.read.schema(_STORE).parquet(f"{path}/store").where("kind = 'chunk'").select(F.col("key").alias("hash"), "n_ids", "payload")
 
 
 def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
