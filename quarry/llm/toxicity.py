@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, with_struct
+from .common import give_back, table, with_struct
 
 SPAN, DECAY, UNIT = 6, 0.6, 24
 MAX_TEXTS = 2000  # labelled texts of each class that training reads
@@ -148,7 +148,7 @@ def _toxic_runs(units: list[str], bags: list[np.ndarray], toxic: np.ndarray, df:
     """
     n_toxic, n_plain = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     least, even = max(3, n_toxic // 200), n_toxic / n_plain
-    sums, slot = np.zeros((2, 1 << 22)), lambda r: zlib.crc32(r.encode()) & ((1 << 22) - 1)
+    sums, slot = np.zeros((2, 1 << 22), np.float32), lambda r: zlib.crc32(r.encode()) & ((1 << 22) - 1)
     for t in (0, 1):
         for i in np.flatnonzero(df[t]).tolist():
             sums[t][[slot(r) for r in _runs(units[i])]] += df[t][i]
@@ -163,6 +163,7 @@ def _toxic_runs(units: list[str], bags: list[np.ndarray], toxic: np.ndarray, df:
             for r in runs_of.get(i, ()):
                 where[r].add(n)
     where = {r: w for r, w in where.items() if len(w) >= least}
+    del runs_of, sums, likely
     plain_runs = {i: own for i in np.flatnonzero(df[0]).tolist() if (own := [r for r in _runs(units[i]) if r in where])}
     plain = Counter()
     for n in np.flatnonzero(~toxic).tolist():
@@ -189,9 +190,14 @@ def _squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
     eye = np.eye(z.shape[1]) * ridge * weight.sum()
     eye[-1, -1] = 1e-9
     for _ in range(30):
-        on = y * (z @ w) < 1
-        zo, so = z[on], weight[on][:, None]
-        new = np.linalg.solve(zo.T @ (zo * so) + eye, zo.T @ (y[on] * weight[on]))
+        on = np.flatnonzero(y * (z @ w) < 1)
+        gram, target = eye.copy(), np.zeros(z.shape[1])
+        for i in range(0, len(on), 4000):  # a few rows at a time in double precision
+            here = on[i : i + 4000]
+            zo = z[here].astype(float)
+            gram += zo.T @ (zo * weight[here][:, None])
+            target += zo.T @ (y[here] * weight[here])
+        new = np.linalg.solve(gram, target)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -219,6 +225,7 @@ def fit(texts: list[str], toxic: list[bool]) -> Model:
     for b, t in zip(bags, toxic, strict=True):
         df[int(t)][b] += 1
     runs = _toxic_runs(units, bags, truth, df) if truth.any() else []
+    give_back()
     if not runs:
         return Model(np.zeros(1 << 18), -1.0, [])
     even = max(1, truth.sum()) / max(1, (~truth).sum())
@@ -245,7 +252,7 @@ def fit(texts: list[str], toxic: list[bool]) -> Model:
             here = at[i : i + 20_000]
             rows, first = np.unique(owner[here], return_index=True)
             k[rows] += np.add.reduceat(compact[small[key[here]]] * w[here][:, None], first, axis=0)
-        return np.hstack([k @ root, np.ones((len(part), 1))])
+        return np.hstack([k @ root, np.ones((len(part), 1))]).astype(np.float32)
 
     features = lambda part: np.vstack([nystroem(part[i : i + 4000]) for i in range(0, len(part), 4000)])
     n_copies = np.array([float(df[1][number[u]]) for u in positive] + [1.0] * len(grown))
@@ -309,7 +316,12 @@ def annotate(docs: DataFrame, model: Model, name: str = "_toxicity") -> DataFram
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = labelled_sample(docs, labels)
-    return fit([t for t, _ in sample], [y for _, y in sample])
+    texts, toxic = [t for t, _ in sample], [y for _, y in sample]
+    del sample
+    model = fit(texts, toxic)
+    del texts
+    give_back()
+    return model
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
