@@ -164,14 +164,19 @@ def fuse(semantic_rank: Column, lexical: Column, semantic: Column, top_semantic:
 
 def shingles(text: Column) -> Column:
     """Distinct 6-character runs of the lexical form (3 when short); long texts are sampled at four places of 1024."""
-    n = X.lexical(text)
-    last = F.length(n) - 1024
-    cut = lambda s: n.substr((s + 1).cast("int"), F.lit(1024))
-    n4 = F.concat_ws("\n", cut(F.lit(0)), cut(F.floor(last / 3)), cut(F.floor(last * 2 / 3)), cut(last))
-    s = F.when(F.length(n) > 4096, n4).otherwise(n)
-    k = F.when(F.length(s) >= 6, 6).otherwise(3)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1))), lambda i: s.substr(i, k))
-    return F.when(F.length(s) == 0, F.array().cast("array<string>")).when(F.length(s) < 3, F.array(s)).otherwise(F.array_distinct(runs))
+    bind = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  works x out once, not for each run
+
+    def sample(n: Column) -> Column:
+        last = F.length(n) - 1024
+        cut = lambda at: n.substr((at + 1).cast("int"), F.lit(1024))
+        return F.when(F.length(n) > 4096, F.concat_ws("\n", cut(F.lit(0)), cut(F.floor(last / 3)), cut(F.floor(last * 2 / 3)), cut(last))).otherwise(n)
+
+    def runs(s: Column) -> Column:
+        k = F.when(F.length(s) >= 6, 6).otherwise(3)
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1))), lambda i: s.substr(i, k))
+        return F.when(F.length(s) == 0, F.array().cast("array<string>")).when(F.length(s) < 3, F.array(s)).otherwise(F.array_distinct(each))
+
+    return bind(bind(X.lexical(text), sample), runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:

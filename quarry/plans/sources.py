@@ -43,9 +43,9 @@ def _(t):
     return c.select("o_custkey", "o_orderkey", "valid_from", "valid_to", "supersedes_id", "version_no")
 
 
-@query("day_demand", "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("day_demand", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t):
-    return t.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    return t.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
 
 
 @query("event_time", "SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_returnflag = 'R' THEN l_shipdate END, o_orderdate) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
