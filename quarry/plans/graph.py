@@ -21,7 +21,7 @@ def _(t):
 
 
 def _units(t):
-    return t.documents.where("n_chars < 1500").select("doc_id", "text", "source")
+    return t.documents.select("doc_id", "text", "source")
 
 
 def _pairs(t):

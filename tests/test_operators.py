@@ -5,6 +5,8 @@ import hashlib
 import pandas as pd
 from pyspark.sql import functions as F
 
+import quarry.plans  # noqa: F401
+from quarry.catalog import QUERIES
 from quarry.functions import text as X
 from quarry.functions.embedding import embed
 from quarry.operators import chunking, graph, memory, relational, retrieval, similarity, temporal
@@ -80,6 +82,17 @@ def test_degree_cap(spark):
     assert sorted(r.b for r in got) == [2, 3, 4]
 
 
+def test_graph_queries_take_documents_of_any_length(spark, tmp_path):
+    words = " ".join(f"term{i}" for i in range(400))
+    rows = [(1, words, "a", len(words)), (2, words + " more", "a", len(words) + 5), (3, "term1 term2", "a", None), (4, "term1 term2 other", "b", 17)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.a, r.b): r.votes for r in QUERIES["posting_candidates"](spark, str(tmp_path)).collect()}
+    assert {(1, 2), (1, 3), (2, 3), (3, 4)} == set(got) and got[1, 2] == 64
+    edges = {(r.a, r.b) for r in QUERIES["knowledge_edges"](spark, str(tmp_path)).collect()}
+    assert (1, 2) in edges
+    assert {1, 2} <= {r.id for r in QUERIES["tree_partition"](spark, str(tmp_path)).collect()}
+
+
 def test_pagerank_keeps_mass_near_the_seed(spark):
     e = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0), ("c", "b", 1.0)], "src string, dst string, weight double")
     r = {x.id: x.r for x in graph.pagerank(e, spark.createDataFrame([("a", 1.0)], "id string, weight double"), rounds=20).collect()}
