@@ -4,7 +4,8 @@ The symbols of the edit distance are a line's words, lower-cased; lines of MIN_W
 earlier one by one word put in, left out or replaced, shorter ones must be equal to it.  Lines without a word are
 always kept.
 
-1. Equal lines become one text; its first occurrence is the smallest (doc_id, line number).
+1. Equal lines become one text; its first occurrence is the smallest (doc_id, line number).  Where these are equal
+   (null or repeated ids), the hash of the document's text and then a number of the row decide.
 2. A text can have a partner only if it shares its first or its second half (cut for its own length and one
    word more or less) with another text: an edit leaves one half untouched.  Only such texts go on.
 3. Those emit their neighbourhood as hashed keys: one for each word left out, and one for each gap, both of the
@@ -90,29 +91,33 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, words) of the lines that have words."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("words")).where(F.size("words") > 0)
+    """(doc_id, row, copy, line_no, words) of the lines that have words, of docs with row and copy."""
+    lines = docs.select("doc_id", "row", "copy", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "row", "copy", "line_no", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("words")).where(F.size("words") > 0)
 
 
-def line_verdicts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, line_no, n_words, kept, first_doc, first_line: one row for each line with words.
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, copy) -> copy, and the columns of line_verdicts.
 
-    first_doc and first_line say which earlier line a dropped line repeats; for a kept line they are its own.
+    A doc_id may be null or stand on several rows, so a place is (doc_id, hash of the row's text, line number): the text at
+    it is one, and rows that share it are equal.  Among those, ``copy``, a number of each row, says which comes first.
     """
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("row"), "copy")
     lines = lines_of(docs)
     name = [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), F.col("words")).alias("h2")]
     halves = F.when(F.size("words") >= MIN_WORDS, half_keys(F.col("words")))
-    narrow = stage(lines.select("doc_id", "line_no", *name, F.size("words").alias("n_words"), halves.alias("halves")))
-    at = F.struct(F.col("doc_id").alias("doc"), F.col("line_no").alias("line"))
-    texts = stage(narrow.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.first("n_words").alias("n_words"), F.first("halves").alias("halves")))
+    narrow = stage(lines.select("doc_id", "row", "copy", "line_no", *name, F.size("words").alias("n_words"), halves.alias("halves")))
+    at = F.struct(F.col("doc_id").alias("doc"), F.col("line_no").alias("line"), F.col("row"))
+    seat = F.min(F.struct(at.alias("at"), F.col("copy")))
+    texts = narrow.groupBy("h1", "h2").agg(seat.alias("_seat"), F.first("n_words").alias("n_words"), F.first("halves").alias("halves"))
+    texts = stage(texts.select("h1", "h2", "_seat.at", F.col("_seat.copy").alias("first_copy"), "n_words", "halves"))
     half = texts.where("halves is not null").select("at", F.explode("halves").alias("half"))
     shared = half.groupBy("half").count().where("count > 1").select("half")
-    maybe = half.join(shared, "half").select("at").distinct().select(F.col("at.doc").alias("_doc"), F.col("at.line").alias("_line"))
+    maybe = half.join(shared, "half").select("at").distinct().select(F.col("at.doc").alias("_doc"), F.col("at.row").alias("_row"), F.col("at.line").alias("_line"))
     # the texts themselves, of the first occurrences of those that may have a partner
-    which = maybe.groupBy("_doc").agg(F.collect_set("_line").alias("_lines"))
-    whole = docs.select("doc_id", "text").join(which.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_doc")))
-    picked = whole.select("doc_id", "_lines", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("_lines", F.col("line_no")))
+    which = maybe.groupBy("_doc", "_row").agg(F.collect_set("_line").alias("_lines"))
+    whole = docs.select("doc_id", "text", "row").join(which.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")))
+    picked = whole.select("doc_id", "row", "_lines", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("_lines", F.col("line_no")))
     picked = picked.select(at.alias("at"), F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("words"))
     # numbers in order of first occurrence stand for the texts: plain longs aggregate by hash, without sorting
     near = stage(global_rank(picked.dropDuplicates(["at"]), ["at"], "id"))
@@ -122,16 +127,26 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     found = keyed.join(first, "key").where("to_id < id").groupBy("id").agg(F.min("to_id").alias("to_id"))
     mine, theirs = near.withColumnRenamed("words", "a"), near.select(F.col("id").alias("to_id"), F.col("at").alias("to"), F.col("words").alias("b"))
     partner = stage(found.join(mine, "id").join(theirs, "to_id").where(within_one(F.col("a"), F.col("b"))).select("at", "to"))
-    of_text = texts.join(partner, "at", "left").select("h1", "h2", "at", F.coalesce("to", "at").alias("to"))
-    out = narrow.drop("halves").join(of_text, ["h1", "h2"])
-    own = F.col("at") == at
-    return out.select("doc_id", "line_no", "n_words", (own & (F.col("to") == F.col("at"))).alias("kept"), F.col("to.doc").alias("first_doc"), F.col("to.line").alias("first_line"))
+    of_text = texts.join(partner, "at", "left").select("h1", "h2", F.col("at.line").alias("_line"), "first_copy", F.col("to").isNull().alias("_alone"), F.coalesce("to", "at").alias("to"))
+    out = narrow.drop("halves", "row").join(of_text, ["h1", "h2"])
+    own = (F.col("copy") == F.col("first_copy")) & (F.col("line_no") == F.col("_line"))
+    return out.select("copy", "doc_id", "line_no", "n_words", (own & F.col("_alone")).alias("kept"), F.col("to.doc").alias("first_doc"), F.col("to.line").alias("first_line"))
+
+
+def line_verdicts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> doc_id, line_no, n_words, kept, first_doc, first_line: one row for each line with words.
+
+    first_doc and first_line say which earlier line a dropped line repeats; for a kept line they are its own.
+    """
+    return _verdicts(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("copy"))).drop("copy")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All of docs, with the text of each made of its lines that stay (blank lines among them)."""
-    gone = line_verdicts(docs).where("not kept").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    numbered = stage(docs.withColumn("_copy", F.monotonically_increasing_id()))
+    verdicts = _verdicts(numbered.select("doc_id", "text", F.col("_copy").alias("copy")))
+    gone = verdicts.where("not kept").groupBy(F.col("copy").alias("_copy")).agg(F.collect_set("line_no").alias("_gone"))
+    both = numbered.join(gone, "_copy", "left")
     left = F.filter(F.split("text", "\n"), lambda line, i: ~F.coalesce(F.array_contains(F.col("_gone"), i), F.lit(False)))
     return both.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
 

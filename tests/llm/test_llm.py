@@ -259,6 +259,19 @@ def test_line_dedup_against_brute_force(spark, docs, none):
     assert left == {10001: "a b c d e f g h i\nx\n", 10002: "q w e r t y u i\nq w e r t y u", 10003: None, 10004: ""}
 
 
+def test_line_dedup_with_null_and_repeated_ids(spark):
+    near, clean = "a b c d e f g h i", [f"clean{n} " + " ".join(f"x{n}y{i}" for i in range(9)) for n in range(4)]
+    rows = [(None, near), (None, near[:-1] + "j"), (None, clean[0]), (None, clean[1]), (7, clean[2] + "\nsame"), (7, clean[3]), (8, "other\nsame"), (8, "other\nsame"), (None, "twice"), (None, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = lambda i: [line for t in [rows[i][1]] for line in t.split("\n")]
+    got = line_dedup.line_verdicts(docs).collect()
+    assert len(got) == sum(len(words(i)) for i in range(len(rows)))
+    # clean lines stay, one of the two near copies, and one of each text that repeats
+    assert sum(r.kept for r in got) == 4 + 1 + 3
+    left = [line for r in line_dedup.dedup_lines(docs).collect() for line in r.text.split("\n") if line]
+    assert sorted(line for line in left if not line.startswith("a b")) == sorted([*clean, "same", "other", "twice"]) and len(left) == 8
+
+
 # ---- decontamination --------------------------------------------------------------------------
 
 
