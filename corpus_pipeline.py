@@ -2,7 +2,8 @@
 
 A stage is (spark, docs, sf_dir) -> DataFrame; run() writes each stage's rows as Parquet in the shared folder and reads
 them again for the next.  Rows whose doc_id is null pass the toxicity and decontamination stages on their
-text's merits; near-dedup keeps them; mixing and encoding treat them as their operators say.
+text's merits; mixing and encoding treat them as their operators say.  Near-dedup and mixing number the rows first and
+decide by that number, so null and repeated ids neither multiply nor hide rows.
 """
 
 from __future__ import annotations
@@ -19,15 +20,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.annotate(docs, model).where("_toxicity < 0.5").drop("_toxicity")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written so that every later read sees the same."""
+    return stage(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; of rows that repeat its doc_id, one."""
-    groups = near_dedup.near_duplicates(docs)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
-    single = kept.join(again, F.col("doc_id") == F.col("_id"), "left_anti")
-    repeated = kept.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return single.union(repeated)
+    """One row of each group stays: that of the smallest doc_id, rows without one last."""
+    rows = numbered(docs)
+    groups = stage(near_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")))
+    # most groups have one row, and those need no verdict
+    large = stage(groups.select(F.col("doc_id").alias("_row"), "component_id").join(groups.where("not kept").select("component_id").distinct(), "component_id", "left_semi"))
+    large = stage(large.join(rows.select("_row", "doc_id"), "_row").withColumn("_order", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))))
+    stays = large.groupBy("component_id").agg(F.min("_order").alias("_first")).select(F.col("_first.row").alias("_row"))
+    gone = large.select("_row").join(stays, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +47,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The part is taken whole, so that texts stay documents; a source overruns its target by less than one document.
     """
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken").distinct()
+    rows = numbered(docs)
+    taken = mixing.mix(rows, carry=("_row",)).where("taken > 0").select("_row", "size", "taken")
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,16 +45,17 @@ def source_targets(per_source: DataFrame, weights=WEIGHTS, cap: int = CAP) -> Da
     return d.select("source", "source_size", F.when(F.col("_capped"), F.col("_top")).otherwise(F.col("_final") * F.col("_w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, source) -> doc_id, size, source_size, target, taken, source, epochs.
 
     ``taken`` are the words that the mix takes of a document, repeats counted: whole epochs over the
     source, then the documents in hash order until the rest of the budget is used; the document at the
     cut gives the part that is left.  A source's taken words sum to its target rounded to an integer.
+    Columns named in ``carry`` stay on their rows, and decide the order of rows that are equal otherwise.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     sized = stage(
-        docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("_key")).withColumn("_bucket", F.substring("_key", 1, 3))
+        docs.select("doc_id", "source", *carry, word_count("text").alias("size"), key.alias("_key")).withColumn("_bucket", F.substring("_key", 1, 3))
     )
     sums = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,7 +65,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> D
     plan = offsets.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     plan = plan.withColumnsRenamed({"source": "_s", "_bucket": "_b"})
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).drop("_s", "_b")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     budget = F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * cap)
     rest = F.col("_budget") - F.col("epochs") * F.col("source_size") - F.col("_before")
     return (
@@ -78,6 +79,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> D
             "target",
             (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long").alias("taken"),
             "source",
+            *carry,
         )
     )
 

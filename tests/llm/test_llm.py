@@ -411,3 +411,22 @@ def test_pipeline_stages_against_plain_runs(spark):
         ids = [*lib.encode(text, add_special_tokens=False).ids, 2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_pipeline_decides_by_row(spark):
+    import corpus_pipeline as c
+
+    text = lambda n, k=60: " ".join(f"w{n}x{i}" for i in range(k))
+    rows = [(None, text(1), "a"), (None, text(1), "a"), (None, text(2), "a"), (5, text(3), "a"), (5, text(4), "a"), (6, text(4), "a"), (3, text(5), "a"), (None, text(5), "a"), (9, text(6), "a"), (9, text(6), "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r.doc_id or 0), r.text.split()[0]) for r in c.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == [(0, "w1x0"), (0, "w2x0"), (3, "w5x0"), (5, "w3x0"), (5, "w4x0"), (9, "w6x0")]
+    # a mix takes each row as often as its own words are taken
+    rows = [(None, text(n, 10 * (n + 1)), s) for n in range(6) for s in ("a", "b", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sum(-(-r.taken // r.size) for r in mixing.mix(docs).collect() if r.taken)
+    mixed = c.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns and mixed.count() == want
+    totals = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    size = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    assert all(totals[s] - 1 <= size[s] < totals[s] + 60 for s in totals)
