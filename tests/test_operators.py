@@ -99,6 +99,20 @@ def test_pagerank_keeps_mass_near_the_seed(spark):
     assert r["a"] > r["c"] and abs(sum(r.values()) - 1) < 1e-6
 
 
+def test_ppr_walks_all_orders(spark, tmp_path):
+    spark.createDataFrame([(1, 7, 2.0), (5000, 7, 1.0), (5000, 8, 1.0)], "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.id: r.rank for r in QUERIES["ppr"](spark, str(tmp_path)).collect()}
+    flow = {"o1": [("s7", 1.0)], "o5000": [("s7", 0.5), ("s8", 0.5)], "s7": [("o1", 2 / 3), ("o5000", 1 / 3)], "s8": [("o5000", 1.0)]}
+    want = {"o1": 1.0}
+    for _ in range(30):
+        new = {"o1": 0.4}
+        for a, m in want.items():
+            for b, p in flow[a]:
+                new[b] = new.get(b, 0.0) + 0.6 * m * p
+        want = new
+    assert got == {k: round(v, 8) for k, v in want.items()}
+
+
 def test_blocks_and_units(spark):
     text = "# Title\n\npara one\nline two\n\n## Part\n- a\n- b\n\n| x | y |\n|---|---|\n\n```\ncode\n```\n"
     b = chunking.parse(text)
