@@ -38,6 +38,17 @@ def test_minhash_against_plain_definition(spark):
     assert got[1] == want and got[2] == [0] * 128 and got[3] == [0] * 128
 
 
+def test_near_duplicates_align_short_texts(spark):
+    base = [f"t{i}" for i in range(30)]
+    at = lambda *places: " ".join("zz" if i in places else w for i, w in enumerate(base))
+    long = " ".join(base + [f"u{i}" for i in range(60)])
+    df = spark.createDataFrame([(1, at(), [1.0, 0.0]), (2, at(14, 20), [0.0, 1.0]), (3, "other words " * 9, [1.0, 0.05]), (4, long, None), (5, None, None)], "id long, t string, v array<double>")
+    got = {r.id: (r.match_id, round(r.similarity, 6)) for r in similarity.near_duplicates(df, "id", "t").collect()}
+    assert got == {2: (1, round(28 / 30, 6))}
+    got = {r.id: r.match_id for r in similarity.near_duplicates(df, "id", "t", vec="v", dim=2).collect()}
+    assert got == {2: 1, 3: 1}
+
+
 def test_diff_signals():
     t = lambda s: s.lower().replace(".", " .").split()
     assert similarity.diff_signals(t("limit is 25 MiB"), t("limit is 10 MiB"))[0]
