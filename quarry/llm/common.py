@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
             sc.setCheckpointDir(LOCAL_CHECKPOINTS)
         top = sc.getCheckpointDir()
     return f"{top.rstrip('/')}/quarry-{uuid.uuid4().hex}"
@@ -56,6 +58,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    out = f"_{name}"
+    while out.lower() in taken:
+        out = f"_{out}"
+    return out
+
+
+def smallest(df: DataFrame, n: int, by: str) -> DataFrame:
+    """The n rows of the smallest ``_k`` (an md5 text, distinct inside a group) of each group ``by``; df is narrow.
+
+    Counts by the key's first four digits say where each group may be cut, so that only n rows of it and one prefix's
+    go into a window, however many rows and tasks there are.
+    """
+    from pyspark.sql import Window
+
+    rows = stage(df.withColumn("_p", F.substring("_k", 1, 4)))
+    counts = rows.groupBy(by, "_p").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # at most 65536 prefixes a group
+    last = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < n).groupBy(F.col(by).alias("_by")).agg(F.max("_p").alias("_last"))
+    few = rows.join(last, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") <= F.col("_last"))).drop("_by", "_last", "_p")
+    return few.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("_k"))).where(F.col("_r") <= n).drop("_r")
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words; a null text has none."""
     text = F.col(text) if isinstance(text, str) else text
