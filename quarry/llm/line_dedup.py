@@ -1,19 +1,24 @@
 """Line dedup by a deletion-neighbourhood join: lines within one word of an earlier line go.  Native.
 
-The symbols of the edit distance are a line's words, lower-cased; lines of MIN_WORDS words or more may differ from an
-earlier one by one word put in, left out or replaced, shorter ones must be equal to it.  Lines without a word are
-always kept.
+The symbols of the edit distance are a line's words, lower-cased.  The edit bound grows with the line: none below
+``words_per_edit`` words (such lines must be equal to an earlier one), one word put in, left out or replaced from there
+on.  Lines without a word are always kept.
 
 1. Equal lines become one text; its first occurrence is the smallest (doc_id, line number).  Where these are equal
    (null or repeated ids), the hash of the document's text and then a number of the row decide.
 2. A text can have a partner only if it shares its first or its second half (cut for its own length and one
    word more or less) with another text: an edit leaves one half untouched.  Only such texts go on.
-3. Those emit their neighbourhood as hashed keys: one for each word left out, and one for each gap, both of the
-   form (place, words left, prefix, suffix).  Texts with a common key are within one edit of each other, so
-   the smallest first occurrence of a key is all that its members need: no pairs are formed inside a key.
-4. Each text takes the earliest partner of its keys; the edit distance to it is verified word by word.
+3. Likewise in BLOCKS blocks: all but one block must be equal to another text's.  Nothing is lost by either step.
+4. A block so shared emits its deletion neighbourhood as hashed keys: one for each word left out, and one for each
+   gap, both of the form (rest of the text, place, words left, prefix, suffix).  Texts with a common key are within one
+   edit of each other, so the smallest first occurrence of a key is all that its members need: no pairs are formed
+   inside a key.
+5. Each text takes the earliest partner of its keys; the edit distance to it is verified word by word.
 
-Keys come from prefix XORs of position-salted word hashes, worked out in blocks, so a line of n words costs O(n).
+A text with an earlier partner goes.  Partners may have partners of their own (a copy of a copy), so first_doc and first_line
+name the text at the end of that chain, which stays, even if it is more than one edit away.
+
+Keys come from prefix XORs of position-salted word hashes, worked out in blocks, so a block of n words costs O(n).
 
 Edge cases: a null text has no lines; repeated documents and lines are occurrences like any other (the first
 stays); a null doc_id comes first; an empty table gives an empty result.  Only the named columns are read.
@@ -24,9 +29,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, global_rank, stage, table
+from .common import WORD, fresh, global_rank, stage, table
 
-MIN_WORDS, BLOCK = 8, 256
+WORDS_PER_EDIT, BLOCK, BLOCKS = 8, 256, 4
 
 
 def _bind(x: Column, f) -> Column:
@@ -78,6 +83,30 @@ def half_keys(words: Column) -> Column:
     return F.array_distinct(F.array(*head, *tail))
 
 
+def block_keys(words: Column) -> Column:
+    """For partners of at least n and of at least n - 1 words, and each block: (longer, block, hash of all but the block)."""
+    n = F.size(words)
+    out = []
+    for longer in (0, 1):
+        least = n - longer  # the length of the shorter partner, by which both are cut
+        for j in range(BLOCKS):
+            head, tail = F.expr("0") if j == 0 else _place(least, j), least - _place(least, j + 1)
+            rest = F.xxhash64(least, F.lit(j), F.slice(words, F.lit(1), head), F.slice(words, n - tail + 1, tail))
+            out.append(F.struct(F.lit(longer).alias("longer"), F.lit(j).alias("block"), rest.alias("rest")))
+    return F.array(*out)
+
+
+def _place(length: Column, j: int | Column) -> Column:
+    return F.floor(length * j / BLOCKS).cast("int")
+
+
+def block_neighbourhood(words: Column, longer: Column, block: Column) -> Column:
+    """Keys of the block alone: a partner differs nowhere else."""
+    least = F.size(words) - longer
+    start, end = _place(least, block), _place(least, block + 1) + longer
+    return neighbourhood(F.slice(words, start + 1, end - start))
+
+
 def within_one(a: Column, b: Column) -> Column:
     """Whether two word arrays are at edit distance 1 or less, word by word."""
 
@@ -93,10 +122,41 @@ def within_one(a: Column, b: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, row, copy, line_no, words) of the lines that have words, of docs with row and copy."""
     lines = docs.select("doc_id", "row", "copy", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "row", "copy", "line_no", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("words")).where(F.size("words") > 0)
+    return lines.where(F.col("line").rlike(WORD)).select("doc_id", "row", "copy", "line_no", words_of("line").alias("words"))
+
+
+def words_of(line: str) -> Column:
+    """The words of a line, lower-cased; its separators become single spaces, since a split at one sign needs no regular expression."""
+    return F.array_remove(F.split(F.translate(F.lower(line), "\t\n\v\f\r", "     "), " "), "")
+
+
+def ends_of(links: DataFrame) -> DataFrame:
+    """(id, to_id), to_id < id -> each id with the end of its chain; every round doubles the steps taken."""
+    links = stage(links)
+    while True:
+        ahead = links.select(F.col("id").alias("to_id"), F.col("to_id").alias("_next"))
+        step = stage(links.join(ahead, "to_id", "left").select("id", F.coalesce("_next", "to_id").alias("to_id"), F.col("_next").isNotNull().alias("_moved")))
+        links = step.drop("_moved")
+        if step.where("_moved").isEmpty():
+            return links
+
+
+def _partners(near: DataFrame) -> DataFrame:
+    """(id, words) -> (id, to_id): each text with the earliest one within an edit of it, if there is any."""
+    # keys are read twice, to count them and to join: written, they are worked out once
+    blocks = stage(near.select("id", F.explode(block_keys(F.col("words"))).alias("b")).select("id", "b.*"))
+    shared = blocks.groupBy("rest").agg(F.count("*").alias("n")).where("n > 1").select("rest")
+    open_ = blocks.join(shared, "rest").join(near, "id")
+    keys = block_neighbourhood(F.col("words"), F.col("longer"), F.col("block"))
+    keyed = stage(open_.select("id", "rest", F.explode(keys).alias("key")).select("id", F.xxhash64("rest", "key").alias("key")))
+    first = keyed.groupBy("key").agg(F.min("id").alias("to_id"), F.max("id").alias("last")).where("to_id < last").select("key", "to_id")
+    # a text's earliest partner: the smallest first occurrence over its keys
+    found = keyed.join(first, "key").where("to_id < id").groupBy("id").agg(F.min("to_id").alias("to_id"))
+    mine, theirs = near.select("id", F.col("words").alias("a")), near.select(F.col("id").alias("to_id"), F.col("words").alias("b"))
+    return found.join(mine, "id").join(theirs, "to_id").where(within_one(F.col("a"), F.col("b"))).select("id", "to_id")
 
 
-def _verdicts(docs: DataFrame) -> DataFrame:
+def _verdicts(docs: DataFrame, words_per_edit: int) -> DataFrame:
     """(doc_id, text, copy) -> copy, and the columns of line_verdicts.
 
     A doc_id may be null or stand on several rows, so a place is (doc_id, hash of the row's text, line number): the text at
@@ -104,58 +164,79 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("row"), "copy")
     lines = lines_of(docs)
-    name = [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), F.col("words")).alias("h2")]
-    halves = F.when(F.size("words") >= MIN_WORDS, half_keys(F.col("words")))
-    narrow = stage(lines.select("doc_id", "row", "copy", "line_no", *name, F.size("words").alias("n_words"), halves.alias("halves")))
+    halves = F.when(F.size("words") >= max(2, words_per_edit), half_keys(F.col("words")))
+    # a second hash of the words, with other seeds than the first: of long lines the halves' hashes hold it already
+    second = F.xxhash64(F.lit(7), F.when(F.col("halves").isNull(), F.xxhash64(F.lit(7), F.col("words"))), F.col("halves"))
+    narrow = lines.select("*", halves.alias("halves")).select("doc_id", "row", "copy", "line_no", F.xxhash64("words").alias("h1"), second.alias("h2"), F.size("words").alias("n_words"), "halves")
+    narrow = stage(narrow)
     at = F.struct(F.col("doc_id").alias("doc"), F.col("line_no").alias("line"), F.col("row"))
     seat = F.min(F.struct(at.alias("at"), F.col("copy")))
-    texts = narrow.groupBy("h1", "h2").agg(seat.alias("_seat"), F.first("n_words").alias("n_words"), F.first("halves").alias("halves"))
-    texts = stage(texts.select("h1", "h2", "_seat.at", F.col("_seat.copy").alias("first_copy"), "n_words", "halves"))
+    texts = narrow.groupBy("h1", "h2").agg(seat.alias("_seat"), F.first("halves").alias("halves"))
+    texts = stage(texts.select("h1", "h2", "_seat.at", F.col("_seat.copy").alias("first_copy"), "halves"))
     half = texts.where("halves is not null").select("at", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").count().where("count > 1").select("half")
+    shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     maybe = half.join(shared, "half").select("at").distinct().select(F.col("at.doc").alias("_doc"), F.col("at.row").alias("_row"), F.col("at.line").alias("_line"))
     # the texts themselves, of the first occurrences of those that may have a partner
     which = maybe.groupBy("_doc", "_row").agg(F.collect_set("_line").alias("_lines"))
     whole = docs.select("doc_id", "text", "row").join(which.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")))
     picked = whole.select("doc_id", "row", "_lines", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("_lines", F.col("line_no")))
-    picked = picked.select(at.alias("at"), F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("words"))
+    picked = picked.select(at.alias("at"), words_of("line").alias("words"))
     # numbers in order of first occurrence stand for the texts: plain longs aggregate by hash, without sorting
     near = stage(global_rank(picked.dropDuplicates(["at"]), ["at"], "id"))
-    keyed = near.select("id", F.explode(neighbourhood(F.col("words"))).alias("key"))
-    first = keyed.groupBy("key").agg(F.min("id").alias("to_id"), F.count("*").alias("n")).where("n > 1").select("key", "to_id")
-    # a text's earliest partner: the smallest first occurrence over its keys
-    found = keyed.join(first, "key").where("to_id < id").groupBy("id").agg(F.min("to_id").alias("to_id"))
-    mine, theirs = near.withColumnRenamed("words", "a"), near.select(F.col("id").alias("to_id"), F.col("at").alias("to"), F.col("words").alias("b"))
-    partner = stage(found.join(mine, "id").join(theirs, "to_id").where(within_one(F.col("a"), F.col("b"))).select("at", "to"))
+    ends = ends_of(_partners(near.select("id", "words")))
+    place = near.select("id", "at")
+    partner = stage(ends.join(place, "id").join(place.select(F.col("id").alias("to_id"), F.col("at").alias("to")), "to_id").select("at", "to"))
     of_text = texts.join(partner, "at", "left").select("h1", "h2", F.col("at.line").alias("_line"), "first_copy", F.col("to").isNull().alias("_alone"), F.coalesce("to", "at").alias("to"))
     out = narrow.drop("halves", "row").join(of_text, ["h1", "h2"])
     own = (F.col("copy") == F.col("first_copy")) & (F.col("line_no") == F.col("_line"))
     return out.select("copy", "doc_id", "line_no", "n_words", (own & F.col("_alone")).alias("kept"), F.col("to.doc").alias("first_doc"), F.col("to.line").alias("first_line"))
 
 
-def line_verdicts(docs: DataFrame) -> DataFrame:
+def line_verdicts(docs: DataFrame, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """(doc_id, text) -> doc_id, line_no, n_words, kept, first_doc, first_line: one row for each line with words.
 
-    first_doc and first_line say which earlier line a dropped line repeats; for a kept line they are its own.
+    first_doc and first_line say which kept line a dropped line goes back to; for a kept line they are its own.
     """
-    return _verdicts(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("copy"))).drop("copy")
+    return _verdicts(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("copy")), words_per_edit).drop("copy")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """All of docs, with the text of each made of its lines that stay (blank lines among them)."""
-    numbered = stage(docs.withColumn("_copy", F.monotonically_increasing_id()))
-    verdicts = _verdicts(numbered.select("doc_id", "text", F.col("_copy").alias("copy")))
-    gone = verdicts.where("not kept").groupBy(F.col("copy").alias("_copy")).agg(F.collect_set("line_no").alias("_gone"))
-    both = numbered.join(gone, "_copy", "left")
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.coalesce(F.array_contains(F.col("_gone"), i), F.lit(False)))
-    return both.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+    copy, gone = fresh(docs, "copy"), fresh(docs, "gone")
+    numbered = stage(docs.withColumn(copy, F.monotonically_increasing_id()))
+    verdicts = _verdicts(numbered.select("doc_id", "text", F.col(copy).alias("copy")), words_per_edit)
+    dropped = verdicts.where("not kept").groupBy(F.col("copy").alias(copy)).agg(F.collect_set("line_no").alias(gone))
+    both = numbered.join(dropped, copy, "left")
+    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.coalesce(F.array_contains(F.col(gone), i), F.lit(False)))
+    return both.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(table(spark, sf_dir, "documents"))
 
 
-def brute_force(docs: list[tuple]) -> dict:
+#: Plain DuckDB SQL for the same rows: candidates share a half, every pair is compared word by word, chains are followed.
+ORACLE = r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+w AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS words FROM l),
+x AS MATERIALIZED (SELECT words, len(words)::INT AS n, min((doc_id, line_no)) AS pl FROM w WHERE len(words) > 0 GROUP BY words),
+h AS (SELECT pl, words, n, unnest([('h', words[:(n - 1) // 2]), ('h', words[:(n + 1) // 2]),
+             ('t', words[n + 1 - (n - 1 - (n - 1) // 2):]), ('t', words[n + 1 - (n + 1 - (n + 1) // 2):])]) AS half FROM x WHERE n >= 8),
+c AS (SELECT DISTINCT a.pl AS pl, b.pl AS other FROM h a JOIN h b ON a.half = b.half AND a.pl > b.pl AND abs(a.n - b.n) <= 1),
+p AS (SELECT c.pl, c.other, a.words AS a, b.words AS b, least(a.n, b.n) AS k FROM c JOIN x a ON c.pl = a.pl JOIN x b ON c.other = b.pl),
+q AS (SELECT *, coalesce(list_position(list_transform(range(1, k + 1), lambda i: a[i] = b[i]), false), k + 1) - 1 AS ahead,
+             coalesce(list_position(list_transform(range(k), lambda i: a[len(a) - i] = b[len(b) - i]), false), k + 1) - 1 AS behind FROM p),
+s AS MATERIALIZED (SELECT pl, min(other) AS up FROM q WHERE ahead + behind >= k - CASE WHEN len(a) = len(b) THEN 1 ELSE 0 END GROUP BY pl),
+r AS (SELECT pl, up AS top FROM s UNION ALL SELECT r.pl, s.up FROM r JOIN s ON r.top = s.pl),
+f AS (SELECT pl, min(top) AS top FROM r GROUP BY pl)
+SELECT w.doc_id, w.line_no, x.n AS n_words, (f.pl IS NULL AND x.pl = (w.doc_id, w.line_no)) AS kept,
+       coalesce(f.top, x.pl)[1] AS first_doc, coalesce(f.top, x.pl)[2] AS first_line
+FROM w JOIN x ON w.words = x.words LEFT JOIN f ON x.pl = f.pl
+"""
+
+
+def brute_force(docs: list[tuple], words_per_edit: int = WORDS_PER_EDIT) -> dict:
     """(doc_id, line_no) -> (kept, first) by comparing every two texts, for tests."""
     import re
 
@@ -176,6 +257,10 @@ def brute_force(docs: list[tuple]) -> dict:
 
     to = {}
     for w, at in first.items():
-        partners = [o for v, o in first.items() if o < at and len(v) >= MIN_WORDS and len(w) >= MIN_WORDS and near(w, v)]
-        to[w] = min(partners, default=at)
-    return {k: (to[w] == k, to[w]) for k, w in lines.items()}
+        partners = [o for v, o in first.items() if o < at and len(v) >= words_per_edit and len(w) >= words_per_edit and near(w, v)]
+        to[at] = min(partners, default=at)
+
+    def end(at):
+        return at if to[at] == at else end(to[at])
+
+    return {k: (end(first[w]) == k, end(first[w])) for k, w in lines.items()}
