@@ -33,6 +33,11 @@ def nfc(text: Column, ascii_only: Column | None = None) -> Column:
     return F.when(text.rlike(r"[^\x00-\xFF]"), _nfc(text)).otherwise(text)
 
 
+def trimmed(text: Column) -> Column:
+    """NFC, without white space around."""
+    return F.regexp_replace(nfc(text), r"(?U)^\s+|\s+$", "")
+
+
 def normalize(text: Column, keep_code: bool = False) -> Column:
     """NFC, no control or format characters but line ends and tabs, Unix line ends, trimmed."""
     clean = F.regexp_replace(nfc(text), r"[\p{C}&&[^\n\t\r]]", "")

@@ -93,5 +93,6 @@ def units(blocks: DataFrame, id_col: str, budget: int) -> DataFrame:
 
 
 def sentences(text: Column) -> Column:
-    """Pieces that end in . ! ? or a line end."""
-    return F.filter(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+(?:[.!?]+|\n|$)"), F.lit(0)), lambda s: F.trim(F.translate(s, "\t\n\r", "   ")) != "")
+    """Pieces, trimmed, that end after . ! ? (not between digits, so decimals stay whole) or at a line end."""
+    pieces = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])(?![\d.!?])|\n")
+    return F.filter(F.transform(pieces, lambda s: F.regexp_replace(s, r"^[ \t\r\n]+|[ \t\r\n]+$", "")), lambda s: s != "")

@@ -2,34 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vectors as V
+from .retrieval import BLOCK_BYTES, unit_rows
+from .staging import cut, place_in_group
 
 # Signal weights of an edge.
 SIGNALS = {"semantic": 0.4, "lexical": 0.2, "entity": 0.15, "structure": 0.1, "temporal": 0.1, "citation": 0.05}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: lineage ends there, and a lost executor costs a read."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir("/tmp/checkpoints")
-        top = sc.getCheckpointDir()
-    path = f"{top.rstrip('/')}/quarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fuse_signals(signals: dict[str, Column], weights: dict[str, float] = SIGNALS) -> Column:
     """Weighted mean over the signals that are not null; 0 without any."""
     total = reduce(lambda a, b: a + b, [F.coalesce(c * weights[n], F.lit(0.0)) for n, c in signals.items()])
@@ -44,7 +32,7 @@ def posting_candidates(keys: DataFrame, id_col: str, key: str, neighbours: int =
     length: places are bucketed, and a unit joins its own bucket and the one before.
     """
     half = neighbours // 2
-    placed = keys.distinct().withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy(id_col)))
+    placed = place_in_group(keys.distinct(), key, [id_col], "_p")
     placed = placed.withColumn("_b", F.floor(F.col("_p") / half))
     left = placed.select(key, F.col(id_col).alias("a"), F.col("_p").alias("_pa"), F.explode(F.array(F.col("_b"), F.col("_b") + 1)).alias("_b"))
     pairs = left.join(placed.select(key, F.col(id_col).alias("b"), F.col("_p").alias("_pb"), "_b"), [key, "_b"]).where((F.col("_pb") > F.col("_pa")) & (F.col("_pb") - F.col("_pa") <= half))
@@ -75,28 +63,44 @@ def calibrate(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.withColumn(out, c)
 
 
-def cap_degree(edges: DataFrame, part: str, most: int = 32) -> DataFrame:
-    """Keep edges by weight while both ends have fewer than ``most``, at most half of them inside one document.
+def greedy(edges: DataFrame, part: list[str], ends: tuple[Column, Column], order: list[Column], most: int, inside: Column | None = None, most_inside: int = 0) -> DataFrame:
+    """The edges that a walk in ``order`` takes while both ends have room for ``most`` edges (``most_inside`` where ``inside`` holds).
 
-    (part, a, b, weight, same_doc) -> the same.  Each choice depends on those before, so one pass for each ACL partition,
-    over candidates that the vote limit has already bounded per unit.
+    Nothing is walked: in each round every end marks the first edges it has room for, and an edge marked by both ends is one that the
+    walk must take, since what stands before it leaves room.  Full ends drop out.  ``order`` must tell all edges of an end apart.
     """
+    inside = F.lit(False) if inside is None else inside
+    left = cut(edges.distinct().withColumn("_e", F.struct(*edges.columns)).withColumns({"_x": ends[0], "_y": ends[1], "_in": inside}))
+    room = taken = None
+    while True:
+        each = left.withColumn("_node", F.explode(F.array("_x", "_y")))
+        if room is not None:
+            each = each.join(room, [*part, "_node"], "left")
+        free = F.coalesce(F.col("_free"), F.lit(most)) if room is not None else F.lit(most)
+        free_in = F.coalesce(F.col("_free_in"), F.lit(most_inside)) if room is not None else F.lit(most_inside)
+        seat = F.row_number().over(Window.partitionBy(*part, "_node").orderBy(*order))
+        seat_in = F.sum(F.col("_in").cast("int")).over(Window.partitionBy(*part, "_node").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        marked = each.withColumn("_s", seat).where(F.col("_s") <= most).withColumn("_si", seat_in).withColumns({"_f": free, "_fi": free_in})
+        marked = marked.where((F.col("_s") <= F.col("_f")) & (~F.col("_in") | (F.col("_si") <= F.col("_fi"))))
+        new = cut(marked.groupBy(*part, "_e", "_x", "_y", "_in").agg(F.count("*").alias("_n")).where("_n = 2").drop("_n"))
+        taken = new if taken is None else taken.unionByName(new)
+        used = taken.select(*part, F.explode(F.array("_x", "_y")).alias("_node"), "_in").groupBy(*part, "_node").agg((F.lit(most) - F.count("*")).alias("_free"), (F.lit(most_inside) - F.sum(F.col("_in").cast("int"))).alias("_free_in"))
+        room = cut(used)
+        side = lambda c: room.select(*part, F.col("_node").alias(c), F.col("_free").alias(f"{c}f"), F.col("_free_in").alias(f"{c}i"))
+        rest = left.join(new.select(*part, "_e"), [*part, "_e"], "left_anti").join(side("_x"), [*part, "_x"], "left").join(side("_y"), [*part, "_y"], "left")
+        full = (F.coalesce("_xf", F.lit(1)) <= 0) | (F.coalesce("_yf", F.lit(1)) <= 0) | (F.col("_in") & ((F.coalesce("_xi", F.lit(1)) <= 0) | (F.coalesce("_yi", F.lit(1)) <= 0)))
+        left = cut(rest.where(~full).select(*left.columns))
+        if left.isEmpty():
+            return taken.select("_e.*")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        degree: dict = {}
-        inside: dict = {}
-        keep = []
-        for r in pdf.sort_values(["weight", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
-            ends = (r.a, r.b)
-            ok = all(degree.get(e, 0) < most for e in ends) and not (r.same_doc and any(inside.get(e, 0) >= max(1, most // 2) for e in ends))
-            if ok:
-                keep.append(r)
-                for e in ends:
-                    degree[e] = degree.get(e, 0) + 1
-                    inside[e] = inside.get(e, 0) + bool(r.same_doc)
-        return pd.DataFrame(keep, columns=pdf.columns)
 
-    return edges.groupBy(part).applyInPandas(run, edges.schema)
+def cap_degree(edges: DataFrame, part: str, most: int = 32) -> DataFrame:
+    """Keep edges by weight while both ends have fewer than ``most``, at most half of them inside one document.
+
+    (part, a, b, weight, same_doc) -> the same, as one walk in order of weight, a, b for each ACL partition would.
+    """
+    order = [F.desc("weight"), F.asc("a"), F.asc("b"), F.asc("same_doc")]
+    return greedy(edges, [part], (F.col("a"), F.col("b")), order, most, F.col("same_doc"), max(1, most // 2))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -177,12 +181,35 @@ def sparse_profile(post: DataFrame, group: str, term: str, weight: str, most: in
 
 
 def assign(delta: DataFrame, leaves: DataFrame, id_col: str, vec: str, leaf: str, leaf_vec: str) -> DataFrame:
-    """(id, leaf, similarity, state): nearest leaf; direct from 0.78, borderline from 0.58, else outlier.  Leaves are a node table, bounded by the tree."""
-    d = delta.select(id_col, V.l2_normalize(F.col(vec)).alias("_v"))
-    n = leaves.select(leaf, V.l2_normalize(F.col(leaf_vec)).alias("_l"))
-    near = d.crossJoin(n).groupBy(id_col).agg(F.max(F.struct(F.round(V.dot(F.col("_v"), F.col("_l")), 6).alias("s"), (-F.col(leaf)).alias("n"))).alias("_b"))
-    s = F.col("_b.s")
-    return near.select(id_col, (-F.col("_b.n")).alias(leaf), s.alias("similarity"), F.when(s >= 0.78, "direct").when(s >= 0.58, "borderline").otherwise("outlier").alias("state"))
+    """(id, leaf, similarity, state): nearest leaf (ties: the smallest); direct from 0.78, borderline from 0.58, else outlier.
+
+    Leaves go to every task in blocks of checked size, and a batch of vectors meets a block in one matrix product.
+    """
+    id_type, leaf_type = delta.schema[id_col].dataType.simpleString(), leaves.schema[leaf].dataType
+    total = leaves.agg(F.sum(F.size(leaf_vec) * 8 + 64)).first()[0] or 0
+    n = int(total // BLOCK_BYTES) + 1
+    parts = []
+    for i in range(n):
+        rows = sorted(leaves.where(F.pmod(F.xxhash64(leaf), F.lit(n)) == i).select(leaf, leaf_vec).collect(), key=lambda r: r[0])
+        if rows:
+            near = _nearest_leaf(unit_rows([r[1] for r in rows]), pa.array([r[0] for r in rows], to_arrow_type(leaf_type)), id_col, leaf)
+            parts.append(delta.select(id_col, vec).mapInArrow(near, f"{id_col} {id_type}, {leaf} {leaf_type.simpleString()}, similarity double"))
+    found = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
+        best = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("similarity"), leaf))
+        found = found.withColumn("_n", best).where("_n = 1").drop("_n")
+    s = F.col("similarity")
+    return found.withColumn("state", F.when(s >= 0.78, "direct").when(s >= 0.58, "borderline").otherwise("outlier"))
+
+
+def _nearest_leaf(table: np.ndarray, names: pa.Array, id_col: str, leaf: str):
+    def run(batches):
+        for b in batches:
+            s = np.round(unit_rows(b.column(1).to_pylist(), table.shape[1]) @ table.T, 6)
+            at = s.argmax(axis=1) if len(s) else np.empty(0, np.int64)  # the first of equals, and names are in order
+            yield pa.RecordBatch.from_arrays([b.column(0), names.take(pa.array(at)), pa.array(s[np.arange(len(s)), at])], [id_col, leaf, "similarity"])
+
+    return run
 
 
 def drift(assigned: DataFrame, leaf: str, centroid_limit: float = 0.15, outlier_limit: float = 0.20) -> DataFrame:
@@ -200,18 +227,9 @@ def lineage_overlap(old: DataFrame, new: DataFrame, id_col: str = "id", node: st
 
 
 def match_lineage(overlap: DataFrame, least: float = 0.3) -> DataFrame:
-    """Greedy one-to-one matches by score, over the (bounded) node pairs of one tree."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        old, new, keep = set(), set(), []
-        for r in pdf.sort_values(["jaccard", "old_node", "new_node"], ascending=[False, True, True]).itertuples(index=False):
-            if r.jaccard >= least and r.old_node not in old and r.new_node not in new:
-                keep.append(r)
-                old.add(r.old_node)
-                new.add(r.new_node)
-        return pd.DataFrame(keep, columns=pdf.columns)
-
-    return overlap.groupBy(F.lit("tree").alias("_tree")).applyInPandas(run, overlap.schema)
+    """Greedy one-to-one matches by score, then by node."""
+    sides = F.concat(F.lit("old:"), F.col("old_node")), F.concat(F.lit("new:"), F.col("new_node"))
+    return greedy(overlap.where(F.col("jaccard") >= least), [], sides, [F.desc("jaccard"), F.asc("old_node"), F.asc("new_node")], 1)
 
 
 def query_node_scores(query_terms: DataFrame, profiles: DataFrame, query: str, node: str) -> DataFrame:
@@ -223,25 +241,6 @@ def query_node_scores(query_terms: DataFrame, profiles: DataFrame, query: str, n
     return j.select(query, node, F.round(0.65 * F.col("_c") / F.col("_q") + 0.35 * F.col("_w") / F.col("_m"), 6).alias("score"))
 
 
-def descend(scores: dict[str, float], children: dict[str, list[str]], root: str, margin: float = 0.15, beam: int = 3) -> list[str]:
-    """Leaves for one query over a collected node table: the best child while it leads by ``margin``, else a beam of the best."""
-    front, leaves = [root], []
-    while front:
-        nxt = []
-        for node in front:
-            kids = sorted(children.get(node, []), key=lambda k: (-scores.get(k, 0.0), k))
-            if not kids:
-                leaves.append(node)
-                continue
-            p = np.array([max(1e-9, scores.get(k, 0.0)) for k in kids])
-            p /= p.sum()
-            spread = float(-(p * np.log(p)).sum() / np.log(len(p))) if len(p) > 1 else 0.0
-            sure = len(kids) == 1 or (p[0] - p[1] >= margin and spread < 0.9)
-            nxt += kids[: 1 if sure else beam]
-        front = nxt
-    return leaves
-
-
 def lineage(edges: DataFrame, start: DataFrame, depth: int = 5) -> DataFrame:
     """(root, id, depth): chains from each start over (parent, child) edges, breadth first, at most ``depth`` steps."""
     seen = start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,6 +82,24 @@ def overlaps(a_from: Column, a_to: Column, b_from: Column, b_to: Column) -> Colu
     return (a_from < b_to) & (b_from < a_to)
 
 
+def overlap_join(left: DataFrame, right: DataFrame, key: str, start: str, end: str, seconds: int) -> DataFrame:
+    """Pairs of one key whose half-open intervals overlap, columns as ``left_<name>`` and ``right_<name>``.
+
+    Time is cut into buckets of ``seconds``; an interval stands in each bucket it touches, and a pair is kept in the bucket where the later
+    one starts, so a key with many intervals is dealt over its buckets and distant intervals never meet.
+    """
+    bucket = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / seconds)
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        cols = [F.col(c).alias(f"{name}_{c}") for c in df.columns]
+        return df.select(*cols, F.explode(F.sequence(bucket(start), bucket(end))).alias("_bucket")).withColumn("_key", F.col(f"{name}_{key}"))
+
+    both = side(left, "left").join(side(right, "right"), ["_key", "_bucket"])
+    later = F.greatest(F.col(f"left_{start}"), F.col(f"right_{start}"))
+    on = overlaps(F.col(f"left_{start}"), F.col(f"left_{end}"), F.col(f"right_{start}"), F.col(f"right_{end}"))
+    return both.where(on & (F.floor(F.unix_timestamp(later.cast("timestamp")) / seconds) == F.col("_bucket"))).drop("_key", "_bucket")
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, right_cols: list[str]) -> DataFrame:
     """Each left row with the last right row of its key at or before its time (nulls without one).
 
@@ -97,6 +116,29 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     return both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1").select("_l.*", *[F.col(f"_r.{c}").alias(c) for c in [right_time, *right_cols]])
 
 
+def bridges(relations: DataFrame, version: str, entity: str) -> DataFrame:
+    """(a, b, shared): versions that share entities; an entity counts if at most max(3, min(10, 8 % of the versions)) have it.
+
+    The cap is the operator's own: it bounds an entity's pairs by a constant, whatever the number of versions.
+    """
+    rel = relations.select(F.col(version).alias("_v"), F.col(entity).alias("_e")).where("_v is not null and _e is not null").distinct()
+    n = rel.select("_v").distinct().count()
+    cap = max(3, min(10, math.ceil(0.08 * n)))
+    few = rel.groupBy("_e").agg(F.count("*").alias("_n")).where(F.col("_n").between(2, cap)).select("_e")
+    r = rel.join(few, "_e")
+    pairs = r.select("_e", F.col("_v").alias("a")).join(r.select("_e", F.col("_v").alias("b")), "_e").where("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def two_hops(relations: DataFrame, unit: str, code: str, most: int = 3, decay: float = 0.92) -> DataFrame:
+    """(src, dst, score): units two steps apart over codes that at most ``most`` units have; each step costs ``decay``."""
+    rel = relations.select(F.col(unit).alias("_u"), F.col(code).alias("_c")).where("_u is not null and _c is not null").distinct()
+    r = rel.join(rel.groupBy("_c").agg(F.count("*").alias("_n")).where(F.col("_n") <= most).select("_c"), "_c")
+    step = r.select("_c", F.col("_u").alias("src")).join(r.select("_c", F.col("_u").alias("mid")), "_c").where("src <> mid").select("src", "mid").distinct()
+    two = step.join(step.select(F.col("src").alias("mid"), F.col("mid").alias("dst")), "mid").where("src <> dst")
+    return two.select("src", "dst").distinct().withColumn("score", F.lit(decay * decay))
+
+
 def valid_at(versions: DataFrame, moment, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
     return versions.where((F.col(start) <= F.lit(moment)) & (F.lit(moment) < F.col(end)))
 

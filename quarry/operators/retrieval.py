@@ -7,14 +7,19 @@ import re
 from collections import Counter
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
-from ..functions import vectors as V
+from .staging import cut
 
 K1, B = 1.5, 0.75
+#: Bytes of queries that go to every task at once.
+BLOCK_BYTES = 8 << 20
 
 # ---- sparse -----------------------------------------------------------------------------------
 
@@ -31,20 +36,103 @@ def document_frequencies(post: DataFrame, n_docs: int) -> DataFrame:
     return df.withColumn("idf", F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
+def _blocks(queries: DataFrame, key: str, size: Column) -> list[DataFrame]:
+    """The queries in parts of about BLOCK_BYTES, by hash of the key; one part if they are that small."""
+    total = queries.agg(F.sum(size)).first()[0] or 0
+    n = int(total // BLOCK_BYTES) + 1
+    return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
+class Best:
+    """The k best scores of each query so far; ``keep`` marks the scores that may be among them (ties included)."""
+
+    def __init__(self, n: int, k: int, floor: float):
+        self.k, self.floor, self.best = k, floor, np.full((n, k), -np.inf)
+
+    def keep(self, scores: np.ndarray) -> np.ndarray:
+        """scores: rows x queries."""
+        both = np.concatenate([self.best, scores.T], axis=1)
+        self.best = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+        return (scores >= self.best.min(axis=1)) & (scores > self.floor)
+
+
+def _ranked(found: list[DataFrame], query: str, id_col: str, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), id_col))
+    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def bm25_search(docs: DataFrame, id_col: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int) -> DataFrame:
-    """The k best texts of each query.  Only postings of query terms survive the first (semi-)join, with their frequencies."""
-    terms = queries.select(query_id, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(query_text), F.lit(X.WORD), F.lit(0)))).alias("term"))
-    words = docs.select(id_col, F.regexp_extract_all(F.lower(text), F.lit(X.WORD), F.lit(0)).alias("w"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
-    each = words.select(id_col, F.size("w").alias("doc_len"), F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    post = each.groupBy(id_col, "term", "doc_len").agg(F.count("*").alias("tf"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avgdl))
-    scored = post.join(df, "term").select(id_col, "term", weight.alias("w")).join(terms, "term")
-    sums = scored.groupBy(query_id, id_col).agg(F.round(F.sum("w"), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col))
-    return sums.withColumn("rank", rank).where(F.col("rank") <= k)
+    """The k best texts of each query.
+
+    A block of queries (of checked size) goes to every task.  One pass over the texts keeps, of each, its length and its
+    counts of query terms; frequencies come from those rows; a second pass over them scores a text against all queries
+    of the block at once and lets through only what may be among a query's k best so far.  No posting is
+    shuffled, so a word that stands in every text is no hot key.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(X.WORD), F.lit(0))
+    id_type, q_type = docs.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    found = []
+    for block in _blocks(queries.select(query_id, query_text), query_id, F.octet_length(query_text) + 64):
+        rows = block.select(query_id, F.array_distinct(words(F.col(query_text))).alias("w")).where("w is not null").collect()
+        number: dict[str, int] = {}
+        asked: list[list[int]] = []
+        for q, r in enumerate(rows):
+            for w in r["w"]:
+                if w not in number:
+                    number[w] = len(asked)
+                    asked.append([])
+                asked[number[w]].append(q)
+        counted = cut(docs.select(id_col, words(F.col(text)).alias("w")).mapInArrow(_counts(number, id_col), f"{id_col} {id_type}, doc_len int, terms array<int>, tf array<int>"))
+        stats = counted.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl")).first()
+        df = np.zeros(len(asked))
+        for r in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():  # a row a query term
+            df[r["t"]] = r["df"]
+        idf = np.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))
+        names = pa.array([r[query_id] for r in rows], to_arrow_type(queries.schema[query_id].dataType))
+        score = _scores(asked, idf, stats["avgdl"] or 1.0, names, k, query_id, id_col)
+        found.append(counted.where(F.size("terms") > 0).mapInArrow(score, f"{query_id} {q_type}, {id_col} {id_type}, score double"))
+    return _ranked(found, query_id, id_col, k)
+
+
+def _counts(number: dict[str, int], id_col: str):
+    def run(batches):
+        get = number.get
+        for b in batches:
+            lengths, terms, tf = [], [], []
+            for w in b.column(1).to_pylist():
+                n = Counter(map(get, w or ()))
+                n.pop(None, None)
+                lengths.append(None if w is None else len(w))  # a null text has no part in the mean
+                terms.append(list(n.keys()))
+                tf.append(list(n.values()))
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (terms, tf)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int32()), *lists], [id_col, "doc_len", "terms", "tf"])
+
+    return run
+
+
+def _scores(asked: list[list[int]], idf: np.ndarray, avgdl: float, names: pa.Array, k: int, query_id: str, id_col: str):
+    starts = np.concatenate([[0], np.cumsum([len(a) for a in asked])]).astype(np.int64)
+    flat = np.array([q for a in asked for q in a], np.int64)
+    at_once = max(1, (1 << 21) // max(1, len(names)))
+
+    def run(batches):
+        best = Best(len(names), k, 0.0)
+        for whole in batches:
+            for b in (whole.slice(i, at_once) for i in range(0, whole.num_rows, at_once)):
+                terms, tf = b.column(2), b.column(3)
+                counts = np.diff(terms.offsets.to_numpy())
+                t, f = terms.flatten().to_numpy(), tf.flatten().to_numpy().astype(float)
+                row = np.repeat(np.arange(b.num_rows), counts)
+                w = idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * b.column(1).to_numpy()[row] / avgdl))
+                n = starts[t + 1] - starts[t]
+                which = np.repeat(starts[t] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                cell = np.repeat(row, n) * len(names) + flat[which]
+                s = np.round(np.bincount(cell, np.repeat(w, n), b.num_rows * len(names)), 6).reshape(b.num_rows, len(names))
+                doc, query = np.nonzero(best.keep(s))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), b.column(0).take(pa.array(doc)), pa.array(s[doc, query])], [query_id, id_col, "score"])
+
+    return run
 
 
 def sparse_weights(post: DataFrame, id_col: str, avg_len: float = 256.0, stems: bool = True) -> DataFrame:
@@ -94,15 +182,45 @@ def okapi(turns: DataFrame, thread: str, turn_id: str, text: str, queries: DataF
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, query_id: str, id_col: str, vec: str, k: int) -> DataFrame:
-    """The k nearest vectors of each query by cosine, scores moved into [0, 1].
+    """The k nearest vectors of each query by cosine, scores moved into [0, 1]; exact.
 
-    The queries are a stated set and small by contract; Spark keeps or shuffles them by their measured size.
+    A block of queries (of checked size) goes to every task, a batch of vectors meets it in one matrix product, and only scores that
+    may be among a query's k best so far leave the task.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), V.l2_normalize(F.col(vec)).alias("_q"))
-    v = vectors.select(F.col(id_col), V.l2_normalize(F.col(vec)).alias("_v"))
-    scored = v.crossJoin(q).where(F.col(id_col) != F.col("query_id")).select("query_id", id_col, F.round((V.dot(F.col("_q"), F.col("_v")) + 1) / 2, 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    id_type, q_type = vectors.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    found = []
+    for block in _blocks(queries.select(query_id, vec), query_id, F.size(vec) * 8 + 64):
+        rows = block.where(F.col(vec).isNotNull()).collect()
+        names = pa.array([r[query_id] for r in rows], to_arrow_type(queries.schema[query_id].dataType))
+        near = _nearest(unit_rows([r[vec] for r in rows]), names, k, query_id, id_col)
+        found.append(vectors.select(id_col, vec).where(F.col(vec).isNotNull()).mapInArrow(near, f"query_id {q_type}, {id_col} {id_type}, score double"))
+    return _ranked(found, "query_id", id_col, k)
+
+
+def unit_rows(vectors: list, dim: int | None = None) -> np.ndarray:
+    """Vectors of one length as rows of length 1; those of another length or without one are zeros."""
+    dim = dim or (len(vectors[0]) if vectors else 1)
+    m = np.array([v if v is not None and len(v) == dim else [0.0] * dim for v in vectors], float).reshape(len(vectors), dim)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.where(n > 1e-12, m / np.where(n > 1e-12, n, 1), m)
+
+
+def _nearest(q: np.ndarray, names: pa.Array, k: int, query_id: str, id_col: str):
+    at_once = max(1, (1 << 21) // max(1, len(names)))
+
+    def run(batches):
+        best, own = Best(len(names), k, -np.inf), names.to_pylist()
+        place = {x: i for i, x in enumerate(own)}
+        for whole in batches:
+            for b in (whole.slice(i, at_once) for i in range(0, whole.num_rows, at_once)):
+                s = np.round((unit_rows(b.column(1).to_pylist(), q.shape[1]) @ q.T + 1) / 2, 6)
+                for i, x in enumerate(b.column(0).to_pylist()):
+                    if x in place:  # a vector is no neighbour of its own
+                        s[i, place[x]] = -np.inf
+                row, query = np.nonzero(best.keep(s))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), b.column(0).take(pa.array(row)), pa.array(s[row, query])], ["query_id", id_col, "score"])
+
+    return run
 
 
 # ---- fusion -----------------------------------------------------------------------------------

@@ -1,3 +1,3 @@
 """Registered query plans; importing the modules fills the catalog."""
 
-from . import extra, graph, memory, ranking, relational, sources, text  # noqa: F401
+from . import extra, graph, memory, ranking, relational, search, sources, text  # noqa: F401

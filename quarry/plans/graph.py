@@ -61,12 +61,23 @@ def _(t):
     return G.cap_degree(e, "part", 4).select("part", "a", "b", "weight")
 
 
-@query("ppr")
+_ROUNDS = 30
+_PPR = """
+WITH e AS (SELECT 'o' || l_orderkey AS src, 's' || l_suppkey AS dst, l_quantity AS w FROM lineitem), b AS (SELECT * FROM e UNION ALL SELECT dst, src, w FROM e),
+o AS (SELECT src, sum(w) AS total FROM b GROUP BY 1), m AS MATERIALIZED (SELECT b.src, b.dst, sum(w / total) AS p FROM b JOIN o USING (src) GROUP BY 1, 2),
+i AS (SELECT DISTINCT src AS id FROM b WHERE src LIKE 'o1%'), s AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM i) AS s FROM i), r0 AS (SELECT id, s AS r FROM s)""" + "".join(
+    f""",
+f{n} AS (SELECT dst AS id, 0.6 * sum(r * p) AS f FROM r{n - 1} JOIN m ON id = src GROUP BY 1), r{n} AS MATERIALIZED (SELECT coalesce(f{n}.id, s.id) AS id, coalesce(f, 0) + 0.4 * coalesce(s, 0) AS r FROM f{n} FULL JOIN s ON f{n}.id = s.id)"""
+    for n in range(1, _ROUNDS + 1)
+) + f" SELECT id, round(r, 8) AS rank FROM r{_ROUNDS}"
+
+
+@query("ppr", _PPR)
 def _(t):
     e = t.lineitem.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.col("l_quantity").alias("weight"))
     e = e.union(e.select("dst", "src", "weight"))
     seeds = e.select(F.col("src").alias("id")).where("id LIKE 'o1%'").distinct().withColumn("weight", F.lit(1.0))
-    return G.pagerank(e, seeds).select("id", F.round("r", 8).alias("rank"))
+    return G.pagerank(e, seeds, rounds=_ROUNDS).select("id", F.round("r", 8).alias("rank"))
 
 
 @query("tree_partition")
@@ -116,27 +127,16 @@ def _(t):
     return G.query_node_scores(q, prof, "item_id", "source")
 
 
-@query("route_descend")
-def _(t):
-    kids = {"root": ["r0", "r1", "r2", "r3", "r4"]}
-    rows = t.nation.select("n_nationkey", "n_regionkey").collect()  # a node table: the tree, not the data
-    for r in rows:
-        kids.setdefault(f"r{r.n_regionkey}", []).append(f"n{r.n_nationkey}")
-    scores = {f"n{r.n_nationkey}": (r.n_nationkey * 7 % 25) / 25 for r in rows}
-    scores |= {k: max(scores[c] for c in v) for k, v in kids.items() if k != "root"}
-    return t.spark.createDataFrame([(n,) for n in G.descend(scores, kids, "root")], "leaf string")
-
-
 def _assigned(t):
-    leaves = G.medoids(t.embeddings.where("vec_id % 2 = 0"), "label", "vec_id", "embedding").select(F.col("medoid").alias("vec_id"), "label")
+    leaves = G.medoids(t.embeddings, "label", "vec_id", "embedding").select(F.col("medoid").alias("vec_id"), "label")
     leaves = leaves.join(t.embeddings.select("vec_id", F.col("embedding").alias("leaf_vec")), "vec_id").select(F.col("label").alias("leaf"), "leaf_vec")
-    return G.assign(t.embeddings.where("vec_id % 2 = 1"), leaves, "vec_id", "embedding", "leaf", "leaf_vec")
+    return G.assign(t.embeddings, leaves, "vec_id", "embedding", "leaf", "leaf_vec")
 
 
 _ASSIGN = f"""
-e AS (SELECT label, vec_id, {_E} AS v FROM embeddings), b AS (SELECT * FROM e WHERE vec_id % 2 = 0), c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY label ORDER BY sha256(vec_id::VARCHAR)) <= 64),
+e AS (SELECT label, vec_id, {_E} AS v FROM embeddings), b AS (SELECT * FROM e), c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY label ORDER BY sha256(vec_id::VARCHAR)) <= 64),
 s AS (SELECT c.label, c.vec_id, round(sum(greatest(0, list_cosine_similarity(c.v, b.v))), 6) AS score FROM c JOIN b USING (label) GROUP BY 1, 2), m AS (SELECT label, vec_id FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1),
-l AS (SELECT m.label, b.v FROM m JOIN b ON m.vec_id = b.vec_id), x AS (SELECT d.vec_id, l.label AS leaf, round(list_cosine_similarity(d.v, l.v), 6) AS similarity FROM e d, l WHERE d.vec_id % 2 = 1),
+l AS (SELECT m.label, b.v FROM m JOIN b ON m.vec_id = b.vec_id), x AS (SELECT d.vec_id, l.label AS leaf, round(list_cosine_similarity(d.v, l.v), 6) AS similarity FROM e d, l),
 a AS (SELECT vec_id, leaf, similarity, CASE WHEN similarity >= 0.78 THEN 'direct' WHEN similarity >= 0.58 THEN 'borderline' ELSE 'outlier' END AS state FROM x QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, leaf) = 1)"""
 
 
@@ -211,12 +211,12 @@ def _(t):
 
 
 @query("section_graph", """
-WITH r AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_suppkey) AS rn FROM lineitem WHERE l_orderkey < 2000)
+WITH r AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_suppkey) AS rn FROM lineitem)
 SELECT l_suppkey, s_name, count(DISTINCT l_orderkey) AS events FROM r JOIN supplier ON s_suppkey = l_suppkey WHERE rn <= 2 GROUP BY 1, 2""")
 def _(t):
     from ..operators.relational import latest
 
-    r = latest(t.lineitem.where("l_orderkey < 2000"), "l_orderkey", [F.desc("l_quantity"), F.asc("l_linenumber"), F.asc("l_suppkey")], 2)
+    r = latest(t.lineitem, "l_orderkey", [F.desc("l_quantity"), F.asc("l_linenumber"), F.asc("l_suppkey")], 2)
     g = r.groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("events"))
     return g.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("l_suppkey", "s_name", "events")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import fixed
 from ..functions import text as X
 from ..operators import memory as M
 from ..operators import retrieval as S
@@ -17,19 +18,30 @@ def _turns(t):
     return t.conversations.where("conv_id IS NOT NULL").withColumn("sec", sec)
 
 
-@query("epistemic_classify", r"""
-SELECT conv_id, turn, CASE WHEN regexp_matches(x, '\?\s*$') THEN 'FACT' WHEN regexp_matches(x, '\b(?:finalized|decided\s+to\s+use|we\s+chose|switched\s+to)\b') THEN 'CONFIRMED' WHEN regexp_matches(x, '\b(?:dropped|rejected|ruled\s+out)\b') THEN 'NEGATED'
-WHEN regexp_matches(x, '\b(?:considering|evaluating)\b') THEN 'CONSIDERING' WHEN regexp_matches(x, '\b(?:propose|suggest|might\s+use)\b') THEN 'PROPOSED' WHEN regexp_matches(x, '\b(?:blocker|regression|deadlock)\b') THEN 'OPEN_ISSUE' ELSE 'FACT' END AS state,
-len(regexp_extract_all(text, '\S+')) <= 9 AS anaphoric FROM (SELECT *, lower(trim(text)) AS x FROM conversations)""")
+def _re(pattern: str) -> str:
+    return "'(?i)" + pattern.replace("'", "''") + "'"
+
+
+_CLAUSES = f"""
+c AS (SELECT conv_id, turn, trim(unnest(regexp_split_to_array(x, {_re(fixed.CLAUSE)}))) AS c FROM m),
+e AS (SELECT *, regexp_extract_all(c, {_re("(?s)(.*?)(" + fixed.CONFIRMED + ")")}, 0) AS ends, regexp_extract_all(c, {_re("(?s)(.*?)(" + fixed.CONFIRMED + ")")}, 1) AS leads FROM c),
+k AS (SELECT conv_id, turn, bool_or(len(list_filter(range(len(ends)), lambda i: NOT regexp_matches(right(array_to_string(ends[:i], '') || leads[i + 1], {fixed.GUARD_BEFORE_CHARS}), {_re(fixed.GUARD_BEFORE)})
+  AND NOT regexp_matches(substr(c, len(array_to_string(ends[:i + 1], '')) + 1, {fixed.GUARD_AFTER_CHARS}), {_re(fixed.GUARD_AFTER)}))) > 0) AS yes FROM e GROUP BY 1, 2)"""
+
+
+@query("epistemic_classify", f"""
+WITH m AS (SELECT conv_id, turn, min(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS x FROM conversations GROUP BY 1, 2), {_CLAUSES}
+SELECT conv_id, turn, CASE WHEN regexp_matches(x, {_re(fixed.QUESTION)}) THEN 'FACT' WHEN yes THEN 'CONFIRMED' WHEN regexp_matches(x, {_re(fixed.NEGATED)}) THEN 'NEGATED'
+WHEN regexp_matches(x, {_re(fixed.CONSIDERING)}) THEN 'CONSIDERING' WHEN regexp_matches(x, {_re(fixed.PROPOSED)}) THEN 'PROPOSED' WHEN regexp_matches(x, {_re(fixed.OPEN_ISSUE)}) THEN 'OPEN_ISSUE' ELSE 'FACT' END AS state,
+len(regexp_extract_all(x, '\\S+')) <= 9 OR regexp_matches(x, {_re(fixed.ANAPHORIC)}) AS anaphoric FROM m LEFT JOIN k USING (conv_id, turn)""")
 def _(t):
     return t.conversations.select("conv_id", "turn", M.epistemic_state(F.col("text")).alias("state"), M.is_anaphoric(F.col("text")).alias("anaphoric"))
 
 
-@query("topic_slots", r"""
-SELECT s, slot FROM (VALUES ('we decided to use postgres', 'slot:database'), ('kafka or nats?', 'slot:messaging_queue'), ('raise the budget', 'slot:budget'), ('hello there', NULL)) t(s, slot)""")
+@query("topic_slots", f"""
+SELECT conv_id, turn, CASE {" ".join(f"WHEN regexp_matches(text, {_re(pattern)}) THEN '{name}'" for name, pattern in fixed.SLOTS)} END AS slot FROM conversations""")
 def _(t):
-    rows = t.spark.createDataFrame([(s,) for s in ("we decided to use postgres", "kafka or nats?", "raise the budget", "hello there")], "s string")
-    return rows.select("s", M.topic_slot(F.col("s")).alias("slot"))
+    return t.conversations.select("conv_id", "turn", M.topic_slot(F.col("text")).alias("slot"))
 
 
 @query("ledger_supersede", """

@@ -51,20 +51,20 @@ _SH = r"""CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w,
 
 
 @query("minhash_signature", f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents WHERE n_chars < 600), s AS (SELECT doc_id, unnest({_SH}) AS s FROM d)
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), s AS (SELECT doc_id, unnest({_SH}) AS s FROM d)
 SELECT doc_id, min(('0x' || substr(md5('0:' || s), 1, 8))::UBIGINT)::BIGINT AS m0, min(('0x' || substr(md5('1:' || s), 1, 8))::UBIGINT)::BIGINT AS m1, min(('0x' || substr(md5('127:' || s), 1, 8))::UBIGINT)::BIGINT AS m127 FROM s GROUP BY 1""")
 def _(t):
-    s = M.minhash(t.documents.where("n_chars < 600"), "doc_id", "text")
+    s = M.minhash(t.documents, "doc_id", "text")
     return s.select("doc_id", F.element_at("sig", 1).alias("m0"), F.element_at("sig", 2).alias("m1"), F.element_at("sig", 128).alias("m127"))
 
 
 @query("lsh_candidates", f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents WHERE n_chars < 600), s AS (SELECT doc_id, unnest({_SH}) AS s FROM d),
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), s AS (SELECT doc_id, unnest({_SH}) AS s FROM d),
 m AS (SELECT doc_id, i, min(('0x' || substr(md5(i::VARCHAR || ':' || s), 1, 8))::UBIGINT)::BIGINT AS m FROM s, range(128) r(i) GROUP BY 1, 2),
 b AS (SELECT doc_id, i // 4 AS band, string_agg(m::VARCHAR, ',' ORDER BY i) AS k FROM m GROUP BY 1, 2)
 SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM b x JOIN b y ON x.band = y.band AND x.k = y.k AND x.doc_id < y.doc_id""")
 def _(t):
-    return M.band_candidates(M.minhash(t.documents.where("n_chars < 600"), "doc_id", "text"), "doc_id")
+    return M.band_candidates(M.minhash(t.documents, "doc_id", "text"), "doc_id")
 
 
 @query("near_dup_pairs")
@@ -72,11 +72,15 @@ def _(t):
     return M.near_duplicates(t.documents, "doc_id", "text")
 
 
-@query("simhash_bands")
+_PLANES = M.planes(64)
+
+
+@query("simhash_bands", f"""
+WITH p AS (SELECT unnest(range(32)) AS p, unnest({_PLANES}) AS w), e AS (SELECT vec_id, {_UNIT} AS v FROM embeddings),
+s AS (SELECT vec_id, p, CASE WHEN list_dot_product(v, list_transform(w, lambda x: x::DOUBLE)) >= 0 THEN '1' ELSE '0' END AS bit FROM e, p)
+SELECT vec_id, (p // 4)::VARCHAR || ':' || string_agg(bit, '' ORDER BY p) AS band FROM s GROUP BY vec_id, p // 4""")
 def _(t):
-    b = M.simhash_bands(t.embeddings, "vec_id", "embedding", 64)
-    x, y = b.withColumnRenamed("vec_id", "a"), b.withColumnRenamed("vec_id", "b")
-    return x.join(y, "band").where("a < b").groupBy("a", "b").agg(F.count("*").alias("bands"))
+    return M.simhash_bands(t.embeddings, "vec_id", "embedding", 64)
 
 
 @query("exact_dedup", "SELECT doc_id, sha256(text) AS content_hash, min(doc_id) OVER (PARTITION BY text) AS first_id, row_number() OVER (PARTITION BY text ORDER BY doc_id)::INT AS copy_no FROM documents")
@@ -91,10 +95,12 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", rel.alias("relation"))
 
 
-@query("semantic_diff", "SELECT * FROM (VALUES (1, true, false, false), (2, false, false, false), (3, false, false, false), (4, false, true, false), (5, false, true, false)) t(id, quantity_changed, polarity_flipped, lifecycle)")
+@query("semantic_diff")
 def _(t):
-    rows = [(1, "upload size limit is 25 MiB.", "upload size limit is 10 MiB."), (2, "1,000 files", "1000 files"), (3, "the cache is not enabled", "the cache is disabled"), (4, "users are allowed: allow", "users are allowed: does not allow"), (5, "the token is valid", "the token is invalid")]
-    return M.semantic_diff(t.spark.createDataFrame(rows, "id int, a string, b string"), "a", "b").drop("a", "b")
+    """Each turn against the one before it; the alignment is sequential, so tests hold it against facts."""
+    c = t.conversations.select("conv_id", "turn", "text")
+    pairs = c.join(c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before")), ["conv_id", "turn"])
+    return M.semantic_diff(pairs, "before", "text").withColumn("relation", M.relation(F.lit(False))).drop("text", "before")
 
 
 @query("dup_cluster_components", """
@@ -107,14 +113,16 @@ def _(t):
 
 
 @query("content_shingle_jaccard", r"""
-WITH d AS (SELECT doc_id, source, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS n FROM documents WHERE n_chars BETWEEN 20 AND 400),
-s AS (SELECT doc_id, source, list_distinct(list_transform(range(1, greatest(length(n) - 4, 2)), lambda i: substr(n, i, 6))) AS s FROM d WHERE length(n) >= 6)
-SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard FROM s a JOIN s b ON a.source = b.source AND a.doc_id < b.doc_id""")
+WITH n AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS n FROM documents),
+x AS (SELECT doc_id, CASE WHEN length(n) > 4096 THEN substr(n, 1, 1024) || chr(10) || substr(n, (length(n) - 1024) // 3 + 1, 1024) || chr(10) || substr(n, (length(n) - 1024) * 2 // 3 + 1, 1024) || chr(10) || substr(n, length(n) - 1023, 1024) ELSE n END AS n FROM n),
+k AS (SELECT doc_id, n, CASE WHEN length(n) >= 6 THEN 6 ELSE 3 END AS k FROM x),
+s AS (SELECT doc_id, CASE WHEN length(n) = 0 THEN [] WHEN length(n) < 3 THEN [n] ELSE list_distinct(list_transform(range(1, greatest(length(n) - k + 2, 2)), lambda i: substr(n, i, k))) END AS s FROM k)
+SELECT a.doc_id AS a, b.doc_id AS b, round(CASE WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0 ELSE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END, 6) AS jaccard FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""")
 def _(t):
-    d = t.documents.where("n_chars BETWEEN 20 AND 400").where(F.length(X.lexical(F.col("text"))) >= 6).select("doc_id", "source", S.shingles(F.col("text")).alias("s"))
-    a, b = d.alias("a"), d.alias("b")
-    p = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    return p.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.round(S.jaccard(F.col("a.s"), F.col("b.s")), 6).alias("jaccard"))
+    """Each document against the one of the next id: the pairs are given, never all against all."""
+    d = t.documents.select("doc_id", S.shingles(F.col("text")).alias("s"))
+    p = d.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"), (F.col("doc_id") + 1).alias("b")).join(d.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    return p.select("a", "b", F.round(S.jaccard(F.col("sa"), F.col("sb")), 6).alias("jaccard"))
 
 
 def _hits(t):
@@ -230,8 +238,8 @@ def _(t):
 
 
 @query("quality_score", """
-WITH u AS (SELECT d.source AS topic, d.doc_id, d.lang AS src, l.quality IS NOT NULL AND l.quality = 1 AS anchored, 0.8 AS conf, TIMESTAMP '2024-01-01' + INTERVAL (d.doc_id % 90) DAY AS at FROM documents d LEFT JOIN labels l USING (doc_id)),
-b AS (SELECT topic, count(*) AS n, avg(anchored::INT) AS coverage, avg(exp(-ln(2) * greatest((epoch_us(TIMESTAMP '2024-04-01') - epoch_us(at)) / 86400000000, 0) / 90)) AS fresh, coalesce(avg(CASE WHEN anchored THEN 1 - conf END), 1) AS unc FROM u GROUP BY 1),
+WITH u AS (SELECT d.source AS topic, d.doc_id, d.lang AS src, l.quality IS NOT NULL AND l.quality = 1 AS anchored, 0.8 AS conf, TIMESTAMP '2024-01-01' + INTERVAL (d.doc_id % 90) DAY AS at_ FROM documents d LEFT JOIN labels l USING (doc_id)),
+b AS (SELECT topic, count(*) AS n, avg(anchored::INT) AS coverage, avg(exp(-ln(2) * greatest((epoch_us(TIMESTAMP '2024-04-01') - epoch_us(at_)) / 86400000000, 0) / 90)) AS fresh, coalesce(avg(CASE WHEN anchored THEN 1 - conf END), 1) AS unc FROM u GROUP BY 1),
 c AS (SELECT topic, src, count(*) AS k FROM u WHERE anchored GROUP BY 1, 2), p AS (SELECT topic, k / sum(k) OVER (PARTITION BY topic) AS p FROM c),
 e AS (SELECT topic, CASE WHEN count(*) <= 1 THEN 0 ELSE -sum(p * ln(p)) / ln(count(*)) END AS div FROM p GROUP BY 1),
 s AS (SELECT b.topic, 0.30 * (1 - coverage) + 0.15 * (1 - coalesce(div, 0)) + 0.15 * (1 - fresh) + 0.15 * unc AS sev, least(1, ln(1 + n / 7) / ln(51)) AS dem, least(1, greatest(0, (n / 7 - 1) / greatest(1, 1)) / 2) AS gro FROM b LEFT JOIN e USING (topic))

@@ -166,9 +166,7 @@ SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_c
 AND a.o_orderdate < b.o_orderdate + INTERVAL 30 DAY AND b.o_orderdate < a.o_orderdate + INTERVAL 30 DAY""")
 def _(t):
     o = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("f"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAY")).alias("u"))
-    a, b = o.alias("a"), o.alias("b")
-    on = (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderkey") < F.col("b.o_orderkey")) & R.overlaps(F.col("a.f"), F.col("a.u"), F.col("b.f"), F.col("b.u"))
-    return a.join(b, on).select(F.col("a.o_orderkey").alias("a"), F.col("b.o_orderkey").alias("b"))
+    return R.overlap_join(o, o, "o_custkey", "f", "u", 30 * 86400).where("left_o_orderkey < right_o_orderkey").select(F.col("left_o_orderkey").alias("a"), F.col("right_o_orderkey").alias("b"))
 
 
 @query("asof_join", """
@@ -199,21 +197,19 @@ def _(t):
 
 
 @query("entity_bridge_join", """
-WITH df AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS df FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) BETWEEN 2 AND 24),
-r AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem JOIN df USING (l_partkey))
-SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared FROM r a JOIN r b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey GROUP BY 1, 2""")
+WITH cap AS (SELECT greatest(3, least(10, ceil(0.08 * count(DISTINCT l_orderkey)))) AS cap FROM lineitem),
+df AS (SELECT l_partkey, l_suppkey, count(DISTINCT l_orderkey) AS df FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_orderkey) BETWEEN 2 AND (SELECT cap FROM cap)),
+r AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem JOIN df USING (l_partkey, l_suppkey))
+SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared FROM r a JOIN r b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey AND a.l_orderkey < b.l_orderkey GROUP BY 1, 2""")
 def _(t):
-    rel = t.lineitem.select("l_orderkey", "l_partkey").distinct()
-    df = rel.groupBy("l_partkey").count().where("count BETWEEN 2 AND 24").select("l_partkey")  # the cap bounds each key's pairs
-    r = rel.join(df, "l_partkey")
-    a, b = r.alias("a"), r.alias("b")
-    pairs = a.join(b, (F.col("a.l_partkey") == F.col("b.l_partkey")) & (F.col("a.l_orderkey") < F.col("b.l_orderkey")))
-    return pairs.groupBy(F.col("a.l_orderkey").alias("a"), F.col("b.l_orderkey").alias("b")).agg(F.count("*").alias("shared"))
+    """Orders stand for versions, offers (a part of a supplier) for entities; the operator's cap leaves out what too many share."""
+    rel = t.lineitem.select(F.col("l_orderkey").alias("version"), F.struct("l_partkey", "l_suppkey").alias("entity"))
+    return R.bridges(rel, "version", "entity")
 
 
-@query("locator_hydrate", "SELECT e.event_id, c.c_name, c.c_mktsegment FROM events e JOIN customer c ON e.user_id = c.c_custkey WHERE e.event_id % 7 = 3 AND e.event_type = 'click'")
+@query("locator_hydrate", "SELECT e.event_id, c.c_name, c.c_mktsegment FROM events e JOIN customer c ON e.user_id = c.c_custkey WHERE e.event_type = 'click'")
 def _(t):
-    e = t.events.where("event_id % 7 = 3 AND event_type = 'click'").select("event_id", "user_id")
+    e = t.events.where("event_type = 'click'").select("event_id", "user_id")
     return e.join(t.customer, F.col("user_id") == F.col("c_custkey")).select("event_id", "c_name", "c_mktsegment")
 
 
@@ -308,9 +304,9 @@ def _(t):
 
 
 @query("slice_heat", """
-SELECT l_suppkey, s_name, count(*) AS heat FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 11 = 0 GROUP BY 1, 2 ORDER BY heat DESC, s_name, l_suppkey LIMIT 15""")
+SELECT l_suppkey, s_name, count(*) AS heat FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2 ORDER BY heat DESC, s_name, l_suppkey LIMIT 15""")
 def _(t):
-    c = t.lineitem.where("l_orderkey % 11 = 0").groupBy("l_suppkey").agg(F.count("*").alias("heat"))
+    c = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("heat"))
     return c.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("l_suppkey", "s_name", "heat").orderBy(F.desc("heat"), "s_name", "l_suppkey").limit(15)
 
 
@@ -349,20 +345,17 @@ def _(t):
 
 
 @query("two_hop_codes", """
-WITH r AS (SELECT DISTINCT l_orderkey AS d, l_suppkey AS e FROM lineitem WHERE l_quantity >= 49), df AS (SELECT e FROM r GROUP BY e HAVING count(*) BETWEEN 2 AND 14), q AS (SELECT r.* FROM r JOIN df USING (e)),
-h1 AS (SELECT DISTINCT a.d AS src, b.d AS mid FROM q a JOIN q b USING (e) WHERE a.d <> b.d)
-SELECT DISTINCT x.src, y.mid AS dst FROM h1 x JOIN h1 y ON x.mid = y.src WHERE x.src <> y.mid""")
+WITH r AS (SELECT DISTINCT l_orderkey AS d, l_partkey, l_suppkey FROM lineitem), df AS (SELECT l_partkey, l_suppkey FROM r GROUP BY 1, 2 HAVING count(*) BETWEEN 1 AND 3), q AS (SELECT r.* FROM r JOIN df USING (l_partkey, l_suppkey)),
+h1 AS (SELECT DISTINCT a.d AS src, b.d AS mid FROM q a JOIN q b USING (l_partkey, l_suppkey) WHERE a.d <> b.d)
+SELECT x.src, y.mid AS dst, round(0.92 * 0.92, 6) AS score FROM h1 x JOIN h1 y ON x.mid = y.src WHERE x.src <> y.mid GROUP BY 1, 2""")
 def _(t):
-    r = t.lineitem.where("l_quantity >= 49").select(F.col("l_orderkey").alias("d"), F.col("l_suppkey").alias("e")).distinct()
-    q = r.join(r.groupBy("e").count().where("count BETWEEN 2 AND 14").select("e"), "e")
-    h1 = q.alias("a").join(q.alias("b"), (F.col("a.e") == F.col("b.e")) & (F.col("a.d") != F.col("b.d"))).select(F.col("a.d").alias("src"), F.col("b.d").alias("mid")).distinct()
-    two = h1.alias("x").join(h1.alias("y"), (F.col("x.mid") == F.col("y.src")) & (F.col("x.src") != F.col("y.mid")))
-    return two.select(F.col("x.src").alias("src"), F.col("y.mid").alias("dst")).distinct()
+    rel = t.lineitem.select(F.col("l_orderkey").alias("unit"), F.struct("l_partkey", "l_suppkey").alias("code"))
+    return R.two_hops(rel, "unit", "code").withColumn("score", F.round("score", 6))
 
 
-@query("message_page", "SELECT conv_id, turn, role FROM (SELECT * FROM conversations WHERE conv_id <= 20 ORDER BY conv_id DESC, turn DESC LIMIT 30) ORDER BY conv_id, turn")
+@query("message_page", "SELECT conv_id, turn, role FROM (SELECT * FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 30) ORDER BY conv_id, turn")
 def _(t):
-    return t.conversations.where("conv_id <= 20").orderBy(F.desc("conv_id"), F.desc("turn")).limit(30).orderBy("conv_id", "turn").select("conv_id", "turn", "role")
+    return t.conversations.orderBy(F.desc("conv_id"), F.desc("turn")).limit(30).orderBy("conv_id", "turn").select("conv_id", "turn", "role")
 
 
 @query("offset_page", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 20 OFFSET 40")

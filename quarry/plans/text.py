@@ -173,10 +173,19 @@ def _(t):
 
 
 @query("grep_snippet", r"""
-SELECT doc_id, instr(lower(text), 'license') AS pos, md5(substr(text, greatest(1, instr(lower(text), 'license') - 80), 700)) AS snippet FROM documents WHERE contains(lower(text), 'license')""")
+WITH p AS (SELECT doc_id, text, string_split(lower(text), 'license') AS parts FROM documents WHERE contains(lower(text), 'license')),
+o AS (SELECT doc_id, text, unnest(list_transform(range(1, len(parts)), lambda i: len(array_to_string(parts[:i], 'license')) + 1)) AS pos FROM p),
+w AS (SELECT *, substr(text, greatest(1, pos - 40), pos + 700 - greatest(1, pos - 40)) AS win FROM o),
+q AS (SELECT *, length(regexp_replace(win, '[^\x{3400}-\x{9fff}]', '', 'g')) - 40 * (length(win) - length(replace(win, 'http', ''))) / 4 - 15 * (length(win) - length(replace(win, '](', ''))) / 2 AS quality FROM w),
+b AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, pos) = 1),
+x AS (SELECT *, greatest(1, pos - 500) AS lo, substr(text, greatest(1, pos - 500), pos - greatest(1, pos - 500)) AS before FROM b),
+s AS (SELECT *, CASE WHEN regexp_matches(before, '20\d{2}(?:年\d{1,2}月\d{1,2}日|[-/]\d{1,2}[-/]\d{1,2})') THEN lo + length(regexp_extract(before, '(?s)^(.*)20\d{2}(?:年\d{1,2}月\d{1,2}日|[-/]\d{1,2}[-/]\d{1,2})', 1)) ELSE greatest(1, pos - 80) END AS start FROM x)
+SELECT doc_id, pos::INT AS pos, md5(trim(regexp_replace(regexp_replace(regexp_replace(substr(text, start, pos + 700 - start), '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '[ \t]+', ' ', 'g'))) AS snippet FROM s""")
 def _(t):
-    pos = F.instr(F.lower("text"), "license")
-    return t.documents.where(pos > 0).select("doc_id", pos.alias("pos"), F.md5(F.col("text").substr(F.greatest(F.lit(1), pos - 80), F.lit(700))).alias("snippet"))
+    from ..operators.search import snippet
+
+    pos, part = snippet(F.col("text"), "license")
+    return t.documents.where(F.contains(F.lower("text"), F.lit("license"))).select("doc_id", pos.alias("pos"), F.md5(part).alias("snippet"))
 
 
 _POST = rf"""
@@ -257,8 +266,11 @@ def _(t):
     return units(blocks(t.documents, "doc_id", "text"), "doc_id", 200).select("doc_id", "unit_no", "block_from", "block_to", "tokens")
 
 
-@query("sentence_spans", r"SELECT doc_id, len(list_filter(regexp_extract_all(text, '[^.!?\n]+(?:[.!?]+|\n|$)'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> '')) AS n_sentences FROM documents")
+@query("sentence_spans", r"""
+WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])($|[^0-9.!?])', '\1' || chr(10) || '\2', 'g'), chr(10))) AS s FROM documents)
+SELECT d.doc_id, count(trim(s)) FILTER (trim(s, ' ' || chr(9) || chr(13)) <> '') AS n_sentences, coalesce(max(length(trim(s, ' ' || chr(9) || chr(13)))), 0) AS longest FROM documents d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id""")
 def _(t):
     from ..operators.chunking import sentences
 
-    return t.documents.select("doc_id", F.size(sentences(F.col("text"))).alias("n_sentences"))
+    s = sentences(F.col("text"))
+    return t.documents.select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.coalesce(F.array_max(F.transform(s, lambda x: F.length(x))), F.lit(0)).cast("long").alias("longest"))
