@@ -70,17 +70,26 @@ def fresh(df: DataFrame, name: str) -> str:
 def smallest(df: DataFrame, n: int, by: str) -> DataFrame:
     """The n rows of the smallest ``_k`` (an md5 text, distinct inside a group) of each group ``by``; df is narrow.
 
-    Counts by the key's first four digits say where each group may be cut, so that only n rows of it and one prefix's
-    go into a window, however many rows and tasks there are.
+    The n-th key is closed in on two digits at a time: each round counts the rows of the 256 prefixes that go on from the one it
+    lies in, so no window sees more than 256 rows a group, however many rows and tasks there are.  Eight digits are
+    looked at; rows that share all eight with the n-th one stay as well.
     """
     from pyspark.sql import Window
 
-    rows = stage(df.withColumn("_p", F.substring("_k", 1, 4)))
-    counts = rows.groupBy(by, "_p").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # at most 65536 prefixes a group
-    last = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < n).groupBy(F.col(by).alias("_by")).agg(F.max("_p").alias("_last"))
-    few = rows.join(last, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") <= F.col("_last"))).drop("_by", "_last", "_p")
-    return few.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("_k"))).where(F.col("_r") <= n).drop("_r")
+    rows = stage(df)
+    bound = None
+    for digits in (2, 4, 6, 8):
+        inside = rows.withColumn("_p", F.substring("_k", 1, digits))
+        if bound is not None:
+            inside = inside.join(F.broadcast(bound), F.col(by).eqNullSafe(F.col("_by")) & (F.substring("_k", 1, digits - 2) == F.col("_last")))
+        need = F.lit(n) if bound is None else F.col("_need")
+        counts = inside.groupBy(by, "_p", need.alias("_need")).agg(F.count("*").alias("_n"))
+        before = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows a group
+        upto = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < F.col("_need"))
+        last = upto.groupBy(F.col(by).alias("_by")).agg(F.max(F.struct("_p", (F.col("_need") - F.col("_before")).alias("need"))).alias("_m"))
+        bound = stage(last.select("_by", F.col("_m.need").alias("_need"), F.col("_m._p").alias("_last")))  # one row a group
+    few = rows.join(F.broadcast(bound), F.col(by).eqNullSafe(F.col("_by")) & (F.substring("_k", 1, 8) <= F.col("_last")))
+    return few.select(*df.columns)
 
 
 def word_count(text: Column | str) -> Column:
