@@ -1,45 +1,46 @@
 """Toxicity by a gap-weighted subsequence string kernel, a support vector machine and Nystroem landmarks.
 
-The unit of text is a word (white space around it), with signs inside it left out, or a run of single
+The kernel compares words: a unit is a word (white space around it), with signs inside it left out, or a run of single
 characters that spaces pull apart.  A unit's features are its 3-character subsequences within SPAN characters
 (a mark stands before its first), each weighted DECAY ** (characters spanned); the kernel is their
-cosine, so inserted or missing characters change it little.  A text's evidence is its three worst units and how
-many are on the toxic side; a logistic curve over these, fitted to the labelled texts, is its score.
+cosine, so inserted or missing characters change it little.  A sentence is as toxic as its worst unit.
 
-Training takes a bounded sample of labelled texts (MAX_TEXTS of each class).  Character runs that occur in
-toxic texts and hardly in others become landmarks (greedy cover), with ordinary units beside them.  Sentences
-of toxic texts hold positive units where a landmark run occurs, sentences of other texts hold negative ones
-only; the machine is the squared-hinge primal over Nystroem features, fitted again with the hardest negatives.
-Over landmarks L with coefficients a, sum_j a_j K(s, L_j) is one weight for each subsequence, so a unit is scored
-by table lookups, in time linear in its length, and each distinct unit once in a task's memory.
+Training takes sentences of a bounded sample of labelled texts (MAX_TEXTS of each class, MAX_BYTES in all).  A label marks a
+text, so which sentence of a toxic text earns it is learnt (multiple-instance learning): the first guess weighs subsequences
+by their log odds of standing in toxic texts; then, ROUNDS times, each toxic text gives the sentence whose worst unit scores
+highest as a positive example, every sentence of the other texts is a negative one, and a squared-hinge machine is fitted over
+Nystroem features, whose landmarks are units of the positive sentences and of ordinary ones, spread by the kernel itself.
+A text's evidence is its three worst units and how many are on the toxic side; a logistic curve over these, fitted to the
+labelled texts, is its score.  Over landmarks L with coefficients a, sum_j a_j K(s, L_j) is one weight for each
+subsequence, so a unit is scored by table lookups, in time linear in its length, and each distinct unit once in a task's memory.
 
 Edge cases: a null, empty or wordless text scores as a unit without features; units longer than
 UNIT characters are read in overlapping windows; without enough positive labels every score is near 0; repeated rows get
-a row each; a null doc_id counts as held out; labels are null-safe.  Extra columns pass through.
+a row each; a null doc_id counts as held out; of rows that share an id the smallest text is learnt from; an id with
+both labels counts as toxic; labels are null-safe.  Extra columns pass through.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, table, with_struct
+from .common import give_back, smallest, table, with_struct
 
 SPAN, DECAY, UNIT = 6, 0.6, 24
-MAX_TEXTS = 2000  # labelled texts of each class that training reads
-MAX_TOXIC_RUNS, MAX_PLAIN, NEGATIVES = 96, 48, 20_000
-PASSES, LIFT, COST = 12, 5, 4  # a run tells toxic texts if it is so many times as frequent there
+MAX_TEXTS, MAX_BYTES = 2000, 24 << 20  # labelled texts of each class, and bytes of all of them, that training reads
+TOXIC_LANDMARKS, PLAIN_LANDMARKS, ROUNDS, LEAST, CLOSE = 160, 64, 4, 3, 0.8
 CACHE = 120_000
 MARK = "^"
 _CODES = 64
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -67,6 +68,10 @@ def units_of(text: str | None) -> set[str]:
     return out
 
 
+def sentences_of(text: str | None) -> list[str]:
+    return [s for s in _SENTENCE.split(text or "") if s.strip()]
+
+
 def _char_codes(text: str) -> np.ndarray:
     """a-z are 1 to 26, 0-9 are 27 to 36, the mark before a unit is 37, other characters share 38 to 63; 0 parts units."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -135,52 +140,30 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x @ self.text[:-1] + self.text[-1], -40, 40))))
 
 
-def _runs(unit: str) -> set[str]:
-    u = MARK + unit
-    return {u[i : i + n] for n in (4, 5, 6, 7, 8) for i in range(len(u) - n + 1)} | {u}
-
-
-def _toxic_runs(units: list[str], bags: list[np.ndarray], toxic: np.ndarray, df: np.ndarray) -> list[str]:
-    """Character runs that tell toxic texts: greedy cover, PASSES times over so that few depend on one run.
-
-    Sums over units in a fixed table of hashed runs leave out most runs first (they bound a run's texts from above);
-    only those that remain are counted text by text.
-    """
-    n_toxic, n_plain = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    least, even = max(3, n_toxic // 200), n_toxic / n_plain
-    sums, slot = np.zeros((2, 1 << 22), np.float32), lambda r: zlib.crc32(r.encode()) & ((1 << 22) - 1)
-    for t in (0, 1):
-        for i in np.flatnonzero(df[t]).tolist():
-            sums[t][[slot(r) for r in _runs(units[i])]] += df[t][i]
-    likely = (sums[1] >= least) & (sums[1] > LIFT / 2 * even * sums[0])
-    runs_of = {}
-    for i in np.flatnonzero(df[1]).tolist():
-        if own := [r for r in _runs(units[i]) if likely[slot(r)]]:
-            runs_of[i] = own
-    where = defaultdict(set)
-    for n in np.flatnonzero(toxic).tolist():
-        for i in bags[n].tolist():
-            for r in runs_of.get(i, ()):
-                where[r].add(n)
-    where = {r: w for r, w in where.items() if len(w) >= least}
-    del runs_of, sums, likely
-    plain_runs = {i: own for i in np.flatnonzero(df[0]).tolist() if (own := [r for r in _runs(units[i]) if r in where])}
-    plain = Counter()
-    for n in np.flatnonzero(~toxic).tolist():
-        plain.update({r for i in bags[n].tolist() for r in plain_runs.get(i, ())})
-    good = {r: w for r, w in where.items() if len(w) > LIFT * (plain[r] + 0.5) * even}
-    chosen: list[str] = []
-    for _ in range(PASSES):
-        left, pool = set(np.flatnonzero(toxic).tolist()), good
-        while len(chosen) < MAX_TOXIC_RUNS and pool:
-            gain = {r: len(w & left) - COST * plain[r] * even for r, w in pool.items()}
-            best = max(pool, key=lambda r: (gain[r], len(r), r))
-            if gain[best] < least:
-                break
-            chosen.append(best)
-            left -= good[best]
-            pool = {r: w for r, w in pool.items() if gain[r] >= least and r != best}
-        good = {r: w for r, w in good.items() if not any(r in c or c in r for c in chosen)}
+def log_odds(units: list[str], df: np.ndarray, batch: int = 4000) -> np.ndarray:
+    """For each subsequence, the log odds that it comes from a toxic text; df counts texts by class and unit.  Rare ones are drawn to 0."""
+    seen = np.zeros((2, 1 << 18))
+    for i in range(0, len(units), batch):
+        owner, key, _ = _normalised([MARK + u for u in units[i : i + batch]])
+        for t in (0, 1):
+            seen[t] += np.bincount(key, df[t][i : i + batch][owner], 1 << 18)
+    total = seen.sum(axis=1, keepdims=True)
+    prior = seen.sum(axis=0) / max(1.0, total.sum())
+    share = (seen + 20 * prior) / (total + 20)
+    return np.log(np.maximum(share[1], 1e-12) / np.maximum(share[0], 1e-12))
+
+
+def spread(units: list[str], most: int) -> list[str]:
+    """At most ``most`` of the units, in order, passing over those that the kernel finds close to a chosen one."""
+    owner, key, w = _normalised([MARK + u for u in units])
+    used, key = np.unique(key, return_inverse=True)
+    first = np.searchsorted(owner, np.arange(len(units) + 1))
+    chosen, table = [], np.zeros((most, len(used)), np.float32)
+    for i, u in enumerate(units):
+        k, x = key[first[i] : first[i + 1]], w[first[i] : first[i + 1]]
+        if len(k) and len(chosen) < most and (not chosen or (table[: len(chosen), k] @ x).max() < CLOSE):
+            table[len(chosen), k] = x
+            chosen.append(u)
     return chosen
 
 
@@ -190,7 +173,8 @@ def _squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
     eye = np.eye(z.shape[1]) * ridge * weight.sum()
     eye[-1, -1] = 1e-9
     for _ in range(30):
-        on = np.flatnonzero(y * (z @ w) < 1)
+        margins = np.concatenate([z[i : i + 4000] @ w for i in range(0, len(z), 4000)])
+        on = np.flatnonzero(y * margins < 1)
         gram, target = eye.copy(), np.zeros(z.shape[1])
         for i in range(0, len(on), 4000):  # a few rows at a time in double precision
             here = on[i : i + 4000]
@@ -217,58 +201,99 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def kernel(a: str, b: str) -> float:
+    """The kernel of two units, from their features; tests hold it against its definition."""
+    _, ka, wa = _normalised([MARK + a])
+    _, kb, wb = _normalised([MARK + b])
+    _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    return float((wa[i] * wb[j]).sum())
+
+
+class Nystroem:
+    """Features of units from their kernels with the landmarks: K(unit, landmarks) K(landmarks, landmarks)^(-1/2), up to a rotation."""
+
+    def __init__(self, landmarks: list[str]):
+        owner, key, w = _normalised([MARK + u for u in landmarks])
+        self.landmarks, self.used = landmarks, np.unique(key)
+        self.small = np.full(1 << 18, -1)
+        self.small[self.used] = np.arange(len(self.used))
+        self.table = np.zeros((len(self.used), len(landmarks)))
+        self.table[self.small[key], owner] = w
+        values, vectors = np.linalg.eigh(self.table.T @ self.table)
+        self.root = vectors / np.sqrt(np.maximum(values, 1e-4))
+
+    def features(self, units: list[str], batch: int = 2000) -> np.ndarray:
+        out = np.ones((len(units), len(self.landmarks) + 1), np.float32)
+        for at in range(0, len(units), batch):
+            part = units[at : at + batch]
+            owner, key, w = _normalised([MARK + u for u in part])
+            on = np.flatnonzero(self.small[key] >= 0)
+            k = np.zeros((len(part), len(self.landmarks)))
+            for i in range(0, len(on), 20_000):
+                here = on[i : i + 20_000]
+                rows, first = np.unique(owner[here], return_index=True)
+                k[rows] += np.add.reduceat(self.table[self.small[key[here]]] * w[here][:, None], first, axis=0)
+            out[at : at + batch, :-1] = k @ self.root
+        return out
+
+    def model(self, solved: np.ndarray) -> Model:
+        beta = np.zeros(1 << 18)
+        beta[self.used] = self.table @ (self.root @ solved[:-1])
+        return Model(beta, float(solved[-1]), self.landmarks)
+
+
+class Bags:
+    """Unit numbers of many sentences or texts, one after the other."""
+
+    def __init__(self, lists: list[list[int]]):
+        lists = [x for x in lists if x]
+        self.sizes = np.array([len(x) for x in lists], np.int64)
+        self.units = np.fromiter((u for x in lists for u in x), np.int32, int(self.sizes.sum()))
+
+    def worst(self, f: np.ndarray) -> Counter:
+        """How many bags have each unit as their unit of the highest f (the first of equals)."""
+        if not len(self.sizes):
+            return Counter()
+        of = f[self.units]
+        starts = np.cumsum(self.sizes) - self.sizes
+        top = np.flatnonzero(of == np.repeat(np.maximum.reduceat(of, starts), self.sizes))
+        _, first = np.unique(np.repeat(np.arange(len(starts)), self.sizes)[top], return_index=True)
+        units, n = np.unique(self.units[top[first]], return_counts=True)
+        return Counter(dict(zip(units.tolist(), n.tolist(), strict=True)))
+
+
 def fit(texts: list[str], toxic: list[bool]) -> Model:
     number: dict[str, int] = {}
-    bags = [np.array(sorted(number.setdefault(u, len(number)) for u in units_of(t)), np.int64) for t in texts]
+    whole, plain = [], []
+    for t, y in zip(texts, toxic, strict=True):
+        own = [sorted(number.setdefault(u, len(number)) for u in units_of(s)) for s in sentences_of(t)]
+        whole.append(np.array(sorted({u for s in own for u in s}), np.int32))
+        plain += [] if y else own
+    plain = Bags(plain)
     units, truth = list(number), np.array(toxic, bool)
-    df = np.zeros((2, len(units)), np.int64)
-    for b, t in zip(bags, toxic, strict=True):
-        df[int(t)][b] += 1
-    runs = _toxic_runs(units, bags, truth, df) if truth.any() else []
-    give_back()
-    if not runs:
+    del number
+    told_by = Bags([b.tolist() for b, y in zip(whole, toxic, strict=True) if y])
+    if len(told_by.sizes) < LEAST:
         return Model(np.zeros(1 << 18), -1.0, [])
-    even = max(1, truth.sum()) / max(1, (~truth).sum())
-    tells = {units[i] for i in np.flatnonzero(df[1] > LIFT * df[0] * even).tolist() if any(r in MARK + units[i] for r in runs)}
-    positive = sorted(tells)
-    plain = sorted((units[i] for i in np.flatnonzero(df[0]).tolist() if units[i] not in tells), key=hash_of)
-    landmarks = [*sorted(runs), *[MARK + u for u in plain[:MAX_PLAIN]]]
-    whole = [r for r in sorted({r.lstrip(MARK) for r in runs}) if r in tells]
-    grown = sorted({g for r in whole for i in range(1, len(r)) for c in "xe" if (g := r[:i] + c + r[i:]) not in number})
-    owner, key, w = _normalised(landmarks)
-    used = np.unique(key)
-    small = np.zeros(1 << 18, np.int64)
-    small[used] = np.arange(len(used))
-    compact = np.zeros((len(used), len(landmarks)))
-    compact[small[key], owner] = w
-    values, vectors = np.linalg.eigh(compact.T @ compact)
-    root = vectors / np.sqrt(np.maximum(values, 1e-4))  # K^(-1/2) up to a rotation
-
-    def nystroem(part: list[str]) -> np.ndarray:
-        owner, key, w = _normalised([MARK + u for u in part])
-        at = np.flatnonzero(np.isin(key, used))
-        k = np.zeros((len(part), len(landmarks)))
-        for i in range(0, len(at), 20_000):
-            here = at[i : i + 20_000]
-            rows, first = np.unique(owner[here], return_index=True)
-            k[rows] += np.add.reduceat(compact[small[key[here]]] * w[here][:, None], first, axis=0)
-        return np.hstack([k @ root, np.ones((len(part), 1))]).astype(np.float32)
-
-    features = lambda part: np.vstack([nystroem(part[i : i + 4000]) for i in range(0, len(part), 4000)])
-    n_copies = np.array([float(df[1][number[u]]) for u in positive] + [1.0] * len(grown))
-    negative = plain[:NEGATIVES]
-    for _ in range(3):
-        y = np.array([1.0] * len(n_copies) + [-1.0] * len(negative))
-        weight = np.concatenate([n_copies / n_copies.sum(), np.full(len(negative), 1 / max(1, len(negative)))])
-        solved = _squared_hinge(features(positive + grown + negative), y, weight)
-        beta = np.zeros(1 << 18)
-        beta[used] = compact @ (root @ solved[:-1])
-        model = Model(beta, float(solved[-1]), landmarks)
-        f = model.units(plain)
-        hard = [plain[i] for i in np.argsort(-f, kind="stable")[:3000]]
-        negative = sorted(set(negative) | set(hard), key=hash_of)
-    f = model.units(units)
-    x = np.array([model.evidence(f[b]) for b in bags])
+    df = np.zeros((2, len(units)), np.float32)
+    for b, y in zip(whole, toxic, strict=True):
+        df[int(y)][b] += 1
+    f = Model(log_odds(units, df), 0.0, []).units(units)
+    del df
+    model = Model(np.zeros(1 << 18), -1.0, [])
+    give_back()
+    for _ in range(ROUNDS):
+        told, held = told_by.worst(f), plain.worst(f)
+        common = sorted(held, key=lambda i: hash_of(units[i]))
+        landmarks = spread([units[i] for i, _ in sorted(told.items(), key=lambda x: (-x[1], hash_of(units[x[0]])))], TOXIC_LANDMARKS)
+        landmarks += spread([units[i] for i in common if i not in told][: 8 * PLAIN_LANDMARKS], PLAIN_LANDMARKS)
+        map_ = Nystroem(landmarks)
+        y = np.array([1.0] * len(told) + [-1.0] * len(held))
+        weight = np.array([*told.values(), *held.values()], float)
+        weight /= np.where(y > 0, weight[: len(told)].sum(), max(1.0, weight[len(told) :].sum()))
+        model = map_.model(_squared_hinge(map_.features([units[i] for i in (*told, *held)]), y, weight))
+        f = model.units(units)
+    x = np.array([model.evidence(f[b]) for b in whole])
     model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     model.text = _logistic((x - model.mean) / model.scale, truth.astype(float))
     return model
@@ -280,14 +305,16 @@ def hash_of(unit: str) -> int:
     return xxhash.xxh64_intdigest(unit)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = MAX_TEXTS) -> list[tuple[str, bool]]:
-    """At most ``most`` texts of each class, smallest hash of the id first; held-out rows never."""
-    lab = labels.select(F.col("doc_id").alias("_id"), F.col(target).cast("int").alias("_y")).where(F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id")).dropDuplicates(["_id"])
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = MAX_TEXTS, most_bytes: int = MAX_BYTES) -> list[tuple[str, bool]]:
+    """At most ``most`` texts of each class and ``most_bytes`` bytes of each class's half, smallest hash of the id first; held-out rows never."""
+    lab = labels.select(F.col("doc_id").alias("_id"), F.col(target).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
     key = F.md5(F.concat(F.lit("tox:"), F.col("_id").cast("string")))
-    pick = [lab.where(F.col("_y") == y).withColumn("_k", key).orderBy("_k").limit(most) for y in (0, 1)]
-    ids = F.broadcast(pick[0].union(pick[1]))  # at most 2 * most narrow rows
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id")).select("_k", "text", "_y").collect()
-    rows.sort(key=lambda r: (r["_k"], r["text"] or ""))
+    ids = smallest(lab.groupBy("_id").agg(F.max("_y").alias("_y")).withColumn("_k", key), most, "_y")
+    ids = F.broadcast(ids)  # at most 2 * most narrow rows
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id")).groupBy("_y", "_k").agg(F.min("text").alias("text"))  # a hot id is one row
+    upto = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("_y").orderBy("_k"))  # of those few rows
+    rows = texts.withColumn("_upto", upto).where(F.col("_upto") <= most_bytes // 2).select("_k", "text", "_y").collect()
+    rows.sort(key=lambda r: r["_k"])
     return [(r["text"] or "", bool(r["_y"])) for r in rows]
 
 
@@ -318,6 +345,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = labelled_sample(docs, labels)
     texts, toxic = [t for t, _ in sample], [y for _, y in sample]
     del sample
+    give_back()
     model = fit(texts, toxic)
     del texts
     give_back()
