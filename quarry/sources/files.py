@@ -99,6 +99,132 @@ def read_ooxml(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text string, has_pictures boolean")
 
 
+#: RTF groups that hold no text of the document.
+_RTF_SILENT = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "header", "footer", "object", "themedata", "xmlnstbl", "listtable", "generator"}
+_RTF = re.compile(r"\\([a-zA-Z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\(.)|([{}])|[\r\n]+|([^\\{}\r\n]+)", re.S)
+_RTF_SIGNS = {"par": "\n", "line": "\n", "sect": "\n\n", "page": "\n\n", "tab": "\t", "cell": "\t", "row": "\n", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”"}
+
+
+def rtf_text(raw: bytes) -> str:
+    """Text of an RTF file: control words become line ends and signs, destinations without text of their own are left out."""
+    codec, silent, skip, width = "cp1252", [False], 0, [1]
+    out: list[str] = []
+    pending = bytearray()
+
+    def flush() -> None:
+        if pending:
+            out.append(pending.decode(codec, "replace"))
+            pending.clear()
+
+    for word, number, byte, sign, brace, text in _RTF.findall(raw.decode("latin-1")):
+        if byte:
+            if skip:
+                skip -= 1
+            elif not silent[-1]:
+                pending.append(int(byte, 16))
+            continue
+        flush()
+        if brace == "{":
+            silent.append(silent[-1])
+            width.append(width[-1])
+        elif brace == "}":
+            if len(silent) > 1:
+                silent.pop()
+                width.pop()
+            skip = 0
+        elif word in _RTF_SILENT or sign == "*":
+            silent[-1] = True
+        elif word == "ansicpg":
+            try:
+                codec = f"cp{int(number)}"
+                b"".decode(codec)
+            except (LookupError, ValueError):
+                codec = "cp1252"
+        elif word == "uc":
+            width[-1] = int(number or 1)
+        elif word == "u" and number:
+            if not silent[-1]:
+                out.append(chr(int(number) % 65536))
+            skip = width[-1]
+        elif word:
+            out.append("" if silent[-1] else _RTF_SIGNS.get(word, ""))
+        elif sign:
+            out.append("" if silent[-1] else {"~": "\u00a0", "_": "-", "-": ""}.get(sign, sign))
+        elif text:
+            text, skip = text[skip:], max(0, skip - len(text))
+            out.append("" if silent[-1] else text)
+    flush()
+    joined = "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # pairs of \\u become one character
+    return re.sub(r"\n{3,}", "\n\n", joined).strip()
+
+
+def xlsx_tables(raw: bytes, most_rows: int = 2000, most_columns: int = 50) -> list[tuple[str, str]]:
+    """(sheet, Markdown table) of the sheets that have cells.  Rows and columns beyond the limits are counted in a last line, not lost unsaid."""
+    from xml.etree import ElementTree
+
+    local = lambda e: e.tag.rpartition("}")[2]
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        names = set(z.namelist())
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
+                shared.append("".join(t.text or "" for t in e.iter() if local(t) == "t"))
+        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        out = []
+        for sheet in (e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if local(e) == "sheet"):
+            target = next((links.get(v) for k, v in sheet.attrib.items() if k.endswith("}id")), None) or ""
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if part not in names:
+                continue
+            rows, n_rows, width = [], 0, 0
+            for row in (e for e in ElementTree.fromstring(z.read(part)).iter() if local(e) == "row"):
+                cells = {}
+                for i, c in enumerate(e for e in row if local(e) == "c"):
+                    letters = re.match(r"[A-Z]+", c.get("r") or "")
+                    at = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters.group()))) - 1 if letters else i
+                    value = "".join(t.text or "" for t in c.iter() if local(t) in ("v", "t"))
+                    kind = c.get("t")
+                    if kind == "s" and value.isdigit() and int(value) < len(shared):
+                        value = shared[int(value)]
+                    elif kind == "b":
+                        value = "TRUE" if value == "1" else "FALSE"
+                    cells[at] = value
+                if any(v.strip() for v in cells.values()):
+                    n_rows += 1
+                    width = max(width, max(cells) + 1)
+                    if len(rows) < most_rows:
+                        rows.append(cells)
+            if rows:
+                shown = min(width, most_columns)
+                clean = lambda v: re.sub(r"\s+", " ", v).strip().replace("|", "\\|")
+                lines = ["| " + " | ".join(clean(r.get(i, "")) for i in range(shown)) + " |" for r in rows]
+                lines.insert(1, "|" + " --- |" * shown)
+                if n_rows > len(rows) or width > shown:
+                    lines.append(f"({n_rows} rows and {width} columns in all)")
+                out.append((sheet.get("name") or "", "\n".join(lines)))
+        return out
+
+
+def read_tables(files: DataFrame, most_rows: int = 2000, most_columns: int = 50) -> DataFrame:
+    """(path, sheet_no, sheet, text) of XLSX files."""
+
+    def run(parts):
+        for pdf in parts:
+            rows = [(p, i, n, t) for p, c in zip(pdf["path"], pdf["content"], strict=True) for i, (n, t) in enumerate(xlsx_tables(c, most_rows, most_columns))]
+            yield pd.DataFrame(rows, columns=["path", "sheet_no", "sheet", "text"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, sheet_no int, sheet string, text string")
+
+
+@F.pandas_udf(T.StringType())
+def _rtf(s: pd.Series) -> pd.Series:
+    return s.map(lambda raw: None if raw is None else rtf_text(raw))
+
+
+def read_rtf(files: DataFrame) -> DataFrame:
+    return files.select("path", _rtf("content").alias("text"))
+
+
 def read_package(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """An exchange package: JSON Lines of chunks, entities, events and their relations."""
     schemas = {

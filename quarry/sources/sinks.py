@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,37 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+KEEP = 8  # pointers of the past that stay
+
+
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    fs, at = _fs(spark, f"{root}/pointers")
+    if not fs.exists(at):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+
+def _point(spark: SparkSession, root: str, slot: str, rows: int) -> None:
+    """Add a pointer under the next number; the largest number counts.
+
+    Nothing is replaced: the new file appears whole, by a rename to a name that wasn't there, so a reader finds the old pointer or
+    the new one on any store, and two publishers at once can't both have a number.
+    """
+    old = _pointers(spark, root)
+    n = old[-1] + 1 if old else 1
+    fs, new = _fs(spark, f"{root}/pointers/_{n:012d}-{uuid.uuid4().hex}")
+    _, at = _fs(spark, f"{root}/pointers/{n:012d}.json")
+    out = fs.create(new, True)
+    out.write(bytearray(json.dumps({"slot": slot, "rows": rows}).encode()))
+    out.close()
+    if fs.exists(at) or not fs.rename(new, at):
+        fs.delete(new, False)
+        raise RuntimeError(f"version {n} of {root} was published by another writer")
+    for past in old[:-KEEP]:
+        fs.delete(_fs(spark, f"{root}/pointers/{past:012d}.json")[1], False)
+
+
 def insert_once(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` whose key is not there yet, one for each key: what an append may write."""
     return new.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")
@@ -41,22 +73,15 @@ def publish(df: DataFrame, root: str, expected_rows: int | None = None) -> str:
     n = spark.read.parquet(f"{root}/{slot}").count()
     if expected_rows is not None and n != expected_rows:
         raise ValueError(f"slot {slot} has {n} rows, {expected_rows} were expected; the pointer stays")
-    fs, tmp = _fs(spark, f"{root}/CURRENT.tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps({"slot": slot, "rows": n}).encode()))
-    out.close()
-    _, at = _fs(spark, f"{root}/CURRENT")
-    if fs.exists(at):
-        fs.delete(at, False)
-    fs.rename(tmp, at)
+    _point(spark, root, slot, n)
     return slot
 
 
 def current_slot(spark: SparkSession, root: str) -> str | None:
-    fs, at = _fs(spark, f"{root}/CURRENT")
-    if not fs.exists(at):
+    numbers = _pointers(spark, root)
+    if not numbers:
         return None
-    return json.loads(spark.read.text(f"{root}/CURRENT", wholetext=True).first()[0])["slot"]
+    return json.loads(spark.read.text(f"{root}/pointers/{numbers[-1]:012d}.json", wholetext=True).first()[0])["slot"]
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
@@ -70,12 +95,7 @@ def rollback(spark: SparkSession, root: str) -> str:
     """Point at the other slot again."""
     live = current_slot(spark, root)
     slot = "b" if live == "a" else "a"
-    fs, at = _fs(spark, f"{root}/CURRENT")
-    n = spark.read.parquet(f"{root}/{slot}").count()
-    fs.delete(at, False)
-    out = fs.create(at, True)
-    out.write(bytearray(json.dumps({"slot": slot, "rows": n}).encode()))
-    out.close()
+    _point(spark, root, slot, spark.read.parquet(f"{root}/{slot}").count())
     return slot
 
 
