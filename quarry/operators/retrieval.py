@@ -20,6 +20,8 @@ from .staging import cut
 K1, B = 1.5, 0.75
 #: Bytes of queries that go to every task at once.
 BLOCK_BYTES = 8 << 20
+#: Cells that a task works on at once.
+AT_ONCE = 1 << 20
 
 # ---- sparse -----------------------------------------------------------------------------------
 
@@ -114,21 +116,31 @@ def _counts(number: dict[str, int], id_col: str):
 def _scores(asked: list[list[int]], idf: np.ndarray, avgdl: float, names: pa.Array, k: int, query_id: str, id_col: str):
     starts = np.concatenate([[0], np.cumsum([len(a) for a in asked])]).astype(np.int64)
     flat = np.array([q for a in asked for q in a], np.int64)
-    at_once = max(1, (1 << 21) // max(1, len(names)))
+
+    def scored(b: pa.RecordBatch) -> np.ndarray:
+        """texts x queries."""
+        terms, tf = b.column(2), b.column(3)
+        t, f = terms.flatten().to_numpy(), tf.flatten().to_numpy().astype(float)
+        row = np.repeat(np.arange(b.num_rows), np.diff(terms.offsets.to_numpy()))
+        w = idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * b.column(1).to_numpy()[row] / avgdl))
+        n = starts[t + 1] - starts[t]
+        which = np.repeat(starts[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell = np.repeat(row, n) * len(names) + flat[which]
+        return np.round(np.bincount(cell, np.repeat(w, n), b.num_rows * len(names)), 6).reshape(b.num_rows, len(names))
 
     def run(batches):
         best = Best(len(names), k, 0.0)
         for whole in batches:
-            for b in (whole.slice(i, at_once) for i in range(0, whole.num_rows, at_once)):
-                terms, tf = b.column(2), b.column(3)
-                counts = np.diff(terms.offsets.to_numpy())
-                t, f = terms.flatten().to_numpy(), tf.flatten().to_numpy().astype(float)
-                row = np.repeat(np.arange(b.num_rows), counts)
-                w = idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * b.column(1).to_numpy()[row] / avgdl))
-                n = starts[t + 1] - starts[t]
-                which = np.repeat(starts[t] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                cell = np.repeat(row, n) * len(names) + flat[which]
-                s = np.round(np.bincount(cell, np.repeat(w, n), b.num_rows * len(names)), 6).reshape(b.num_rows, len(names))
+            if not whole.num_rows:
+                continue
+            # as many texts at a time as their pairs of (term, query) and their scores stay bounded
+            t, counts = whole.column(2).flatten().to_numpy(), np.diff(whole.column(2).offsets.to_numpy())
+            pairs = np.concatenate([[0], np.cumsum(starts[t + 1] - starts[t])])[np.concatenate([[0], np.cumsum(counts)])]
+            load = np.cumsum(np.diff(pairs) + len(names)) // AT_ONCE
+            ends = [*(np.flatnonzero(np.diff(load)) + 1).tolist(), whole.num_rows]
+            for lo, hi in zip([0, *ends], ends):
+                b = whole.slice(lo, hi - lo)
+                s = scored(b)
                 doc, query = np.nonzero(best.keep(s))
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), b.column(0).take(pa.array(doc)), pa.array(s[doc, query])], [query_id, id_col, "score"])
 
@@ -206,7 +218,7 @@ def unit_rows(vectors: list, dim: int | None = None) -> np.ndarray:
 
 
 def _nearest(q: np.ndarray, names: pa.Array, k: int, query_id: str, id_col: str):
-    at_once = max(1, (1 << 21) // max(1, len(names)))
+    at_once = max(1, AT_ONCE // max(1, len(names)))
 
     def run(batches):
         best, own = Best(len(names), k, -np.inf), names.to_pylist()

@@ -37,8 +37,23 @@ def range_rank(df: DataFrame, keys: list[str], rank: str) -> DataFrame:
     return rows.join(base, "_part").withColumn(rank, F.col("_base") + F.col("_at") + 1).drop("_part", "_mid", "_at", "_base")
 
 
+#: Rows of one group that a single task may sort.
+HOT = 100_000
+
+
 def place_in_group(df: DataFrame, group: str, keys: list[str], place: str) -> DataFrame:
-    """Append the 1-based place of each row inside its group; a hot group is dealt over as many tasks as its rows need."""
-    ranked = cut(range_rank(df, [group, *keys], "_rank"))
+    """Append the 1-based place of each row inside its group.
+
+    Groups of up to HOT rows are sorted each in its task; the others, counted first, are dealt over as many tasks as their rows
+    need by a range shuffle.  Both ways give the same places.
+    """
+    rows = cut(df)
+    seat = F.row_number().over(Window.partitionBy(group).orderBy(*keys)).cast("long")
+    hot = cut(rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("_group"))
+    if hot.isEmpty():
+        return rows.withColumn(place, seat)
+    on = F.col(group).eqNullSafe(F.col("_group"))
+    ranked = cut(range_rank(rows.join(hot, on, "left_semi"), [group, *keys], "_rank"))
     first = ranked.groupBy(F.col(group).alias("_group")).agg(F.min("_rank").alias("_first"))
-    return ranked.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn(place, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first", "_group")
+    large = ranked.join(first, on).withColumn(place, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first", "_group")
+    return rows.join(hot, on, "left_anti").withColumn(place, seat).unionByName(large)

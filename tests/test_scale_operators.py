@@ -45,7 +45,9 @@ def test_lineage_is_matched_one_to_one(spark):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
-def test_places_in_groups(spark):
+@pytest.mark.parametrize("hot", [staging.HOT, 70, 0])
+def test_places_in_groups(spark, monkeypatch, hot):
+    monkeypatch.setattr(staging, "HOT", hot)
     rows = [(None if i % 5 == 0 else i % 3, i * 7 % 101) for i in range(300)]
     got = staging.place_in_group(spark.createDataFrame(rows, "g int, v int"), "g", ["v"], "place").collect()
     for g in (None, 0, 1, 2):
