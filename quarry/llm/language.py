@@ -2,9 +2,10 @@
 
 A text's vector counts its 1-, 2- and 3-character runs (lower case, anything but letters is one space), hashed
 into DIMS cells, damped, weighted by inverse document frequency and normalised.  Document frequencies
-cover every row that may be learnt from; the centroids come from a bounded sample (PER_LANGUAGE rows of each
-language, smallest hash first), clustered by cosine into at most CENTROIDS per language.  The nearest
-centroid names the language; a text whose cosine to it is below what REJECT of that centroid's own texts
+cover every row that may be learnt from; the centroids come from a bounded sample (PER_LANGUAGE ids of each
+language, smallest hash first; of rows that share an id, the smallest text), clustered by cosine into at most CENTROIDS
+per language.  The sample reaches the driver as count vectors of DIMS cells, whatever the length of its texts.  The
+nearest centroid names the language; a text whose cosine to it is below what REJECT of that centroid's own texts
 reach is flagged ``rejected`` (its nearest language is named all the same).
 
 Edge cases: a null text, or one without a letter, is 'und' with score 0 and rejected; with nothing to learn
@@ -16,11 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table, with_struct
+from .common import small_batches, smallest, table, with_struct
 from .toxicity import held_out
 
 DIMS, PER_LANGUAGE, CENTROIDS, REJECT = 1 << 12, 400, 4, 0.002
@@ -105,10 +106,11 @@ def cluster(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return c, np.argmax(v @ c.T, axis=1)
 
 
-def fit(sample: list[tuple[str, str]], df: np.ndarray, n: int) -> Model:
+def fit(sample: list[tuple[str, np.ndarray]], df: np.ndarray, n: int) -> Model:
+    """From (language, counts) of texts, and the cells' document frequencies over n texts."""
     idf = np.log((1 + n) / (1 + df)) + 0.1
     blank = Model(idf, np.zeros((0, DIMS)), [], np.zeros(0))
-    found = [(lang, blank.vector(x)) for lang, text in sample if (x := counts(text)) is not None]
+    found = [(lang, blank.vector(x)) for lang, x in sample]
     centroids, langs, floors = [], [], []
     for lang in sorted({lang for lang, _ in found}):
         v = np.array([x for name, x in found if name == lang])
@@ -121,17 +123,29 @@ def fit(sample: list[tuple[str, str]], df: np.ndarray, n: int) -> Model:
     return Model(idf, np.array(centroids).reshape(-1, DIMS), langs, np.array(floors))
 
 
+def sample_counts(learn: DataFrame) -> list[tuple[str, np.ndarray]]:
+    """(language, counts) of the bounded sample, in order of its ids' hashes."""
+    small_batches(learn.sparkSession)
+    key = F.md5(F.concat(F.lit("lang:"), F.col("doc_id").cast("string")))
+    ids = smallest(learn.select("lang", key.alias("_k")).distinct(), PER_LANGUAGE, "lang")
+    ids = F.broadcast(ids.select(F.col("lang").alias("_l"), F.col("_k").alias("_i")))  # PER_LANGUAGE narrow rows for each language name
+    rows = learn.select("lang", "text", key.alias("_k")).join(ids, (F.col("lang") == F.col("_l")) & (F.col("_k") == F.col("_i")))
+    rows = rows.groupBy("_k", "lang").agg(F.min("text").alias("text"))  # combined in each task first: a hot id is one row
+
+    def run(batches):
+        for b in batches:
+            found = [counts(t) for t in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([None if x is None else x.astype("<i4").tobytes() for x in found], pa.binary())], ["k", "lang", "counts"])
+
+    out = rows.mapInArrow(run, "k string, lang string, counts binary").where("counts is not null").collect()
+    out.sort(key=lambda r: (r["k"], r["lang"]))
+    return [(r["lang"], np.frombuffer(r["counts"], "<i4")) for r in out]
+
+
 def train(docs: DataFrame) -> Model:
     learn = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     df, n = document_frequencies(learn)
-    key = F.md5(F.concat(F.lit("lang:"), F.col("doc_id").cast("string")))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("_k", "doc_id"))
-    # a limit by rank: Spark drops rows beyond it in each task before the shuffle, so no language gathers in one
-    ids = learn.select("doc_id", "lang", key.alias("_k")).withColumn("_r", first).where(F.col("_r") <= PER_LANGUAGE).select(F.col("doc_id").alias("_id"), "_k")
-    # PER_LANGUAGE narrow rows for each language name: small enough for a broadcast, and no text is shuffled
-    rows = learn.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("_k", "lang", "text").collect()
-    rows.sort(key=lambda r: (r["_k"], r["lang"], r["text"]))
-    return fit([(r["lang"], r["text"]) for r in rows], df, n)
+    return fit(sample_counts(learn), df, n)
 
 
 FIELD = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
