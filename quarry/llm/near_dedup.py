@@ -14,8 +14,9 @@
 A pair at the threshold shares no band with probability (1 - 0.75**5)**40 = 2e-5, any closer pair with less.
 
 Edge cases: texts without words (null, empty, blank) have empty sets and are linked with nothing; shorter
-texts are one shingle; rows that share a doc_id are one document; rows with a null doc_id are left out
-of the groups, with a null component_id, and kept; an empty table gives an empty result.
+texts are one shingle; doc_ids are meant to be unique: rows that share one get a row each, grouped by their own texts, and
+groups may meet in such an id (the pipeline numbers its rows first); rows with a null doc_id are left out of the groups, with
+a null component_id, and kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ BANDS, ROWS = 40, 5
 STAR_ROUNDS = ((0, 3), (3, 10), (10, BANDS))
 SKETCH_BITS, MARGIN = 1024, 0.18
 _LONGS, _PARITY = SKETCH_BITS // 64, 32
+TILE = 256  # members of a bucket that one task holds against the others
 
 
 def shingle_set(text: str | None, known: WordHashes, k: int = SHINGLE) -> np.ndarray:
@@ -241,27 +243,49 @@ def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
 def _between(buckets: DataFrame, roots: DataFrame, shingles: DataFrame) -> DataFrame:
     """Distinct pairs (a > b) of a bucket whose components differ and whose sets may reach the similarity.
 
-    Sets x, y reach it only if they differ in at most (100 - SIMILARITY) / (100 + SIMILARITY) of |x| + |y| elements, and
+    Members meet only where their sizes allow the similarity, tile by tile.  Sets x, y reach it only if they differ in at most (100 - SIMILARITY) / (100 + SIMILARITY) of |x| + |y| elements, and
     they differ in no fewer than their odd sketches do in bits, so this filter loses nothing.
     """
     of = buckets.join(roots, F.col("x") == F.col("id"), "left").select("band", "x", F.coalesce("root", "x").alias("root"))
-    mixed = of.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    mixed = of.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
+    mixed = mixed.select("band", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"))
     sketch = [F.element_at("parity", i + 1).alias(f"p{i}") for i in range(_PARITY)]
     open_ = of.join(mixed, "band").join(shingles.select(F.col("id").alias("x"), "n", *sketch), "x")
-    one = lambda p: open_.select("band", *[F.col(c).alias(f"{p}_{c}") for c in open_.columns if c != "band"])
+    # sizes by powers of 100 / SIMILARITY: a pair's levels are equal or neighbours
+    open_ = open_.withColumn("level", F.floor(F.log("n") / F.log(F.lit(100 / SIMILARITY))))
+    own = ["x", "root", "n", *[f"p{i}" for i in range(_PARITY)]]
+    one = lambda d, p: d.select("band", "at", "tile", *[F.col(c).alias(f"{p}_{c}") for c in own])
+    # a bucket's members are dealt over its tiles once, and sent to each of them once: no task holds a whole hot bucket's pairs
+    dealt = one(open_.withColumnsRenamed({"level": "at"}).withColumn("tile", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int")), "a")
+    sent = one(open_.withColumn("at", F.explode(F.array("level", F.col("level") - 1))).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))), "b")
     differ = F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0")))
     for i in range(1, _PARITY):
         differ = differ + F.bit_count(F.col(f"a_p{i}").bitwiseXOR(F.col(f"b_p{i}")))
-    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    near = (100 * small >= SIMILARITY * large) & ((100 + SIMILARITY) * differ <= (100 - SIMILARITY) * (F.col("a_n") + F.col("b_n")))
-    pairs = one("a").join(one("b"), "band").where((F.col("a_x") > F.col("b_x")) & (F.col("a_root") != F.col("b_root")) & near)
-    return pairs.select(F.col("a_x").alias("a"), F.col("b_x").alias("b")).distinct()
+    smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_x") < F.col("b_x")))
+    near = (100 * F.col("a_n") >= SIMILARITY * F.col("b_n")) & ((100 + SIMILARITY) * differ <= (100 - SIMILARITY) * (F.col("a_n") + F.col("b_n")))
+    pairs = dealt.join(sent, ["band", "at", "tile"]).where(smaller & (F.col("a_root") != F.col("b_root")) & near)
+    return pairs.select(F.greatest("a_x", "b_x").alias("a"), F.least("a_x", "b_x").alias("b")).distinct()
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Plain DuckDB SQL for the same rows: every two sets that share a shingle are counted out.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+x AS MATERIALIZED (SELECT s, len(s) AS n, min(doc_id) AS rep FROM s WHERE len(s) > 0 GROUP BY s),
+g AS MATERIALIZED (SELECT rep, n, unnest(s) AS g FROM x),
+e AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM g a JOIN g b ON a.g = b.g AND a.rep <> b.rep AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+      GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT rep AS a, rep AS b FROM x UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS root FROM r GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.root, s.doc_id) AS component_id, coalesce(c.root, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN x ON x.s = s.s LEFT JOIN c ON c.a = x.rep
+"""
+
+
 def brute_force(docs: list[tuple]) -> dict:
     """doc_id -> (n_shingles, component_id) by comparing every pair of sets, for tests."""
     sets = {}
