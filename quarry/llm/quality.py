@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, gram_hashes, stage, table, with_struct
+from .common import WordHashes, gram_hashes, smallest, stage, table, with_struct
 
 MIN_WORDS, MAX_REPEAT = 50, 50  # words; per cent of words in repeated windows
 ALPHA, DELTA, GRID = 0.02, 0.05, 200
@@ -87,29 +87,55 @@ def base_failed(q):
     return (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT * q["n_words"])
 
 
+def beta_cdf(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (modified Lentz).
+
+    The number of terms grows with the square root of a and b, so ten million labels take some thousands.
+    """
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_cdf(1 - x, b, a)
+    tiny = 1e-300
+    d = 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    c, out, m = 1.0, d, 0
+    while m < 1_000_000:
+        m += 1
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for step in (even, odd):
+            d = 1 / ((1 + step * d) or tiny)
+            c = (1 + step / c) or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-13:
+            break
+    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return math.exp(front) * out / a
+
+
 def binomial_upper(k: int, n: int, delta: float) -> float:
     """Clopper-Pearson: the largest share under which k or fewer of n still has probability delta."""
     if n == 0 or k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
-
-    def cdf(p: float) -> float:
-        return sum(math.exp(c + i * math.log(p) + (n - i) * math.log1p(-p)) for i, c in enumerate(logs))
-
     lo, hi = k / n, 1.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if mid < 1 and cdf(mid) > delta else (lo, mid)
+        lo, hi = (mid, hi) if beta_cdf(1 - mid, n - k, k + 1) > delta else (lo, mid)
     return hi
 
 
+def within_risk(k: int, n: int, alpha: float, delta: float) -> bool:
+    """binomial_upper(k, n, delta) <= alpha, with one evaluation: k or fewer of n has probability delta at most under alpha."""
+    return 0 < n and k < n and beta_cdf(1 - alpha, n - k, k + 1) <= delta
+
+
 def choose_cutoff(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float) -> int:
     """Histograms of the holdout's score buckets -> number of lowest buckets to reject (0: none)."""
     n, worth = int(good.sum()), (0.0, 0)
     lost = caught = 0
     for i in range(len(good) - 1):
         lost, caught = lost + int(good[i]), caught + int(bad[i])
-        if binomial_upper(lost, n, delta) > alpha:
+        if not within_risk(lost, n, alpha, delta):
             break
         gain = caught / max(1, bad.sum()) - 5 * lost / max(1, n)
         if gain > worth[0] + 1e-12:
@@ -146,8 +172,10 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     lab = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y is not null").distinct()
     known = measured.where(~base_failed(q)).join(lab, F.col("doc_id") == F.col("_id"))
     known = stage(known.select("doc_id", F.col(stratum).alias("_stratum"), "_y", F.array(*_inputs(q)).alias("_x"), _half().alias("_h")))
-    key = F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string")))
-    sample = known.where("_h = 0").select(key.alias("_k"), "_x", "_y").orderBy("_k", "_y").limit(MAX_FIT).collect()
+    # equal rows (one id, one verdict, one text's counts) teach once, so a hot id is one row of the sample
+    rows = known.where("_h = 0").select("doc_id", "_x", "_y").distinct()
+    key = F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("_y"), F.lit(":"), F.col("_x").cast("string")))
+    sample = sorted(smallest(rows.select(key.alias("_k"), F.lit(0).alias("_all"), "_x", "_y"), MAX_FIT, "_all").collect(), key=lambda r: r["_k"])
     w = fit_score([[*r["_x"], r["_y"]] for r in sample])
     if w is None:
         return measured.withColumn("_base_failed", base_failed(q)).withColumn("_score", F.lit(1.0)).withColumn("_kept", ~base_failed(q))
