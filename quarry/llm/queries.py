@@ -16,4 +16,10 @@ QUERIES = {
     "op9_preferences": preferences.op9_preferences,
     "op10_language_id": language.op10_language_id,
 }
-ORACLES = {"op2_mixing": mixing.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_decontamination": decontamination.ORACLE}
+ORACLES = {
+    "op1_minhash_near_dedup": near_dedup.ORACLE,
+    "op2_mixing": mixing.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
+    "op7_decontamination": decontamination.ORACLE,
+    "op9_preferences": preferences.ORACLE,
+}
