@@ -12,34 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, mixing, near_dedup, tokens, toxicity
-from quarry.llm.common import stage, table
+from quarry.llm.common import fresh, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.annotate(docs, model).where("_toxicity < 0.5").drop("_toxicity")
+    model, score = toxicity.train(docs, table(spark, sf_dir, "labels")), fresh(docs, "toxicity")
+    return toxicity.annotate(docs, model, score).where(F.col(score) < 0.5).drop(score)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written so that every later read sees the same."""
-    return stage(docs.withColumn("_row", F.monotonically_increasing_id()))
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, written so that every later read sees the same, and that column's name."""
+    row = fresh(docs, "row")
+    return stage(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: that of the smallest doc_id, rows without one last."""
-    rows = numbered(docs)
-    groups = stage(near_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")))
-    # most groups have one row, and those need no verdict
-    large = stage(groups.select(F.col("doc_id").alias("_row"), "component_id").join(groups.where("not kept").select("component_id").distinct(), "component_id", "left_semi"))
-    large = stage(large.join(rows.select("_row", "doc_id"), "_row").withColumn("_order", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))))
-    stays = large.groupBy("component_id").agg(F.min("_order").alias("_first")).select(F.col("_first.row").alias("_row"))
-    gone = large.select("_row").join(stays, "_row", "left_anti")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    rows, row = numbered(docs)
+    groups = stage(near_dedup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")))
+    # numbers join one to one and groups meet in a minimum, so a large group is no large task
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    seat = F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("seat")
+    seats = stage(groups.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row").select("row", "component_id", seat))
+    stays = seats.groupBy("component_id").agg(F.min("seat").alias("seat")).select("seat.row")
+    gone = seats.select("row").join(stays, "row", "left_anti").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    flagged = decontamination.annotate(docs, table(spark, sf_dir, "benchmark"))
-    return flagged.where(F.col("_decontamination")["n_hit"] == 0).drop("_decontamination")
+    name = fresh(docs, "decontamination")
+    flagged = decontamination.annotate(docs, table(spark, sf_dir, "benchmark"), name)
+    return flagged.where(F.col(name)["n_hit"] == 0).drop(name)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +50,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The part is taken whole, so that texts stay documents; a source overruns its target by less than one document.
     """
-    rows = numbered(docs)
-    taken = mixing.mix(rows, carry=("_row",)).where("taken > 0").select("_row", "size", "taken")
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    rows, row = numbered(docs)
+    copies, copy = fresh(rows, "copies"), fresh(rows, "copy")
+    taken = mixing.mix(rows.select("doc_id", "text", "source", F.col(row).alias("_row")), carry=("_row",)).where("taken > 0")
+    taken = taken.select(F.col("_row").alias(row), F.ceil(F.col("taken") / F.col("size")).cast("int").alias(copies))
+    return rows.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
