@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, language, line_dedup, mixing, near_dedup, preferences, quality, sharding, tokens, toxicity
-from quarry.llm.common import WordHashes, global_rank
+from quarry.llm.common import WordHashes, fresh, global_rank, smallest
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, hash string"
@@ -70,6 +70,39 @@ def test_near_dedup_links_that_only_some_members_share(spark):
     assert got == want
 
 
+def test_sql_of_near_dedup_and_decontamination_against_brute_force():
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    rows = con.execute("SELECT doc_id, text FROM documents").fetchall()
+    assert {a: (b, c) for a, b, c, _ in con.execute(near_dedup.ORACLE).fetchall()} == near_dedup.brute_force(rows)
+    items = con.execute("SELECT item_id, text FROM benchmark").fetchall()
+    assert {r[0]: tuple(r[1:5]) for r in con.execute(decontamination.ORACLE).fetchall()} == decontamination.brute_force(rows, items)
+
+
+def test_near_dedup_in_tiles(spark, monkeypatch):
+    """Members of one bucket that no leader links: they meet tile by tile, whatever the number of tiles."""
+    rnd = random.Random(11)
+    base = [f"t{i}" for i in range(60)]
+    rows = []
+    for g in range(12):
+        own = [w if rnd.random() < 0.85 else f"g{g}x{i}" for i, w in enumerate(base)]
+        for _ in range(6):
+            w = list(own)
+            for _ in range(rnd.randint(0, 3)):
+                w[rnd.randrange(len(w))] = f"z{rnd.random()}"
+            rows.append((len(rows), " ".join(w[: rnd.randint(50, 60)])))
+    want = near_dedup.brute_force(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (near_dedup.TILE, 2):
+        monkeypatch.setattr(near_dedup, "TILE", tile)
+        monkeypatch.setattr(near_dedup, "STAR_ROUNDS", ((0, 1),))  # few stars, so that buckets hold several components
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+        assert got == want
+
+
 def test_near_dedup_edges(odd, none):
     got = near_dedup.near_duplicates(odd).collect()
     by = {r.doc_id: r for r in got}
@@ -134,6 +167,67 @@ def test_shards(docs, odd, none):
     assert sharding.hilbert_shards(none).count() == 0
 
 
+def _curve(axes, bits):
+    """Index on the Hilbert curve, by walking down the curve's cells with plain integers."""
+    x, n = list(axes), len(axes)
+    m = 1 << (bits - 1)
+    q = m
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, m
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_shards_against_plain_python(docs):
+    rows = docs.toPandas()
+    code = {c: {v: i * 256 // rows[c].dropna().nunique() for i, v in enumerate(sorted(rows[c].dropna().unique()))} for c in ("source", "lang")}
+    seats = []
+    for r in rows.itertuples():
+        raw = (r.text or "").encode()
+        size = len(raw) + 8
+        at = _curve([code["source"].get(r.source, 0), code["lang"].get(r.lang, 0), min(255, int(np.log2(size + 1) * 8))], 8)
+        seats.append((at, r.doc_id, zlib.crc32(raw), size))
+    seats.sort()
+    want, slots = {}, {}
+    for i, (at, doc_id, crc, size) in enumerate(seats):
+        shard = i * 24 // len(seats)
+        want[doc_id] = (shard, slots.get(shard, 0), at, crc, size)
+        slots[shard] = slots.get(shard, 0) + 1
+    got = {r.doc_id: (r.shard, r.slot, r.hilbert, r.text_crc32, r.size) for r in sharding.hilbert_shards(docs).collect()}
+    assert got == want
+
+
+def test_written_shards_can_be_pruned(spark, docs, tmp_path):
+    """Each file covers a part of the values only, on every dimension, and reads back whole."""
+    sharded = sharding.hilbert_shards(docs)
+    sharding.write_shards(sharded, f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert sorted(map(str, back.select(sorted(sharded.columns)).collect())) == sorted(map(str, sharded.select(sorted(sharded.columns)).collect()))
+    p = back.toPandas()
+    share = lambda c: p.groupby("shard")[c].nunique().mean() / p[c].nunique()
+    assert share("source") < 0.4 and share("lang") < 0.8
+
+
+def test_shards_of_ties_and_nulls(spark, odd):
+    twice = odd.unionByName(odd)
+    p = sharding.hilbert_shards(twice, 5).toPandas()
+    assert len(p) == 2 * len(ODD) and p.groupby("shard").size().max() - p.groupby("shard").size().min() <= 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in p.groupby("shard"))
+
+
 def test_global_rank(spark):
     df = spark.createDataFrame([(i % 7, i) for i in range(1000)], "k int, v int")
     p = global_rank(df, ["k", "v"]).toPandas().sort_values("rank")
@@ -146,7 +240,7 @@ def test_global_rank(spark):
 def test_quality_features_and_bounds(spark, docs, none):
     known = WordHashes()
     text = "a b c a b c\nx # y\n\nx # y\nzz"
-    assert quality.features(text, known)[:5] == (13, 15, 2, 1, 12 - 0) or quality.features(text, known)[3] == 1
+    assert quality.features(text, known)[:5] == (13, 14, 2, 1, 12)
     assert quality.features(None, known)[:5] == (0, 0, 0, 0, 0) and quality.features(" \n ", known)[0] == 0
     w = "p q r s p q r t".split()
     hit = {j for i in range(6) for j in range(i, i + 3) if sum(w[k : k + 3] == w[i : i + 3] for k in range(6)) > 1}
@@ -155,6 +249,9 @@ def test_quality_features_and_bounds(spark, docs, none):
         u = quality.binomial_upper(k, n, 0.05)
         cdf = sum(np.exp(quality.math.lgamma(n + 1) - quality.math.lgamma(i + 1) - quality.math.lgamma(n - i + 1) + i * np.log(u) + (n - i) * np.log1p(-u)) for i in range(k + 1))
         assert abs(cdf - 0.05) < 1e-6
+        assert abs(quality.beta_cdf(1 - u, n - k, k + 1) - 0.05) < 1e-9
+        assert quality.within_risk(k, n, u + 1e-9, 0.05) and not quality.within_risk(k, n, u - 1e-9, 0.05)
+    assert not quality.within_risk(0, 0, 0.5, 0.5) and quality.within_risk(190_000, 10_000_000, 0.02, 0.01) and not quality.within_risk(200_500, 10_000_000, 0.02, 0.01)
     good, bad = np.zeros(50, int), np.zeros(50, int)
     good[30:], bad[:20] = 50, 10
     assert quality.choose_cutoff(good, bad, 0.02, 0.01) == 20
@@ -164,6 +261,48 @@ def test_quality_features_and_bounds(spark, docs, none):
     assert quality.judge(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
+def test_quality_verdicts_against_plain_python(spark, docs):
+    """Every verdict from the scores alone: holdout tallies, exact tails by summing, a walk for each language."""
+    import math
+
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    alpha, delta = 0.1, 0.4
+    got = quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), labels, alpha=alpha, delta=delta).toPandas()
+    lab = labels.toPandas()[["doc_id", "quality"]].dropna().drop_duplicates()
+    held = got[~got._base_failed].merge(lab, on="doc_id")
+    held = held[[zlib.crc32(f"half:{i}".encode()) % 2 == 1 for i in held.doc_id]]
+    bucket = lambda x: min(int(x * quality.GRID), quality.GRID - 1)
+    strata, cuts = held.lang.nunique(), {}
+    for lang, g in held.groupby("lang"):
+        good = np.bincount([bucket(x) for x in g._score[g.quality == 1]], minlength=quality.GRID)
+        bad = np.bincount([bucket(x) for x in g._score[g.quality == 0]], minlength=quality.GRID)
+        n, best, cut, lost, caught = good.sum(), 0.0, 0, 0, 0
+        for i in range(quality.GRID - 1):
+            lost, caught = lost + good[i], caught + bad[i]
+            if lost >= n or sum(math.comb(int(n), j) * alpha**j * (1 - alpha) ** int(n - j) for j in range(lost + 1)) > delta / strata:
+                break
+            gain = caught / max(1, bad.sum()) - 5 * lost / max(1, n)
+            if gain > best + 1e-12:
+                best, cut = gain, i + 1
+        cuts[lang] = cut
+    want = [not f and bucket(x) >= cuts.get(lang, 0) for f, x, lang in zip(got._base_failed, got._score, got.lang, strict=True)]
+    assert got._kept.tolist() == want and any(cuts.values())
+
+
+def test_quality_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(6, 1, "x"), (7, 0, "x"), (7, 0, "x"), (5, 1, None), (None, 1, None), (4, None, None)], "doc_id long, quality int, lang string")
+    got = quality.judge(odd, labels).collect()
+    assert len(got) == len(ODD) and not any(r._base_failed and r._kept for r in got) and all(r._kept for r in got if r.doc_id in (6, 7))
+    assert len(quality.judge(odd, labels.limit(0)).collect()) == len(ODD)
+
+
+def test_smallest(spark):
+    df = spark.createDataFrame([(g, f"{zlib.crc32(f'{g}{i}'.encode()):08x}") for g in ("a", None) for i in range(300)], "g string, _k string")
+    rows = smallest(df, 7, "g").collect()
+    assert sorted((r.g or "", r._k) for r in rows) == [(g or "", k) for g in (None, "a") for k in sorted(f"{zlib.crc32(f'{g}{i}'.encode()):08x}" for i in range(300))[:7]]
+
+
 def test_quality_counts_against_plain_python(docs):
     import re
 
@@ -222,6 +361,18 @@ def test_damage_is_noticed(spark, odd, tmp_path):
         tokens.read_digests(spark, path).collect()
 
 
+def test_lost_recipes_are_noticed(spark, odd, tmp_path):
+    path = f"file://{tmp_path}/store"
+    tokens.write_store(odd, path, tokens.default_tokenizer())
+    tokens.verify_manifest(spark, path)
+    r = spark.read.parquet(f"{path}/recipes")
+    for name, damaged in (("fewer", r.where("doc_id <> 7 or doc_id is null")), ("none", r.limit(0)), ("other", r.withColumn("root", F.when(F.col("doc_id") == 7, F.unhex(F.lit("00"))).otherwise(F.col("root"))))):
+        damaged.write.parquet(f"{path}-{name}/recipes")
+        spark.read.parquet(f"{path}/manifest").write.parquet(f"{path}-{name}/manifest")
+        with pytest.raises(Exception, match="match the manifest"):
+            tokens.verify_manifest(spark, f"{path}-{name}")
+
+
 def test_chunks_are_cut_by_content():
     rnd = np.random.default_rng(2)
     x = rnd.integers(0, 50000, 20000).astype("<u2")
@@ -259,6 +410,26 @@ def test_line_dedup_against_brute_force(spark, docs, none):
     assert left == {10001: "a b c d e f g h i\nx\n", 10002: "q w e r t y u i\nq w e r t y u", 10003: None, 10004: ""}
 
 
+def test_line_dedup_follows_chains_and_the_bound(spark):
+    a = "a b c d e f g h i j".split()
+    lines = [a, ["X", *a[1:]], ["X", "Y", *a[2:]], ["X", "Y", "Z", *a[3:]], "p q r".split(), "p q s".split(), "p q r s".split()]
+    rows = [(n, " ".join(w)) for n, w in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.kept, r.first_doc) for r in line_dedup.line_verdicts(docs).collect()}
+    assert got == {0: (True, 0), 1: (False, 0), 2: (False, 0), 3: (False, 0), 4: (True, 4), 5: (True, 5), 6: (True, 6)}
+    for bound in (3, 4):
+        got = {(r.doc_id, r.line_no): (r.kept, (r.first_doc, r.first_line)) for r in line_dedup.line_verdicts(docs, bound).collect()}
+        assert got == line_dedup.brute_force(rows, bound)
+
+
+def test_line_dedup_of_distinct_texts_under_one_id(spark, odd):
+    rows = [(0, "a b c d e f g h X"), (1, "a b c d e f g h i"), (1, "quite other words stand in this line here now"), (5, "same words here"), (5, "same words here")]
+    got = [(r.doc_id, r.kept, r.first_doc) for r in line_dedup.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(0, True, 0), (1, False, 0), (1, True, 1), (5, False, 5), (5, True, 5)]
+    left = line_dedup.dedup_lines(odd.withColumnRenamed("size", "_copy").withColumnRenamed("hash", "_gone"))
+    assert left.count() == len(ODD) and left.columns == [*odd.columns[:5], "_copy", "_gone"]
+
+
 def test_line_dedup_with_null_and_repeated_ids(spark):
     near, clean = "a b c d e f g h i", [f"clean{n} " + " ".join(f"x{n}y{i}" for i in range(9)) for n in range(4)]
     rows = [(None, near), (None, near[:-1] + "j"), (None, clean[0]), (None, clean[1]), (7, clean[2] + "\nsame"), (7, clean[3]), (8, "other\nsame"), (8, "other\nsame"), (None, "twice"), (None, "twice")]
@@ -296,6 +467,15 @@ def test_decontamination_edges(spark, odd, none):
     assert decontamination.annotate(none, bench).count() == 0
 
 
+def test_decontamination_ways_agree(spark, docs, odd):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(900, "one two"), (901, " ".join(f"w{i}" for i in range(40, 60))), (None, "x 3 y")], "item_id long, text string"))
+    for d in (docs, odd.withColumnRenamed("size", "_items").withColumnRenamed("hash", "_doc"), odd.limit(0)):
+        seen = [sorted(map(str, decontamination.annotate(d, bench, most_bytes=most).select("doc_id", "_decontamination").collect())) for most in (decontamination.MOST_BYTES, 0)]
+        assert seen[0] == seen[1] and len(seen[0]) == d.count()
+    hit = {r.doc_id: r._decontamination.n_hit for r in decontamination.annotate(odd, bench).collect()}
+    assert hit[None] == 2 and hit[6] == 20 and hit[1] == 0
+
+
 def test_winnowing_keeps_every_long_shared_span():
     rnd = np.random.default_rng(5)
     for _ in range(200):
@@ -332,6 +512,44 @@ def test_toxicity_tolerates_gaps_and_insertions(spark, none):
     assert blank.score(blank.units(["idiot"])) < 0.5 and toxicity.fit([], []).score(np.empty(0)) < 0.5
 
 
+def test_kernel_against_its_definition():
+    def plain(a, b):
+        def features(u):
+            out, u = {}, toxicity.MARK + u
+            for i in range(len(u)):
+                for j in range(i + 1, len(u)):
+                    for k in range(j + 1, len(u)):
+                        if k - i < toxicity.SPAN:
+                            out[u[i] + u[j] + u[k]] = out.get(u[i] + u[j] + u[k], 0) + toxicity.DECAY ** (k - i + 1)
+            return out
+
+        dot = lambda x, y: sum(v * y.get(k, 0) for k, v in x.items())
+        x, y = features(a), features(b)
+        return dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))
+
+    for a, b in (("idiot", "idiot"), ("idiot", "idxiot"), ("idiot", "scumbag"), ("banana", "bandana"), ("aaaaaaa", "aaa")):
+        assert abs(toxicity.kernel(a, b) - plain(a, b)) < 1e-9
+    assert toxicity.kernel("idiot", "idxiot") > 0.4 > toxicity.kernel("idiot", "patio")
+    near = toxicity.Nystroem(["idiot", "moron", "clown", "table"]).features(["idiot", "moron", "clown", "table"])[:, :-1].astype(float)
+    for i, a in enumerate(("idiot", "moron", "clown", "table")):
+        for j, b in enumerate(("idiot", "moron", "clown", "table")):
+            assert abs(near[i] @ near[j] - toxicity.kernel(a, b)) < 1e-3
+
+
+def test_toxicity_sample_and_training_with_odd_rows(spark, none):
+    good, bad, plain = _insults()
+    rows = [(i, t, 0) for i, t in enumerate(good)] + [(1000 + i, t, 1) for i, t in enumerate(bad)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1001, "another text")] * 40 + [(None, "idiot")] * 5 + [(2000, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, "x") for i, _, y in rows] + [(1001, 0, "y"), (None, 1, None), (7, None, None), (2000, 0, None)], "doc_id long, toxic int, text string")
+    sample = toxicity.labelled_sample(docs, labels)
+    learnt = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5] + [i for i in (2000,) if zlib.crc32(str(i).encode()) % 5]
+    assert len(sample) == len(learnt) and len(toxicity.labelled_sample(docs, labels, most=9)) == 18
+    assert sum(len(t.encode()) for t, _ in toxicity.labelled_sample(docs, labels, most_bytes=20_000)) <= 20_000
+    m = toxicity.train(docs, labels)
+    assert m.score(m.units(["idiot"])) > 0.5 > m.score(m.units(sorted(toxicity.units_of(plain()))))
+    assert toxicity.train(none, labels.limit(0)).score(np.empty(0)) < 0.5
+
+
 def test_toxicity_held_out():
     sf = "/root/testdata/sf0.1"
     d = pd.read_parquet(f"{sf}/documents.parquet").merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
@@ -345,24 +563,87 @@ def test_toxicity_held_out():
 # ---- preferences ------------------------------------------------------------------------------
 
 
-def test_preferences(spark):
-    rows = [(c, t, r, x) for c, turns in {
+CONVERSATIONS = "conv_id long, turn long, role string, text string, side string, pos int"
+
+
+def _plain_preferences(rows):
+    """The two rules and the formatting by hand: pair_id -> (chosen_id, rejected_id, n, prompt, chosen, rejected, spans of both)."""
+    import hashlib
+
+    talks = {}
+    for c, turn, role, text, *_ in rows:
+        if c is not None:
+            talks.setdefault(c, []).append((turn is None, turn or 0, role or "user", text or ""))
+    talks = {c: [(r, x) for _, _, r, x in sorted(t)] for c, t in talks.items()}
+    show = lambda t: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in t)
+    pairs, alone, groups = [], [], {}
+    for c in sorted(talks):
+        groups.setdefault(talks[c][0], []).append(c)
+    for g in groups.values():
+        pairs += [(a, b, talks[a], talks[b]) for a, b in zip(g[::2], g[1::2])]
+        alone += g[len(g) // 2 * 2 :]
+    last = {c: max((i for i, t in enumerate(talks[c]) if t[0] == "assistant"), default=0) for c in alone}
+    order = sorted((c for c in alone if last[c] > 0), key=lambda c: (hashlib.md5(str(c).encode()).hexdigest(), c))
+    for i, c in enumerate(order):
+        d, n = order[(i + 1) % len(order)], last[c]
+        pairs.append((c, d, talks[c][: n + 1], [*talks[c][:n], talks[d][last[d]]]))
+    out = {}
+    for a, b, x, y in pairs:
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        if n and (x[n:] or y[n:]):
+            spans = []
+            for tail in (x[n:], y[n:]):
+                at, own = len(show(x[:n])), []
+                for t in tail:
+                    own += [(at + len("<|im_start|>assistant\n"), at + len(show([t])))] if t[0] == "assistant" else []
+                    at += len(show([t]))
+                spans.append(own)
+            out[a] = (a, b, n, show(x[:n]), show(x[n:]), show(y[n:]), *spans)
+    return out
+
+
+def _preferences(df):
+    rows = preferences.preferences(df).collect()
+    spans = lambda s: [(x.start, x.end) for x in s]
+    out = {r.pair_id: (r.chosen_id, r.rejected_id, r.n_prompt_turns, r.prompt, r.chosen, r.rejected, spans(r.chosen_spans), spans(r.rejected_spans)) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def test_preferences_against_plain_python(spark):
+    table = spark.read.parquet(f"{SF}/conversations.parquet")
+    got = _preferences(table)
+    assert got == _plain_preferences([tuple(r) for r in table.collect()]) and got
+    long = " ".join(["word"] * 50_000)
+    rows = [(c, t, r, x, "s", 1) for c, turns in {
         1: [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", "yes")],
         2: [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", "no")],
         3: [("user", "hi")],
-        4: [("user", "hi"), ("assistant", "hello")],
-        5: [(None, None)],
-        6: [("system", "s"), ("assistant", "a")],
+        4: [("user", "equal"), ("assistant", "twins")],
+        5: [("user", "equal"), ("assistant", "twins")],
+        6: [("system", "s"), ("assistant", "a"), (None, None)],
+        7: [(None, None), ("assistant", long), ("user", "thanks")],
+        8: [("assistant", "no turn before it")],
+        9: [("user", "nobody answers")],
+        10: [("user", "q"), ("assistant", None)],
+        11: [("user", "prefix"), ("assistant", "x"), ("user", "y")],
+        12: [("user", "prefix"), ("assistant", "x")],
     }.items() for t, (r, x) in enumerate(turns)]
-    got = {r.pair_id: r for r in preferences.preferences(spark.createDataFrame([*rows, (None, 0, "user", "x")], "conv_id long, turn long, role string, text string")).collect()}
-    assert {(r.chosen_id, r.rejected_id) for r in got.values()} == {(1, 2), (3, 4), (5, 6)}
-    a = got[1]
-    assert a.n_prompt_turns == 3 and a.prompt.endswith("<|im_start|>user\nmore<|im_end|>\n") and a.chosen == "<|im_start|>assistant\nyes<|im_end|>\n"
-    (s,) = a.chosen_spans
-    assert (a.prompt + a.chosen)[s.start : s.end] == "yes<|im_end|>\n"
-    assert got[3].chosen == "" and got[3].chosen_spans == [] and got[3].n_prompt_turns == 1
-    assert got[5].n_prompt_turns == 0 and got[5].prompt == "" and got[5].chosen == "<|im_start|>user\n<|im_end|>\n"
-    assert preferences.preferences(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    rows += [(10, 1, "assistant", "repeated turn", None, None), (10, None, "user", "last", None, None), (None, 0, "user", "x", None, None)]
+    got = _preferences(spark.createDataFrame(rows, CONVERSATIONS))
+    assert got == _plain_preferences(rows) and {1, 6, 7, 10, 11} <= set(got) and not {4, 5, 8, 9} & set(got)
+    assert got[11][4] and not got[11][5]
+    assert preferences.preferences(spark.createDataFrame([], CONVERSATIONS)).count() == 0
+
+
+def test_given_pairs(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (2, 0, "user", "hi"), (2, 1, "assistant", "a"), (3, 0, "user", "other")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pairs = spark.createDataFrame([(7, 1, 2), (8, 1, 3)], "pair_id long, chosen_id long, rejected_id long")
+    got = {r.pair_id: (r.n_prompt_turns, r.chosen, r.rejected) for r in preferences.preferences(turns, pairs).collect()}
+    assert got[7] == (2, "", "") and got[8][0] == 0 and got[8][2] == "<|im_start|>user\nother<|im_end|>\n"
 
 
 # ---- language ---------------------------------------------------------------------------------
@@ -379,6 +660,22 @@ def test_language_held_out_and_edges(spark, docs, odd, none):
     assert empty.predict("text") == ("und", 0.0, True) and language.annotate(none, m).count() == 0
 
 
+def test_language_against_plain_nearest_centroids(spark, docs):
+    m = language.train(docs)
+    for r in language.annotate(docs.select("doc_id", "text"), m).limit(60).collect():
+        x = language.counts(r.text)
+        v = np.log1p(x) * m.idf
+        cos = [float(v @ c) / float(np.linalg.norm(v)) for c in m.centroids]
+        assert r._language.lang == m.langs[int(np.argmax(cos))] and abs(r._language.score - max(cos)) < 1e-4 and r._language.rejected == (r._language.score < m.floors[int(np.argmax(cos))])
+
+
+def test_language_sample_of_repeated_and_null_ids(spark):
+    rows = [(i, f"plain words of text number {i} here", "en") for i in range(40)] + [(3, f"other text {i}", "en") for i in range(30)] + [(None, "null", "en")] * 9 + [(50, "texte sans langue", None), (51, "12 34", "fr")]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(F.col("lang").isNotNull() & ~language.held_out())
+    got = language.sample_counts(learn)
+    assert len(got) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(40)) and {g for g, _ in got} == {"en"}
+
+
 # ---- pipeline ---------------------------------------------------------------------------------
 
 
@@ -430,3 +727,20 @@ def test_pipeline_decides_by_row(spark):
     totals = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
     size = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
     assert all(totals[s] - 1 <= size[s] < totals[s] + 60 for s in totals)
+
+
+def test_pipeline_with_odd_rows_and_clashing_names(spark, odd, none):
+    import corpus_pipeline as c
+
+    def named(df):
+        for old, new in (("size", "_row"), ("hash", "_copies"), ("n_chars", "taken")):
+            df = df.withColumnRenamed(old, new)
+        return df.withColumns({n: F.lit("z") for n in ("_toxicity", "_decontamination", "_copy", "size", "_id", "_gone", "_doc", "_seat", "component_id", "kept")})
+
+    for rows in (named(odd), named(none)):
+        kept = rows
+        for name, step in c.STAGES[:-1]:
+            kept = step(spark, kept, SF)
+            assert kept.columns == rows.columns, name
+        out = c.STAGES[-1][1](spark, kept, SF)
+        assert out.count() == kept.count()
