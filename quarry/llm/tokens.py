@@ -25,6 +25,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from .common import n_partitions, shared_dir, small_batches, table
 
 END_ID = 2
 WINDOW, MEAN_BITS, MIN_IDS, MAX_IDS = 16, 9, 128, 2048
-CACHE_WORDS, CACHE_CHARS, CACHE_TAILS = 500_000, 32, 20_000
+CACHE_WORDS, CACHE_CHARS, CACHE_TAILS = 350_000, 32, 20_000
 
 
 def default_tokenizer() -> str:
@@ -66,22 +67,34 @@ def _latin(word: str) -> bool:
         return False
 
 
+_ID = attrgetter("id")
+
+
 class _Known(dict):
-    """Ids of pieces, worked out on first sight.  ``space`` is what stands before each piece in its text."""
+    """Ids of pieces, worked out on first sight.  ``space`` is what stands before each piece in its text.
+
+    A full table becomes the older one, and what is met again moves back from it: rare pieces go, frequent ones stay.
+    """
 
     def __init__(self, encoder: Encoder, space: str):
         super().__init__()
-        self.encoder, self.space, self.tails = encoder, space, {"": b""}
+        self.encoder, self.space, self.tails, self.older = encoder, space, {"": b""}, {}
         self.lead = space.translate(encoder.byte_level)
-        self.tokenize, self.packed = encoder.bpe.tokenize, encoder.packed
+        self.tokenize, self.packed = encoder.bpe.tokenize, encoder.packed.__getitem__
+
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> bytes:
+        if piece in self.older:
+            self[piece] = ids = self.older[piece]
+            return ids
         e = self.encoder
         if piece.isalpha() and e.direct and (piece.isascii() or _latin(piece)):
             # ASCII letters stand for themselves in the byte-level alphabet
             word = self.lead + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(e.byte_level))
-            packed = self.packed
-            ids = b"".join([packed[t.id] for t in self.tokenize(word)])
+            ids = b"".join(map(self.packed, map(_ID, self.tokenize(word))))
         elif piece[:1] == "\n" and len(piece) > 1:
             ids = e.newline + e.starts[piece[1:]]
         elif e.direct and (base := piece.rstrip(SIGNS)).isalpha() and (base.isascii() or _latin(base)):
@@ -134,8 +147,8 @@ class Encoder:
         if not text:
             return np.empty(0, self.kind)
         if len(self.known) + len(self.starts) > CACHE_WORDS:
-            self.known.clear()
-            self.starts.clear()
+            self.known.age()
+            self.starts.age()
         if text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, _SPACES)):
             first, *rest = self._cut.split(text)
             if first[:1] == "\n":  # such a key stands for a line end between two other characters
@@ -244,6 +257,12 @@ def _encode(path: str, end_id: int):
         compress = zstandard.ZstdCompressor(level=1).compress
         end, sha, seen = np.array([end_id], enc.kind), hashlib.sha256, set()
         gc.disable()  # millions of small tokens, and no cycles among them
+        try:
+            yield from rows(batches, enc, compress, end, sha, seen)
+        finally:
+            gc.enable()
+
+    def rows(batches, enc, compress, end, sha, seen):
         for b in batches:
             chunks, recipes = [], []
             for text in b.column(1).to_pylist():
@@ -268,7 +287,6 @@ def _encode(path: str, end_id: int):
             yield pa.record_batch(
                 [pa.array(["recipe"] * m, pa.string()), pa.array(keys, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), b.column(0), pa.array([r[0] for r in recipes], pa.int64()), pa.array([r[1] for r in recipes], pa.list_(pa.binary()))], _ROW
             )
-        gc.enable()
 
     return run
 
@@ -384,6 +402,24 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_STORE).parquet(f"{path}/store").where("kind = 'chunk'").select(F.col("key").alias("hash"), "n_ids", "payload")
 
 
+def verify_manifest(spark: SparkSession, path: str) -> None:
+    """Raise unless every recipe file has the documents, the ids and the Merkle root that the manifest says."""
+
+    def tree(pdf):
+        import pandas as pd
+
+        pdf, peaks = pdf.sort_values("local_start"), MerklePeaks()
+        for r in pdf["root"]:
+            peaks.add(bytes(r))
+        return pd.DataFrame([(int(pdf["part"].iloc[0]), len(pdf), int(pdf["n_tokens"].sum()), peaks.root())], columns=["part", "n_docs", "n_tokens", "root"])
+
+    rec = spark.read.parquet(f"{path}/recipes").select("part", "local_start", "n_tokens", "root")
+    have = rec.groupBy("part").applyInPandas(tree, "part int, n_docs long, n_tokens long, root binary")
+    said = spark.read.parquet(f"{path}/manifest").select("part", "n_docs", "n_tokens", "root")
+    if not have.exceptAll(said).isEmpty() or not said.select("part").exceptAll(have.select("part")).isEmpty():
+        raise ValueError("the recipes don't match the manifest")
+
+
 def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files alone, every chunk and recipe verified.
 
@@ -391,6 +427,7 @@ def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFram
     go through the join, and the CRC of a document is put together from those of its chunks.
     """
     small_batches(spark)
+    verify_manifest(spark, path)
     digests = read_chunks(spark, path).mapInArrow(_digest("<u4" if wide else "<u2"), "hash binary, n_ids long, crc long")
     rec = spark.read.parquet(f"{path}/recipes")
     id_type = rec.schema["doc_id"].dataType.simpleString()
@@ -405,17 +442,23 @@ def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFram
 def read_ids(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     """doc_id, ids array<int>: the documents themselves, put together from the store."""
     small_batches(spark)
+    verify_manifest(spark, path)
     kind = "<u4" if wide else "<u2"
 
     def join(batches):
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            ids = [np.frombuffer(b"".join(unpack.decompress(c["payload"]) for c in sorted(cs, key=lambda c: c["pos"])), kind).astype("i4") for cs in b.column(1).to_pylist()]
+            ids = []
+            for cs in b.column(1).to_pylist():
+                parts = [(c["hash"], unpack.decompress(c["payload"])) for c in sorted(cs, key=lambda c: c["pos"])]
+                if any(hashlib.sha256(raw).digest() != name for name, raw in parts):
+                    raise ValueError("a chunk doesn't match its name")
+                ids.append(np.frombuffer(b"".join(raw for _, raw in parts), kind).astype("i4"))
             yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     rec = spark.read.parquet(f"{path}/recipes")
     each = rec.select("part", "doc_id", "local_start", F.posexplode("hashes").alias("pos", "hash")).join(read_chunks(spark, path), "hash")
-    whole = each.groupBy("part", "doc_id", "local_start").agg(F.collect_list(F.struct("pos", "payload")).alias("chunks")).select("doc_id", "chunks")
+    whole = each.groupBy("part", "doc_id", "local_start").agg(F.collect_list(F.struct("pos", "hash", "payload")).alias("chunks")).select("doc_id", "chunks")
     return whole.mapInArrow(join, f"doc_id {rec.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
