@@ -297,6 +297,10 @@ def test_quality_odd_rows(spark, odd):
     assert len(quality.judge(odd, labels.limit(0)).collect()) == len(ODD)
 
 
+def test_fresh_names(odd):
+    assert fresh(odd, "row") == "_row" and fresh(odd.withColumnRenamed("size", "_ROW").withColumnRenamed("hash", "__row"), "row") == "___row"
+
+
 def test_smallest(spark):
     df = spark.createDataFrame([(g, f"{zlib.crc32(f'{g}{i}'.encode()):08x}") for g in ("a", None) for i in range(300)], "g string, _k string")
     rows = smallest(df, 7, "g").collect()
