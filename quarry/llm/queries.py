@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, line_dedup, mixing, near_dedup, preferences, quality, sharding, tokens, toxicity
+from . import decontamination, language, lexical_search, line_dedup, mixing, near_dedup, preferences, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_preferences": preferences.op9_preferences,
     "op10_language_id": language.op10_language_id,
+    "op11_ranked_search": lexical_search.op11_ranked_search,
 }
 ORACLES = {
     "op1_minhash_near_dedup": near_dedup.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
     "op9_preferences": preferences.ORACLE,
+    "op11_ranked_search": lexical_search.ORACLE,
 }
