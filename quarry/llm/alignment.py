@@ -189,7 +189,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, names: list[str], texts: bo
     spark = docs.sparkSession
     small_batches(spark)
     fields = ", ".join(f"`{n}` {c.split(' ')[1]}" for n, c in zip(names, _ROW.split(", "), strict=True))
-    at = [c.lower() for c in docs.columns].index("text")
+    columns = docs.columns
+    at = [c.lower() for c in columns].index("text")
     inside = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any name may stand outside
 
     def run(frames):
@@ -205,7 +206,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, names: list[str], texts: bo
                 pairs, times = np.unique(links, return_counts=True)
                 shown = groups.decode() if texts else hashlib.sha256(groups).hexdigest()
                 rows.append((n_a, groups.count(b",") + 2 * n_groups - n_a, n_groups, len(links), shown, pairs, times.astype(np.int32)))
-            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1).set_axis([*columns, *names], axis=1)
         give_back()
 
     kept = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
