@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, give_back, small_batches, stage, table
+from .common import frequent_from, fresh, give_back, small_batches, stage, table
 from .tokens import _byte_letters, _latin
 
 #: Pairs that may go to every task.
@@ -221,18 +221,9 @@ def pair_counts(aligned: DataFrame, pairs: str, size_b: int) -> DataFrame:
     return stage(counts.withColumn("a", a).join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best")))
 
 
-def _threshold(counts: DataFrame, most: int) -> int:
-    """The least power of two that at most ``most`` pairs reach."""
-    sizes = dict(counts.groupBy(F.length(F.bin("n")).alias("bits")).count().collect())  # at most 64 rows
-    total, bits = 0, 64
-    while bits and total + sizes.get(bits, 0) <= most:
-        total, bits = total + sizes.get(bits, 0), bits - 1
-    return 1 << bits
-
-
 def link_sums(aligned: DataFrame, row: str, pairs: str, times: str, counts: DataFrame) -> DataFrame:
     """(row, n_best, count_sum) of each row that has links."""
-    least = _threshold(counts, FREQUENT)
+    least = frequent_from(counts, "n", FREQUENT)
     each = aligned.select(row, F.inline(F.arrays_zip(F.col(pairs).alias("pair"), F.col(times).alias("times"))))
     frequent = F.broadcast(counts.where(F.col("n") >= least))  # at most FREQUENT rows of three numbers
     sums = [F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum")]

@@ -92,6 +92,15 @@ def smallest(df: DataFrame, n: int, by: str) -> DataFrame:
     return few.select(*df.columns)
 
 
+def frequent_from(counts: DataFrame, count: str, most: int) -> int:
+    """The least power of two that at most ``most`` rows reach."""
+    sizes = dict(counts.groupBy(F.length(F.bin(count)).alias("bits")).count().collect())  # at most 64 rows
+    total, bits = 0, 64
+    while bits and total + sizes.get(bits, 0) <= most:
+        total, bits = total + sizes.get(bits, 0), bits - 1
+    return 1 << bits
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words; a null text has none."""
     text = F.col(text) if isinstance(text, str) else text

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontamination, language, lexical_search, line_dedup, mixing, near_dedup, preferences, quality, sharding, tokens, toxicity
+from . import alignment, decontamination, language, language_model, lexical_search, line_dedup, mixing, near_dedup, preferences, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": language.op10_language_id,
     "op11_ranked_search": lexical_search.op11_ranked_search,
     "op12_alignment": alignment.op12_alignment,
+    "op13_lm_scoring": language_model.op13_lm_scoring,
 }
 ORACLES = {
     "op1_minhash_near_dedup": near_dedup.ORACLE,
