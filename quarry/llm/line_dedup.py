@@ -1,8 +1,8 @@
-"""Line dedup by a deletion-neighbourhood join: lines within one word of an earlier line go.  Native.
+"""Line dedup by a deletion-neighbourhood join: a line goes if an earlier line that stays is within one word of it.  Native.
 
-The symbols of the edit distance are a line's words, lower-cased.  The edit bound grows with the line: none below
-``words_per_edit`` words (such lines must be equal to an earlier one), one word put in, left out or replaced from there
-on.  Lines without a word are always kept.
+The symbols of the edit distance are a line's words, lower-cased.  Lines of ``words_per_edit`` words or more may differ by one word put
+in, left out or replaced; shorter ones, where one word is too much of the line, go only if equal to an earlier one.  Lines without a
+word are always kept.
 
 1. Equal lines become one text; its first occurrence is the smallest (doc_id, line number).  Where these are equal
    (null or repeated ids), the hash of the document's text and then a number of the row decide.
@@ -11,12 +11,13 @@ on.  Lines without a word are always kept.
 3. Likewise in BLOCKS blocks: all but one block must be equal to another text's.  Nothing is lost by either step.
 4. A block so shared emits its deletion neighbourhood as hashed keys: one for each word left out, and one for each
    gap, both of the form (rest of the text, place, words left, prefix, suffix).  Texts with a common key are within one
-   edit of each other, so the smallest first occurrence of a key is all that its members need: no pairs are formed
-   inside a key.
-5. Each text takes the earliest partner of its keys; the edit distance to it is verified word by word.
+   edit of each other: no pairs are formed inside a key, and at most one text of a key stays.
+5. In order of first occurrence a text stays unless an earlier partner stays.  This takes rounds: a text that comes first under all
+   its keys stays, what shares a key with it goes, and the others go into the next round without both.  Near copies of one line are
+   settled in the first round or two; a chain of n lines, each one word from the one before, takes n / 2 rounds.
+6. Each text that goes takes the earliest partner that stays, and the edit distance to it is verified word by word.
 
-A text with an earlier partner goes.  Partners may have partners of their own (a copy of a copy), so first_doc and first_line
-name the text at the end of that chain, which stays, even if it is more than one edit away.
+first_doc and first_line name that partner (an equal line's first occurrence, if there is one), which is within the bound.
 
 Keys come from prefix XORs of position-salted word hashes, worked out in blocks, so a block of n words costs O(n).
 
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, fresh, global_rank, stage, table
 
-WORDS_PER_EDIT, BLOCK, BLOCKS = 8, 256, 4
+#: Lines of fewer words have no near copies.
+WORDS_PER_EDIT = 8
+BLOCK, BLOCKS = 256, 4
 
 
 def _bind(x: Column, f) -> Column:
@@ -130,28 +133,40 @@ def words_of(line: str) -> Column:
     return F.array_remove(F.split(F.translate(F.lower(line), "\t\n\v\f\r", "     "), " "), "")
 
 
-def ends_of(links: DataFrame) -> DataFrame:
-    """(id, to_id), to_id < id -> each id with the end of its chain; every round doubles the steps taken."""
-    links = stage(links)
-    while True:
-        ahead = links.select(F.col("id").alias("to_id"), F.col("to_id").alias("_next"))
-        step = stage(links.join(ahead, "to_id", "left").select("id", F.coalesce("_next", "to_id").alias("to_id"), F.col("_next").isNotNull().alias("_moved")))
-        links = step.drop("_moved")
-        if step.where("_moved").isEmpty():
-            return links
-
-
-def _partners(near: DataFrame) -> DataFrame:
-    """(id, words) -> (id, to_id): each text with the earliest one within an edit of it, if there is any."""
+def _keyed(near: DataFrame) -> DataFrame:
+    """(id, key, first) of keys that several texts share, ``first`` the earliest of them."""
     # keys are read twice, to count them and to join: written, they are worked out once
     blocks = stage(near.select("id", F.explode(block_keys(F.col("words"))).alias("b")).select("id", "b.*"))
     shared = blocks.groupBy("rest").agg(F.count("*").alias("n")).where("n > 1").select("rest")
     open_ = blocks.join(shared, "rest").join(near, "id")
     keys = block_neighbourhood(F.col("words"), F.col("longer"), F.col("block"))
     keyed = stage(open_.select("id", "rest", F.explode(keys).alias("key")).select("id", F.xxhash64("rest", "key").alias("key")))
-    first = keyed.groupBy("key").agg(F.min("id").alias("to_id"), F.max("id").alias("last")).where("to_id < last").select("key", "to_id")
-    # a text's earliest partner: the smallest first occurrence over its keys
-    found = keyed.join(first, "key").where("to_id < id").groupBy("id").agg(F.min("to_id").alias("to_id"))
+    return _with_first(keyed)
+
+
+def _with_first(keyed: DataFrame) -> DataFrame:
+    first = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
+    return stage(keyed.join(first, "key"))
+
+
+def _partners(near: DataFrame) -> DataFrame:
+    """(id, words) -> (id, to_id): each text that goes with the earliest one within an edit of it that stays."""
+    members = all_ = _keyed(near)
+    stays, found, rounds = None, None, 0
+    while not members.isEmpty():
+        heads = stage(members.groupBy("id").agg(F.max(F.col("first") < F.col("id")).alias("_later")).where("not _later").select("id"))
+        hit = stage(members.where("first < id").join(heads.withColumnRenamed("id", "first"), "first", "left_semi").groupBy("id").agg(F.min("first").alias("to_id")))
+        stays, found, rounds = heads if stays is None else stays.unionByName(heads), hit if found is None else found.unionByName(hit), rounds + 1
+        rest = members.select("id", "key").join(heads.unionByName(hit.select("id")), "id", "left_anti")
+        members = _with_first(rest)
+        # what shares no key any more stays
+        alone = stage(rest.select("id").distinct().join(members.select("id"), "id", "left_anti"))
+        stays = stays.unionByName(alone)
+    if found is None:
+        return near.select("id", F.col("id").alias("to_id")).where("id < to_id")
+    if rounds > 1:  # a text may have lost its place to one round's partner and have an earlier one of a later round
+        kept = all_.select("key", "id").join(stays, "id", "left_semi").withColumnRenamed("id", "to_id")
+        found = all_.select("key", "id").join(kept, "key").where("to_id < id").groupBy("id").agg(F.min("to_id").alias("to_id")).join(found.select("id"), "id", "left_semi")
     mine, theirs = near.select("id", F.col("words").alias("a")), near.select(F.col("id").alias("to_id"), F.col("words").alias("b"))
     return found.join(mine, "id").join(theirs, "to_id").where(within_one(F.col("a"), F.col("b"))).select("id", "to_id")
 
@@ -183,7 +198,7 @@ def _verdicts(docs: DataFrame, words_per_edit: int) -> DataFrame:
     picked = picked.select(at.alias("at"), words_of("line").alias("words"))
     # numbers in order of first occurrence stand for the texts: plain longs aggregate by hash, without sorting
     near = stage(global_rank(picked.dropDuplicates(["at"]), ["at"], "id"))
-    ends = ends_of(_partners(near.select("id", "words")))
+    ends = _partners(near.select("id", "words"))
     place = near.select("id", "at")
     partner = stage(ends.join(place, "id").join(place.select(F.col("id").alias("to_id"), F.col("at").alias("to")), "to_id").select("at", "to"))
     of_text = texts.join(partner, "at", "left").select("h1", "h2", F.col("at.line").alias("_line"), "first_copy", F.col("to").isNull().alias("_alone"), F.coalesce("to", "at").alias("to"))
@@ -195,7 +210,7 @@ def _verdicts(docs: DataFrame, words_per_edit: int) -> DataFrame:
 def line_verdicts(docs: DataFrame, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """(doc_id, text) -> doc_id, line_no, n_words, kept, first_doc, first_line: one row for each line with words.
 
-    first_doc and first_line say which kept line a dropped line goes back to; for a kept line they are its own.
+    first_doc and first_line say which kept line a dropped line is equal or near to; for a kept line they are its own.
     """
     return _verdicts(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("copy")), words_per_edit).drop("copy")
 
@@ -215,7 +230,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(table(spark, sf_dir, "documents"))
 
 
-#: Plain DuckDB SQL for the same rows: candidates share a half, every pair is compared word by word, chains are followed.
+#: Plain DuckDB SQL for the same rows: candidates share a half, every pair is compared word by word, texts are taken one by one in order.
 ORACLE = r"""
 WITH RECURSIVE l AS (
   SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
@@ -227,9 +242,11 @@ c AS (SELECT DISTINCT a.pl AS pl, b.pl AS other FROM h a JOIN h b ON a.half = b.
 p AS (SELECT c.pl, c.other, a.words AS a, b.words AS b, least(a.n, b.n) AS k FROM c JOIN x a ON c.pl = a.pl JOIN x b ON c.other = b.pl),
 q AS (SELECT *, coalesce(list_position(list_transform(range(1, k + 1), lambda i: a[i] = b[i]), false), k + 1) - 1 AS ahead,
              coalesce(list_position(list_transform(range(k), lambda i: a[len(a) - i] = b[len(b) - i]), false), k + 1) - 1 AS behind FROM p),
-s AS MATERIALIZED (SELECT pl, min(other) AS up FROM q WHERE ahead + behind >= k - CASE WHEN len(a) = len(b) THEN 1 ELSE 0 END GROUP BY pl),
-r AS (SELECT pl, up AS top FROM s UNION ALL SELECT r.pl, s.up FROM r JOIN s ON r.top = s.pl),
-f AS (SELECT pl, min(top) AS top FROM r GROUP BY pl)
+s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pl) AS i, pl, list(other) AS ups FROM q WHERE ahead + behind >= k - CASE WHEN len(a) = len(b) THEN 1 ELSE 0 END GROUP BY pl),
+g AS (SELECT 0::BIGINT AS i, (SELECT list(pl) FROM s WHERE false) AS gone UNION ALL
+      SELECT s.i, CASE WHEN len(list_filter(s.ups, lambda u: NOT list_contains(coalesce(g.gone, []), u))) > 0 THEN list_append(coalesce(g.gone, []), s.pl) ELSE g.gone END FROM g JOIN s ON s.i = g.i + 1),
+z AS MATERIALIZED (SELECT unnest(gone) AS pl FROM (SELECT gone FROM g ORDER BY i DESC LIMIT 1)),
+f AS (SELECT pl, min(up) AS top FROM (SELECT pl, unnest(ups) AS up FROM s) WHERE pl IN (SELECT pl FROM z) AND up NOT IN (SELECT pl FROM z) GROUP BY pl)
 SELECT w.doc_id, w.line_no, x.n AS n_words, (f.pl IS NULL AND x.pl = (w.doc_id, w.line_no)) AS kept,
        coalesce(f.top, x.pl)[1] AS first_doc, coalesce(f.top, x.pl)[2] AS first_line
 FROM w JOIN x ON w.words = x.words LEFT JOIN f ON x.pl = f.pl
@@ -255,12 +272,8 @@ def brute_force(docs: list[tuple], words_per_edit: int = WORDS_PER_EDIT) -> dict
             a, b = b, a
         return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
 
-    to = {}
-    for w, at in first.items():
-        partners = [o for v, o in first.items() if o < at and len(v) >= words_per_edit and len(w) >= words_per_edit and near(w, v)]
+    to: dict[tuple, tuple] = {}
+    for w, at in sorted(first.items(), key=lambda x: x[1]):
+        partners = [o for v, o in first.items() if o < at and to[o] == o and len(v) >= words_per_edit and len(w) >= words_per_edit and near(w, v)]
         to[at] = min(partners, default=at)
-
-    def end(at):
-        return at if to[at] == at else end(to[at])
-
-    return {k: (end(first[w]) == k, end(first[w])) for k, w in lines.items()}
+    return {k: (to[first[w]] == k, to[first[w]]) for k, w in lines.items()}

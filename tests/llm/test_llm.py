@@ -414,18 +414,42 @@ def test_line_dedup_against_brute_force(spark, docs, none):
     assert left == {10001: "a b c d e f g h i\nx\n", 10002: "q w e r t y u i\nq w e r t y u", 10003: None, 10004: ""}
 
 
-def test_line_dedup_follows_chains_and_the_bound(spark):
+def test_line_dedup_of_chains(spark):
+    """Each line is one word from the one before: every second one stays, and what goes is near a line that stays."""
     a = "a b c d e f g h i j".split()
-    lines = [a, ["X", *a[1:]], ["X", "Y", *a[2:]], ["X", "Y", "Z", *a[3:]], "p q r".split(), "p q s".split(), "p q r s".split()]
+    chain = [["X"] * i + a[i:] for i in range(7)]
+    lines = [*chain, "p q r".split(), "p q s".split(), "p q r s".split()]
     rows = [(n, " ".join(w)) for n, w in enumerate(lines)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.kept, r.first_doc) for r in line_dedup.line_verdicts(docs).collect()}
-    assert got == {0: (True, 0), 1: (False, 0), 2: (False, 0), 3: (False, 0), 4: (True, 4), 5: (True, 5), 6: (True, 6)}
+    assert got == {0: (True, 0), 1: (False, 0), 2: (True, 2), 3: (False, 2), 4: (True, 4), 5: (False, 4), 6: (True, 6), 7: (True, 7), 8: (True, 8), 9: (True, 9)}
     for bound in (3, 4):
         got = {(r.doc_id, r.line_no): (r.kept, (r.first_doc, r.first_line)) for r in line_dedup.line_verdicts(docs, bound).collect()}
         assert got == line_dedup.brute_force(rows, bound)
 
 
+def test_line_dedup_in_random_neighbourhoods_and_by_sql(spark):
+    """Few words and many lines, so that texts have several partners of several rounds."""
+    import duckdb
+
+    rnd = random.Random(6)
+    base = [[rnd.choice("abc") for _ in range(8)] for _ in range(6)]
+    rows = []
+    for n in range(220):
+        w = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randint(0, 1)] = [rnd.choice("abc")] * rnd.randint(0, 1)
+        rows.append((n, " ".join(w)))
+    want = line_dedup.brute_force(rows)
+    got = {(r.doc_id, r.line_no): (r.kept, (r.first_doc, r.first_line)) for r in line_dedup.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {(r[0], r[1]): (r[3], (r[4], r[5])) for r in con.execute(line_dedup.ORACLE).fetchall()} == want
+
+
 def test_line_dedup_of_distinct_texts_under_one_id(spark, odd):
     rows = [(0, "a b c d e f g h X"), (1, "a b c d e f g h i"), (1, "quite other words stand in this line here now"), (5, "same words here"), (5, "same words here")]
     got = [(r.doc_id, r.kept, r.first_doc) for r in line_dedup.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
