@@ -260,12 +260,26 @@ def _(t):
 
 
 @query("search_units")
+def _(t):
+    from ..operators.cohesion import search_units
+
+    return search_units(t.documents, "doc_id", "text").select("doc_id", "unit", "block_from", "block_to", "section_path", "tokens", "is_part", F.md5("text").alias("text_md5"))
+
+
+@query("greedy_units")
 def _(t):
     from ..operators.chunking import blocks, units
 
     return units(blocks(t.documents, "doc_id", "text"), "doc_id", 200).select("doc_id", "unit_no", "block_from", "block_to", "tokens")
 
 
+@query("prose_segments")
+def _(t):
+    from ..operators.cohesion import prose_segments
+
+    return prose_segments(t.documents, "doc_id", "text").select("doc_id", "segment", "tokens", F.md5("text").alias("text_md5"))
+
+
 @query("sentence_spans", r"""
 WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])($|[^0-9.!?])', '\1' || chr(10) || '\2', 'g'), chr(10))) AS s FROM documents)
 SELECT d.doc_id, count(trim(s)) FILTER (trim(s, ' ' || chr(9) || chr(13)) <> '') AS n_sentences, coalesce(max(length(trim(s, ' ' || chr(9) || chr(13)))), 0) AS longest FROM documents d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id""")
