@@ -40,7 +40,7 @@ START = SLOTS
 ROUNDS, BATCH, NOISE, RATE = 3, 1024, 96, 0.2
 #: Words whose counts may go to every task.
 FREQUENT = 1 << 19
-AT_ONCE = 4096  # positions whose softmax is taken at once
+AT_ONCE, GROUP = 512, 1 << 16  # contexts whose softmax is taken at once, tokens whose contexts are told apart at once
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 STEP = 1 << 20  # parameters' steps are added up as multiples of 1 / STEP
 
@@ -156,30 +156,37 @@ class Model:
         return sum(self.context[contexts[:, i]] @ self.matrix[i] for i in range(CONTEXT))
 
     def log10(self, contexts: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """log10 of the slots' normalised probabilities, a matrix product for each batch of positions."""
+        """log10 of the slots' normalised probabilities; the normaliser of each distinct context comes from a matrix product."""
         through = [self.context @ m for m in self.matrix]
-        out = np.empty(len(slots))
-        for a in range(0, len(slots), AT_ONCE):
-            c, w = contexts[a : a + AT_ONCE], slots[a : a + AT_ONCE]
-            scores = sum(through[i][c[:, i]] for i in range(CONTEXT)) @ self.target.T
-            scores += self.bias
-            own = scores[np.arange(len(w)), w]
-            most = scores.max(initial=-np.inf)  # of the batch; rows far below it are summed up by their own
-            if most > 50 or most < -50:
-                top = scores.max(axis=1, keepdims=True)
+        code = contexts[:, 0].astype(np.int64)
+        for i in range(1, CONTEXT):
+            code = code * (SLOTS + 1) + contexts[:, i]
+        code, of = np.unique(code, return_inverse=True)
+        hidden = np.ones((len(code), DIMS + 1), np.float32)  # the bias is the target of a coordinate that is always 1
+        rest = code
+        hidden[:, :DIMS] = 0
+        for i in reversed(range(CONTEXT)):
+            rest, slot = np.divmod(rest, SLOTS + 1)
+            hidden[:, :DIMS] += through[i][slot]
+        target = np.concatenate([self.target, self.bias[:, None]], axis=1)
+        norm = np.empty(len(code), np.float32)
+        for a in range(0, len(code), AT_ONCE):
+            scores = hidden[a : a + AT_ONCE] @ target.T
+            top = max(0.0, float(scores.max()) - 60)  # only where it would overflow
+            if top:
                 scores -= top
-                own = own - top[:, 0]
-            np.exp(scores, out=scores)
-            out[a : a + AT_ONCE] = own - np.log(scores.sum(axis=1))
-        return out / math.log(10)
+            norm[a : a + AT_ONCE] = np.log(np.exp(scores, out=scores).sum(axis=1)) + top
+        own = np.einsum("ij,ij->i", hidden[of], target[slots])
+        return (own.astype(float) - norm[of]) / math.log(10)
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Values added up by row."""
     order = np.argsort(rows, kind="stable")
-    own, first = np.unique(rows[order], return_index=True)
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     out = np.zeros((n, values.shape[1]), np.float32)
-    out[own] = np.add.reduceat(values[order], first, axis=0)
+    out[rows[first]] = np.add.reduceat(values[order], first, axis=0)
     return out
 
 
@@ -187,9 +194,16 @@ def contrast(model: Model, past: np.ndarray, contexts: np.ndarray, slots: np.nda
     """One step: real slots against noise that all positions of the batch share.  ``past`` sums up squared gradients."""
     h = model.hidden(contexts)
     target, drawn = model.target[slots], model.target[noise]
-    real = (h * target).sum(axis=1) + model.bias[slots] - log_noise[slots]
-    fake = h @ drawn.T + (model.bias[noise] - log_noise[noise])
-    up, down = 1 / (1 + np.exp(np.minimum(real, 80))), 1 / (1 + np.exp(np.minimum(-fake, 80)))  # how far each is from being told apart
+    up = np.einsum("ij,ij->i", h, target)  # how far each is from being told apart, in place
+    up += model.bias[slots] - log_noise[slots]
+    down = h @ drawn.T
+    down += model.bias[noise] - log_noise[noise]
+    np.negative(down, out=down)
+    with np.errstate(over="ignore"):
+        for x in (up, down):
+            np.exp(x, out=x)
+            x += 1
+            np.reciprocal(x, out=x)
     grad = Model(np.zeros_like(model.flat))
     grad.target[:] = _summed(slots, up[:, None] * h, SLOTS)
     np.subtract.at(grad.target, noise, down.T @ h)
@@ -205,15 +219,41 @@ def contrast(model: Model, past: np.ndarray, contexts: np.ndarray, slots: np.nda
     model.flat += RATE * g / np.sqrt(past + 1e-6)
 
 
-def windows(slots: np.ndarray) -> np.ndarray:
-    """Row i: the slots of the CONTEXT tokens before place i, the nearest first."""
-    padded = np.concatenate([np.full(CONTEXT, START), slots])
-    return np.stack([padded[CONTEXT - 1 - i : len(padded) - 1 - i] for i in range(CONTEXT)], axis=1)
+def slot_rows(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(row, doc_id, held_out, slots): each text as the slots of its tokens, two bytes each."""
 
+    def run(batches):
+        for b in batches:
+            keys, tf = b.column(3), b.column(4)
+            slots, ends = lexicon.slots(keys.flatten().to_numpy()).astype("<u2"), keys.offsets.to_numpy() - keys.offsets[0].as_py()
+            n = np.add.reduceat(tf.flatten().to_numpy(), ends[:-1]).tolist() if b.num_rows else []  # every text has its end
+            wide = ["<u2" if len(p) == 2 * k else "<u4" for p, k in zip(b.column(5).to_pylist(), n, strict=True)]
+            out = [slots[x:y][np.frombuffer(p, w)].tobytes() for x, y, p, w in zip(ends, ends[1:], b.column(5).to_pylist(), wide, strict=False)]
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["row", "doc_id", "held_out", "slots"])
+        give_back()
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return stage(rows.select("row", "doc_id", "held_out", "keys", "tf", "places").mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, slots binary"))
+
+
+class Flat:
+    """The texts of a batch one after the other, CONTEXT start signs before each, so that what stands before a token is found by its place."""
+
+    def __init__(self, texts: list[bytes]):
+        start = np.full(CONTEXT, START, "<u2").tobytes()
+        self.slots = np.frombuffer(b"".join(x for t in texts for x in (start, t)), "<u2")
+        self.n = np.array([len(t) // 2 for t in texts], np.int64)
+        self.first = np.cumsum(self.n + CONTEXT) - self.n  # of each text
+
+    def contexts(self, at: np.ndarray) -> np.ndarray:
+        """Row i: the slots of the CONTEXT tokens before place at[i], the nearest first."""
+        return np.stack([self.slots[at - 1 - i] for i in range(CONTEXT)], axis=1)
 
-def _sequence(lexicon: Lexicon, keys: np.ndarray, tf: np.ndarray, places: bytes) -> np.ndarray:
-    n = int(tf.sum())
-    return lexicon.slots(keys)[np.frombuffer(places, "<u2" if len(places) == 2 * n else "<u4")]
+    def places(self, turn: int | None = None, rows: np.ndarray | None = None) -> np.ndarray:
+        """All tokens' places, or of every text those whose number and row fall on the turn."""
+        within = np.arange(int(self.n.sum())) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        at = within + np.repeat(self.first, self.n)
+        return at if turn is None else at[(within + np.repeat(rows, self.n)) % ROUNDS == turn]
 
 
 def _learn(flat: np.ndarray, lexicon: Lexicon, turn: int):
@@ -226,22 +266,24 @@ def _learn(flat: np.ndarray, lexicon: Lexicon, turn: int):
 
         def steps(c, w):
             for a in range(0, len(w), BATCH):
-                noise = rng.choice(SLOTS, NOISE, p=lexicon.unigram)
+                noise = np.searchsorted(edges, rng.random(NOISE), "right")
                 contrast(model, past, c[a : a + BATCH], w[a : a + BATCH], noise, log_noise)
 
+        edges = np.cumsum(lexicon.unigram)[:-1]
         for b in batches:
-            for row, keys, tf, places in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
-                rng = rng or np.random.default_rng([turn, row])
-                s = _sequence(lexicon, keys.values.to_numpy(), tf.values.to_numpy(), places)
-                own = np.arange((turn - row) % ROUNDS, len(s), ROUNDS)
-                contexts.append(windows(s)[own])
-                slots.append(s[own])
-                size += len(own)
-                if size >= 8 * BATCH:
-                    c, w, whole = np.concatenate(contexts), np.concatenate(slots), size // BATCH * BATCH
-                    order = rng.permutation(size)
-                    steps(c[order[:whole]], w[order[:whole]])
-                    contexts, slots, total, size = [c[order[whole:]]], [w[order[whole:]]], total + whole, size - whole
+            if not b.num_rows:
+                continue
+            rows, texts = b.column(0).to_numpy(), Flat(b.column(1).to_pylist())
+            rng = rng or np.random.default_rng([turn, int(rows[0])])
+            at = texts.places(turn, rows)
+            contexts.append(texts.contexts(at))
+            slots.append(texts.slots[at])
+            size += len(at)
+            if size >= 8 * BATCH:
+                c, w, whole = np.concatenate(contexts), np.concatenate(slots), size // BATCH * BATCH
+                order = rng.permutation(size)
+                steps(c[order[:whole]], w[order[:whole]])
+                contexts, slots, total, size = [c[order[whole:]]], [w[order[whole:]]], total + whole, size - whole
         if size:
             steps(np.concatenate(contexts), np.concatenate(slots))
             total += size
@@ -253,8 +295,9 @@ def _learn(flat: np.ndarray, lexicon: Lexicon, turn: int):
 
 
 def train(rows: DataFrame, lexicon: Lexicon) -> Model:
+    """From (row, held_out, slots)."""
     model = Model.start(lexicon.unigram)
-    learn = rows.where(~F.col("held_out")).select("row", "keys", "tf", "places")
+    learn = rows.where(~F.col("held_out")).select("row", "slots")
     for turn in range(ROUNDS):
         moved = learn.mapInArrow(_learn(model.flat, lexicon, turn), "moved array<bigint>").select(F.posexplode("moved").alias("at", "moved"))
         sums = np.zeros(Model.size() + 1)
@@ -266,33 +309,33 @@ def train(rows: DataFrame, lexicon: Lexicon) -> Model:
 
 
 def slot_scores(rows: DataFrame, model: Model, lexicon: Lexicon) -> DataFrame:
-    """rows, with n_tokens and slot_score: log10 of the slots' probabilities, and for words outside the vocabulary less log10 of the class's sum."""
+    """(row, doc_id, held_out, n_tokens, slot_score): log10 of the slots' probabilities, and for words outside the vocabulary less log10 of the class's sum."""
     flat, share = model.flat, np.concatenate([np.zeros(VOCABULARY), np.log10(lexicon.share)])
 
     def run(batches):
         m = Model(flat)
         for b in batches:
-            docs = [_sequence(lexicon, k.values.to_numpy(), t.values.to_numpy(), p) for k, t, p in zip(b.column(3), b.column(4), b.column(5).to_pylist(), strict=True)]
-            found, n = [], [len(s) for s in docs]
-            for group in _groups(docs):
-                slots = np.concatenate(group)
-                scores = m.log10(np.concatenate([windows(s) for s in group]), slots) - share[slots]
-                found += np.add.reduceat(scores, np.cumsum([0, *map(len, group[:-1])])).tolist()
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(found, pa.float64())], ["row", "doc_id", "held_out", "n_tokens", "slot_score"])
+            found = []
+            texts = b.column(3).to_pylist()
+            for group in _groups(texts):
+                t = Flat(group)
+                at = t.places()
+                slots = t.slots[at]
+                found += np.add.reduceat(m.log10(t.contexts(at), slots) - share[slots], np.cumsum(t.n) - t.n).tolist()
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([len(t) // 2 for t in texts], pa.int64()), pa.array(found, pa.float64())], ["row", "doc_id", "held_out", "n_tokens", "slot_score"])
         give_back()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.select("row", "doc_id", "held_out", "keys", "tf", "places")
-    return out.mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, slot_score double")
+    return rows.select("row", "doc_id", "held_out", "slots").mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, slot_score double")
 
 
-def _groups(docs: list[np.ndarray]):
-    """Runs of texts of about AT_ONCE tokens."""
+def _groups(texts: list[bytes]):
+    """Runs of texts of about GROUP tokens."""
     own, size = [], 0
-    for s in docs:
-        own.append(s)
-        size += len(s)
-        if size >= AT_ONCE:
+    for t in texts:
+        own.append(t)
+        size += len(t) // 2
+        if size >= GROUP:
             yield own
             own, size = [], 0
     if own:
@@ -312,17 +355,19 @@ def count_scores(rows: DataFrame, counts: DataFrame, lexicon: Lexicon) -> DataFr
     return common.unionByName(others).groupBy("row").agg(F.sum("logs").alias("logs"), F.sum("rare_logs").alias("rare_logs"), F.sum("n_known").alias("n_known"))
 
 
-def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, Lexicon, Model]:
+def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Lexicon, Model]:
+    """(bags, counts, slots of each text, lexicon, model)."""
     rows = bags(docs)
     counts = token_counts(rows)
     lexicon = Lexicon(counts)
-    return rows, counts, lexicon, train(rows, lexicon)
+    slots = slot_rows(rows, lexicon)
+    return rows, counts, slots, lexicon, train(slots, lexicon)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """A row a document: held_out, n_tokens, n_known, train_tokens, base_score (counts alone) and score (the model), both log10."""
-    rows, counts, lexicon, model = fit(docs)
-    both = slot_scores(rows, model, lexicon).join(count_scores(rows, counts, lexicon), "row")
+    rows, counts, slots, lexicon, model = fit(docs)
+    both = slot_scores(slots, model, lexicon).join(count_scores(rows, counts, lexicon), "row")
     return both.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(lexicon.n).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * math.log10(lexicon.n + lexicon.v + 1)).alias("base_score"), (F.col("slot_score") + F.col("rare_logs")).alias("score"),

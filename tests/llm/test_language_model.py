@@ -24,7 +24,7 @@ def same(got, want):
 
 
 def test_against_brute_force(scored):
-    rows, got, (_, _, lexicon, model) = scored
+    rows, got, (*_, lexicon, model) = scored
     same(got, lm.brute_force(rows, model, lexicon))
 
 
@@ -34,7 +34,7 @@ def test_held_out_texts_score_above_counts_alone(spark):
 
 
 def test_probabilities_of_all_words_add_up_to_one(scored):
-    rows, _, (_, counts, lexicon, model) = scored
+    rows, _, (_, counts, _, lexicon, model) = scored
     known = [(r.key, r.c) for r in counts.collect()]
     slots = lexicon.slots(np.array([k for k, _ in known], np.int64))
     rng = np.random.default_rng(1)
@@ -73,7 +73,7 @@ def test_steps_follow_the_gradient_of_the_contrastive_loss():
 
 @pytest.mark.parametrize("frequent", [0, 50])
 def test_rare_words_meet_their_counts_by_a_shuffle(spark, monkeypatch, scored, frequent):
-    rows, _, (bags, counts, lexicon, _) = scored
+    rows, _, (bags, counts, _, lexicon, _) = scored
     want = {r["row"]: (r["logs"], r["rare_logs"], r["n_known"]) for r in lm.count_scores(bags, counts, lexicon).collect()}
     monkeypatch.setattr(lm, "FREQUENT", frequent)
     got = {r["row"]: (r["logs"], r["rare_logs"], r["n_known"]) for r in lm.count_scores(bags, counts, lexicon).collect()}
@@ -82,7 +82,7 @@ def test_rare_words_meet_their_counts_by_a_shuffle(spark, monkeypatch, scored, f
 
 def test_edges(spark):
     odd = spark.createDataFrame(ODD, SCHEMA)
-    rows, counts, lexicon, model = lm.fit(odd)
+    *_, lexicon, model = lm.fit(odd)
     same(lm.score(odd).collect(), lm.brute_force([r[:2] for r in ODD], model, lexicon))
     assert lm.score(spark.createDataFrame([], SCHEMA)).count() == 0
     held = next(i for i in range(100) if lm.zlib.crc32(str(i).encode()) % 7 == 2)
