@@ -219,21 +219,42 @@ def contrast(model: Model, past: np.ndarray, contexts: np.ndarray, slots: np.nda
     model.flat += RATE * g / np.sqrt(past + 1e-6)
 
 
-def slot_rows(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(row, doc_id, held_out, slots): each text as the slots of its tokens, two bytes each."""
+def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of the most frequent words, at most FREQUENT, in order of the keys."""
+    rows = counts.where(F.col("c") >= frequent_from(counts, "c", FREQUENT)).select("key", "c").toArrow()
+    keys, c = (rows.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(keys)
+    return keys[order], c[order]
+
+
+_SLOTS = "n_tokens bigint, logs double, rare_logs double, n_known bigint, slots binary, keys array<bigint>, tf array<int>"
+
+
+def slot_rows(rows: DataFrame, lexicon: Lexicon, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Each text as the slots of its tokens, two bytes each; what its frequent words add to its sums; and its other words (keys, tf)."""
+    names, counts = known
 
     def run(batches):
+        log = np.log10(counts + 1.0)
         for b in batches:
-            keys, tf = b.column(3), b.column(4)
-            slots, ends = lexicon.slots(keys.flatten().to_numpy()).astype("<u2"), keys.offsets.to_numpy() - keys.offsets[0].as_py()
-            n = np.add.reduceat(tf.flatten().to_numpy(), ends[:-1]).tolist() if b.num_rows else []  # every text has its end
-            wide = ["<u2" if len(p) == 2 * k else "<u4" for p, k in zip(b.column(5).to_pylist(), n, strict=True)]
-            out = [slots[x:y][np.frombuffer(p, w)].tobytes() for x, y, p, w in zip(ends, ends[1:], b.column(5).to_pylist(), wide, strict=False)]
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["row", "doc_id", "held_out", "slots"])
+            if not b.num_rows:
+                continue
+            keys, tf = b.column(3).flatten().to_numpy(), b.column(4).flatten().to_numpy()
+            ends = b.column(3).offsets.to_numpy() - b.column(3).offsets[0].as_py()
+            total = lambda x, first=ends[:-1]: np.add.reduceat(x, first)  # noqa: E731  every text has its end
+            slots, n = lexicon.slots(keys).astype("<u2"), total(tf.astype(np.int64))
+            at = np.minimum(np.searchsorted(names, keys), max(0, len(names) - 1))
+            here = names[at] == keys if len(names) else np.zeros(len(keys), bool)
+            added = np.where(here, log[at], 0.0) * tf if len(names) else np.zeros(len(keys))
+            out = [slots[x:y][np.frombuffer(p, "<u2" if len(p) == 2 * k else "<u4")].tobytes() for x, y, p, k in zip(ends, ends[1:], b.column(5).to_pylist(), n.tolist(), strict=False)]
+            left = pa.array(np.concatenate([[0], np.cumsum(total((~here).astype(np.int32)))]), pa.int32())
+            rest = [pa.ListArray.from_arrays(left, pa.array(x[~here], kind)) for x, kind in ((keys, pa.int64()), (tf, pa.int32()))]
+            sums = [pa.array(x) for x in (n, total(added), total(added * (slots >= VOCABULARY)), total(tf * here).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *sums, pa.array(out, pa.binary()), *rest], ["row", "doc_id", "held_out", *[c.split(" ")[0] for c in _SLOTS.split(", ")]])
         give_back()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return stage(rows.select("row", "doc_id", "held_out", "keys", "tf", "places").mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, slots binary"))
+    return stage(rows.select("row", "doc_id", "held_out", "keys", "tf", "places").mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, {_SLOTS}"))
 
 
 class Flat:
@@ -309,24 +330,24 @@ def train(rows: DataFrame, lexicon: Lexicon) -> Model:
 
 
 def slot_scores(rows: DataFrame, model: Model, lexicon: Lexicon) -> DataFrame:
-    """(row, doc_id, held_out, n_tokens, slot_score): log10 of the slots' probabilities, and for words outside the vocabulary less log10 of the class's sum."""
+    """rows without their slots and words, with slot_score: log10 of the slots' probabilities, and for words outside the vocabulary less log10 of the class's sum."""
     flat, share = model.flat, np.concatenate([np.zeros(VOCABULARY), np.log10(lexicon.share)])
+    rows = rows.drop("keys", "tf")
+    kept = [c for c in rows.columns if c != "slots"]
 
     def run(batches):
         m = Model(flat)
         for b in batches:
             found = []
-            texts = b.column(3).to_pylist()
-            for group in _groups(texts):
+            for group in _groups(b.column(len(kept)).to_pylist()):
                 t = Flat(group)
                 at = t.places()
                 slots = t.slots[at]
                 found += np.add.reduceat(m.log10(t.contexts(at), slots) - share[slots], np.cumsum(t.n) - t.n).tolist()
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([len(t) // 2 for t in texts], pa.int64()), pa.array(found, pa.float64())], ["row", "doc_id", "held_out", "n_tokens", "slot_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(found, pa.float64())], [*kept, "slot_score"])
         give_back()
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("row", "doc_id", "held_out", "slots").mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, slot_score double")
+    return rows.select(*kept, "slots").mapInArrow(run, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", slot_score double")
 
 
 def _groups(texts: list[bytes]):
@@ -342,35 +363,42 @@ def _groups(texts: list[bytes]):
         yield own
 
 
-def count_scores(rows: DataFrame, counts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(row, logs, rare_logs, n_known): sums of log10(c + 1) over all tokens and over those outside the vocabulary, and tokens with c > 0."""
-    least = frequent_from(counts, "c", FREQUENT)
-    rare = ~F.col("key").isin(lexicon.keys.tolist())
-    log = F.log10(F.coalesce("c", F.lit(0)) + 1)
-    frequent = F.broadcast(counts.where(F.col("c") >= least).select("key", "c", rare.alias("rare")))  # at most FREQUENT rows of three fields
-    each = _each(rows, "row")
-    sums = lambda is_rare: [F.sum(F.col("tf") * log).alias("logs"), F.sum(F.when(is_rare, F.col("tf") * log).otherwise(0.0)).alias("rare_logs"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known")]
-    common = each.join(frequent, "key").groupBy("row").agg(*sums(F.col("rare")))
-    others = each.join(frequent, "key", "left_anti").join(counts.where(F.col("c") < least), "key", "left").groupBy("row").agg(*sums(rare))
-    return common.unionByName(others).groupBy("row").agg(F.sum("logs").alias("logs"), F.sum("rare_logs").alias("rare_logs"), F.sum("n_known").alias("n_known"))
+def rest_sums(rows: DataFrame, counts: DataFrame, known: tuple[np.ndarray, np.ndarray], lexicon: Lexicon) -> DataFrame:
+    """(row, logs, rare_logs, n_known) of the words that are not among the frequent ones: sums of log10(c + 1), and tokens with c > 0.
+
+    None of them is a hot key: each is rarer than all the frequent ones.
+    """
+    least = int(known[1].min()) if len(known[1]) else None
+    rare = counts if least is None else counts.where(F.col("c") < least)
+    log = F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)
+    outside = F.when(~F.col("key").isin(lexicon.keys.tolist()), log).otherwise(0.0)
+    each = _each(rows, "row").join(rare, "key", "left").groupBy("row")
+    return each.agg(F.sum(log).alias("_logs"), F.sum(outside).alias("_rare"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("_known"))
 
 
-def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Lexicon, Model]:
-    """(bags, counts, slots of each text, lexicon, model)."""
+def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, Lexicon, Model]:
+    """(bags, counts, lexicon, model)."""
     rows = bags(docs)
     counts = token_counts(rows)
     lexicon = Lexicon(counts)
-    slots = slot_rows(rows, lexicon)
-    return rows, counts, slots, lexicon, train(slots, lexicon)
+    return rows, counts, lexicon, train(slot_rows(rows, lexicon, frequent(counts)), lexicon)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """A row a document: held_out, n_tokens, n_known, train_tokens, base_score (counts alone) and score (the model), both log10."""
-    rows, counts, slots, lexicon, model = fit(docs)
-    both = slot_scores(slots, model, lexicon).join(count_scores(rows, counts, lexicon), "row")
+    rows = bags(docs)
+    counts = token_counts(rows)
+    lexicon, known = Lexicon(counts), frequent(counts)
+    slots = slot_rows(rows, lexicon, known)
+    return totals(slot_scores(slots, train(slots, lexicon), lexicon), rest_sums(slots, counts, known, lexicon), lexicon)
+
+
+def totals(scored: DataFrame, rest: DataFrame, lexicon: Lexicon) -> DataFrame:
+    both = scored.join(rest, "row", "left")
+    with_rest = lambda c, r: F.col(c) + F.coalesce(r, F.lit(0))
     return both.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(lexicon.n).cast("long").alias("train_tokens"),
-        (F.col("logs") - F.col("n_tokens") * math.log10(lexicon.n + lexicon.v + 1)).alias("base_score"), (F.col("slot_score") + F.col("rare_logs")).alias("score"),
+        "doc_id", "held_out", "n_tokens", with_rest("n_known", "_known").alias("n_known"), F.lit(lexicon.n).cast("long").alias("train_tokens"),
+        (with_rest("logs", "_logs") - F.col("n_tokens") * math.log10(lexicon.n + lexicon.v + 1)).alias("base_score"), (F.col("slot_score") + with_rest("rare_logs", "_rare")).alias("score"),
     )
 
 
