@@ -180,20 +180,24 @@ def sparse_profile(post: DataFrame, group: str, term: str, weight: str, most: in
     return s.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("weight"), term))).where(F.col("rank") <= most)
 
 
-def assign(delta: DataFrame, leaves: DataFrame, id_col: str, vec: str, leaf: str, leaf_vec: str) -> DataFrame:
+def assign(delta: DataFrame, leaves: DataFrame, id_col: str, vec: str, leaf: str, leaf_vec: str, part: str | None = None) -> DataFrame:
     """(id, leaf, similarity, state): nearest leaf (ties: the smallest); direct from 0.78, borderline from 0.58, else outlier.
 
-    Leaves go to every task in blocks of checked size, and a batch of vectors meets a block in one matrix product.
+    Leaves go to every task in blocks of checked size, and a batch of vectors meets a block in one matrix product.  With ``part``, a
+    column of both sides, only leaves of a vector's own partition count; a vector whose partition has none is left out.
     """
     id_type, leaf_type = delta.schema[id_col].dataType.simpleString(), leaves.schema[leaf].dataType
     total = leaves.agg(F.sum(F.size(leaf_vec) * 8 + 64)).first()[0] or 0
     n = int(total // BLOCK_BYTES) + 1
     parts = []
     for i in range(n):
-        rows = sorted(leaves.where(F.pmod(F.xxhash64(leaf), F.lit(n)) == i).select(leaf, leaf_vec).collect(), key=lambda r: r[0])
+        scope = F.col(part).cast("string") if part else F.lit("")
+        rows = sorted(leaves.where(F.pmod(F.xxhash64(leaf), F.lit(n)) == i).select(leaf, leaf_vec, scope).collect(), key=lambda r: r[0])
         if rows:
-            near = _nearest_leaf(unit_rows([r[1] for r in rows]), pa.array([r[0] for r in rows], to_arrow_type(leaf_type)), id_col, leaf)
-            parts.append(delta.select(id_col, vec).mapInArrow(near, f"{id_col} {id_type}, {leaf} {leaf_type.simpleString()}, similarity double"))
+            near = _nearest_leaf(unit_rows([r[1] for r in rows]), pa.array([r[0] for r in rows], to_arrow_type(leaf_type)), np.array([r[2] for r in rows], object), id_col, leaf)
+            parts.append(delta.select(id_col, vec, scope).mapInArrow(near, f"{id_col} {id_type}, {leaf} {leaf_type.simpleString()}, similarity double"))
+    if not parts:
+        return delta.select(id_col, F.lit(None).cast(leaf_type).alias(leaf), F.lit(0.0).alias("similarity"), F.lit("outlier").alias("state")).limit(0)
     found = reduce(DataFrame.unionByName, parts)
     if len(parts) > 1:
         best = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("similarity"), leaf))
@@ -202,12 +206,15 @@ def assign(delta: DataFrame, leaves: DataFrame, id_col: str, vec: str, leaf: str
     return found.withColumn("state", F.when(s >= 0.78, "direct").when(s >= 0.58, "borderline").otherwise("outlier"))
 
 
-def _nearest_leaf(table: np.ndarray, names: pa.Array, id_col: str, leaf: str):
+def _nearest_leaf(table: np.ndarray, names: pa.Array, scopes: np.ndarray, id_col: str, leaf: str):
     def run(batches):
         for b in batches:
             s = np.round(unit_rows(b.column(1).to_pylist(), table.shape[1]) @ table.T, 6)
+            s[np.array(b.column(2).to_pylist(), object)[:, None] != scopes[None, :]] = -np.inf
             at = s.argmax(axis=1) if len(s) else np.empty(0, np.int64)  # the first of equals, and names are in order
-            yield pa.RecordBatch.from_arrays([b.column(0), names.take(pa.array(at)), pa.array(s[np.arange(len(s)), at])], [id_col, leaf, "similarity"])
+            best = s[np.arange(len(s)), at]
+            found = pa.RecordBatch.from_arrays([b.column(0), names.take(pa.array(at)), pa.array(best)], [id_col, leaf, "similarity"])
+            yield found.filter(pa.array(best > -np.inf))
 
     return run
 

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
+from .staging import cut
 
 # Limits of an episode.
 GAP, MOST_TURNS, MIN_COS, MIN_JACCARD = 1800.0, 12, 0.72, 0.18
 RANK = {"CONFIRMED": 3, "PROPOSED": 2, "CONSIDERING": 1}
+# Activation goes two hops over the sentences that fit a query best; the walk over turns and entities.
+HOPS, GATE, GATE_COS, FADE, LEAST_ACT = 2, 3, 0.12, 0.72, 0.08
+GRAPH_TURNS, NEXT_TURN, RESET, DAMPING = 400, 0.15, 0.30, 0.6
 #: Letters, word bounds and case as in Unicode.
 _ANY = "(?iU)"
 
@@ -135,6 +139,56 @@ def session_edges(turns: DataFrame, mentions: DataFrame, thread: str, turn: str,
     return a.unionByName(b)
 
 
+def activate(seeds: DataFrame, mentions: DataFrame, fits: DataFrame, thread: str) -> DataFrame:
+    """(thread, entity, act): what a thread's query calls to mind, spread over the sentences that entities share.
+
+    seeds (thread, entity, act); mentions (thread, sent, entity); fits (thread, sent, fit), how well a sentence fits the query.  An
+    entity passes on through its GATE best sentences only, so an entity that stands in very many of them links no more than the
+    others; a hop is one join and one maximum for all threads at once.
+    """
+    said = mentions.select(thread, "sent", "entity").distinct()
+    seat = F.row_number().over(Window.partitionBy(thread, "entity").orderBy(F.desc("fit"), "sent"))
+    gate = said.join(fits.where(F.col("fit") >= GATE_COS), [thread, "sent"]).withColumn("_s", seat).where(F.col("_s") <= GATE).drop("_s")
+    links = gate.join(said.withColumnRenamed("entity", "_to"), [thread, "sent"]).where("entity <> _to")
+    links = cut(links.groupBy(thread, "entity", "_to").agg(F.max("fit").alias("fit")))
+    best = lambda rows: rows.groupBy(thread, "entity").agg(F.max("act").alias("act"))
+    acts = best(seeds.select(thread, "entity", "act").join(said.select(thread, "entity").distinct(), [thread, "entity"], "left_semi"))
+    for _ in range(HOPS):
+        spread = acts.where(F.col("act") >= LEAST_ACT).join(links, [thread, "entity"]).select(thread, F.col("_to").alias("entity"), (F.col("act") * F.col("fit") * FADE).alias("act"))
+        acts = cut(best(acts.unionByName(spread)))
+    return acts
+
+
+def graph_view(acts: DataFrame, turns: DataFrame, counts: DataFrame, thread: str, turn: str, rounds: int = 30) -> DataFrame:
+    """(thread, turn, score): a random walk over turns and entities that starts from activated entities and well scored turns.
+
+    turns (thread, turn, episode, score); counts (thread, turn, entity, n).  Of a long thread the GRAPH_TURNS turns with active
+    entities and then of the best scores take part.  Turns that follow each other in an episode are tied as well.  All threads walk
+    at once; their graphs share no node.
+    """
+    from .graph import pagerank
+    from .retrieval import min_max
+
+    lively = counts.join(acts.where(F.col("act") >= LEAST_ACT), [thread, "entity"], "left_semi").select(thread, turn, F.lit(1).alias("_a")).distinct()
+    seat = F.row_number().over(Window.partitionBy(thread).orderBy(F.desc_nulls_last("_a"), F.desc("score"), turn))
+    near = cut(turns.join(lively, [thread, turn], "left").withColumn("_s", seat).where(F.col("_s") <= GRAPH_TURNS).drop("_s", "_a"))
+    at = lambda kind, c: F.concat_ws("\x1f", F.lit(kind), F.col(thread).cast("string"), F.col(c).cast("string"))
+    said = counts.join(near.select(thread, turn), [thread, turn], "left_semi")
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(thread, turn))
+    tie = said.select(at("t", turn).alias("src"), at("e", "entity").alias("dst"), share.alias("weight"))
+    w = Window.partitionBy(thread, "episode").orderBy(turn)
+    steps = near.select(thread, turn, F.lag(turn).over(w).alias("_before")).where(F.col(turn) - F.col("_before") == 1)
+    tie = tie.unionByName(steps.select(at("t", "_before").alias("src"), at("t", turn).alias("dst"), F.lit(NEXT_TURN).alias("weight")))
+    tie = cut(tie)
+    active = acts.join(said.select(thread, "entity").distinct(), [thread, "entity"], "left_semi")
+    start = active.select(at("e", "entity").alias("id"), F.col("act").alias("weight")).unionByName(near.select(at("t", turn).alias("id"), (RESET * F.greatest(F.lit(0.0), "score")).alias("weight")))
+    walked = pagerank(tie.unionByName(tie.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), start.where("weight > 0"), DAMPING, rounds)
+    out = turns.select(thread, turn, at("t", turn).alias("id")).join(walked, "id", "left").select(thread, turn, F.coalesce("r", F.lit(0.0)).alias("_r"))
+    # a thread's share of all resets scales its ranks; what counts is how its turns compare
+    top = F.max("_r").over(Window.partitionBy(thread))
+    return min_max(out.withColumn("_r", F.when(top > 0, F.col("_r") / top).otherwise(0.0)), thread, "_r", "score").select(thread, turn, "score")
+
+
 def select_context(candidates: DataFrame, thread: str, budget: int, redundancy: float = 0.86) -> DataFrame:
     """Lazy greedy choice of turns under a token budget: (thread, turn, score, tokens, terms) -> (thread, turn, place).
 
@@ -165,6 +219,49 @@ def select_context(candidates: DataFrame, thread: str, budget: int, redundancy:
     return candidates.groupBy(thread).applyInPandas(run, f"{thread} {types[thread]}, turn {types['turn']}, place int")
 
 
+# What a turn's state is worth as its episode's representative, and the tokens that a group costs besides its turns.
+TRUST = {"CONFIRMED": 1.00, "OPEN_ISSUE": 0.92, "FACT": 0.88, "PROPOSED": 0.62, "CONSIDERING": 0.58, "NEGATED": 0.35, "SUPERSEDED": 0.15}
+OTHER_TRUST, SCORE_WEIGHT, GROUP_TOKENS = 0.5, 0.4, 28
+
+
+def audit_pack(turns: DataFrame, thread: str, budget: int, recent: int = 0) -> DataFrame:
+    """(thread, turn, reason, with_turn, cost, taken): what an audit of a whole session should show, under a token budget.
+
+    turns (thread, turn, episode, status, active, score, tokens, anaphoric).  Obligatory first: every active decision and open issue,
+    in order; then of each episode that has none the most trusted turn.  A turn that needs the one before it brings it along if both
+    are of one episode.  Groups that don't fit are passed over (taken false); turns that a group has brought along, and the
+    ``recent`` last ones, which are shown anyway, are no groups of their own.
+
+    Candidates come from windows; a thread's fold holds them alone, at most one a decision and one an episode.
+    """
+    w = Window.partitionBy(thread).orderBy("turn")
+    state = F.create_map(*[F.lit(x) for pair in TRUST.items() for x in pair])
+    t = turns.withColumns({"_b": F.lag("turn").over(w), "_be": F.lag("episode").over(w), "_bt": F.lag("tokens").over(w), "_last": F.row_number().over(Window.partitionBy(thread).orderBy(F.desc("turn"))) <= recent})
+    brings = F.col("anaphoric") & (F.col("turn") - F.col("_b") == 1) & F.col("_be").eqNullSafe(F.col("episode"))
+    t = t.withColumns({"with_turn": F.when(brings, F.col("_b")), "cost": (F.col("tokens") + F.when(brings, F.col("_bt")).otherwise(0) + GROUP_TOKENS).cast("long")}).where(~F.col("_last"))
+    duty = F.col("active") & F.col("status").isin("CONFIRMED", "OPEN_ISSUE")
+    t = t.withColumn("_duty", duty).withColumn("_has", F.max(F.col("_duty").cast("int")).over(Window.partitionBy(thread, "episode")))
+    worth = F.coalesce(F.try_element_at(state, F.col("status")), F.lit(OTHER_TRUST)) + SCORE_WEIGHT * F.col("score")
+    best = F.row_number().over(Window.partitionBy(thread, "episode").orderBy(F.desc(F.round(worth, 9)), "turn"))
+    stands = t.where("_has = 0").withColumn("_n", best).where("_n = 1").drop("_n").withColumn("reason", F.lit("episode"))
+    groups = t.where("_duty").withColumn("reason", F.lit("decision")).unionByName(stands)
+    row = F.struct((F.col("reason") == "episode").alias("later"), "turn", "with_turn", "cost", "reason")
+    each = groups.groupBy(thread).agg(F.array_sort(F.collect_list(row)).alias("g"))
+    long_ = lambda e: F.expr(f"CAST(array() AS array<{e}>)")
+    kind = turns.schema["turn"].dataType.simpleString()
+    start = F.struct(F.lit(0).cast("long").alias("used"), long_(kind).alias("shown"), long_("boolean").alias("taken"))
+
+    def step(a: Column, g: Column) -> Column:
+        known, fits = F.array_contains(a["shown"], g["turn"]), a["used"] + g["cost"] <= budget
+        new = F.filter(F.array(g["turn"], g["with_turn"]), lambda x: x.isNotNull())
+        put = lambda used, shown, taken: F.struct(used.alias("used"), shown.alias("shown"), F.concat(a["taken"], F.array(taken)).alias("taken"))
+        none = F.lit(None).cast("boolean")
+        return F.when(known, put(a["used"], a["shown"], none)).when(fits, put(a["used"] + g["cost"], F.concat(a["shown"], new), F.lit(True))).otherwise(put(a["used"], a["shown"], F.lit(False)))
+
+    folded = each.select(thread, F.explode(F.arrays_zip("g", F.aggregate("g", start, step)["taken"].alias("taken"))).alias("z"))
+    return folded.where("z.taken is not null").select(thread, "z.g.turn", "z.g.reason", "z.g.with_turn", "z.g.cost", "z.taken")
+
+
 def view_weights(mode: str, level: int) -> dict[str, float]:
     """Weights of the hybrid, graph, hierarchy and decision views by temporal mode, for the views a level has."""
     # Fixed values.

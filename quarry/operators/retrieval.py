@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
@@ -292,26 +293,39 @@ def fuse(semantic_rank: Column, lexical: Column, semantic: Column, top_semantic:
 # ---- selection --------------------------------------------------------------------------------
 
 
-def shingles(text: Column) -> Column:
-    """Distinct 6-character runs of the lexical form (3 when short); long texts are sampled at four places of 1024."""
-    bind = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  works x out once, not for each run
+def _runs(s: str | None) -> np.ndarray:
+    """Distinct 64-bit hashes of the runs of 6 characters (3 in a text of fewer than 6; the whole of a text of fewer than 3)."""
+    if s and len(s) > 4096:
+        last = len(s) - 1024
+        s = "\n".join(s[at : at + 1024] for at in (0, last // 3, last * 2 // 3, last))
+    if not s:
+        return np.empty(0, np.int64)
+    x = np.frombuffer(s.encode("utf-32-le"), "<u4").astype(np.uint64)
+    k = min(len(x), 6 if len(x) >= 6 else 3)
+    h = np.full(len(x) - k + 1, k, np.uint64)
+    for j in range(k):
+        h = (h ^ x[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
+
 
-    def sample(n: Column) -> Column:
-        last = F.length(n) - 1024
-        cut = lambda at: n.substr((at + 1).cast("int"), F.lit(1024))
-        return F.when(F.length(n) > 4096, F.concat_ws("\n", cut(F.lit(0)), cut(F.floor(last / 3)), cut(F.floor(last * 2 / 3)), cut(last))).otherwise(n)
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _run_hashes(s: pd.Series) -> pd.Series:
+    return s.map(_runs)
 
-    def runs(s: Column) -> Column:
-        k = F.when(F.length(s) >= 6, 6).otherwise(3)
-        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1))), lambda i: s.substr(i, k))
-        return F.when(F.length(s) == 0, F.array().cast("array<string>")).when(F.length(s) < 3, F.array(s)).otherwise(F.array_distinct(each))
 
-    return bind(bind(X.lexical(text), sample), runs)
+def shingles(text: Column) -> Column:
+    """Hashes of the distinct 6-character runs of the lexical form (3 when short); long texts are sampled at four places of 1024.
+
+    The runs of a text are hashed at once, by the code points of the whole text; cutting them out one by one would walk it anew for each.
+    """
+    return _run_hashes(X.lexical(text))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    share = lambda both: both / (F.size(a) + F.size(b) - both)
+    once = F.get(F.transform(F.array(F.size(F.array_intersect(a, b))), share), F.lit(0))  # the intersection is worked out once
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(once)
 
 
 def mmr(candidates: DataFrame, query: str, limit: int, diversity: float = 0.3, duplicate: float = 0.98, per_doc: int | None = None, penalty: float = 0.05) -> DataFrame:

@@ -86,6 +86,16 @@ def _(t):
     return G.balanced_children(G.label_propagation(e, 4), 64)
 
 
+@query("routing_tree")
+def _(t):
+    """Nodes of a tree over the documents of each language, from their knowledge edges."""
+    from ..operators import tree as T
+
+    units = t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("part"))
+    nodes, _ = T.build(units, _edges(t).select("a", "b", "weight"))
+    return nodes.select("node", "parent", "part", "height", "units")
+
+
 @query("edge_metrics", """
 WITH g AS (SELECT c_custkey AS id, c_nationkey AS grp FROM customer), e AS (SELECT o_custkey AS a, (o_orderkey % 1500) AS b, o_totalprice AS w FROM orders)
 SELECT round(sum(CASE WHEN x.grp IS NOT DISTINCT FROM y.grp THEN w ELSE 0 END) / sum(w), 6) AS cohesion, round(1 - sum(CASE WHEN x.grp IS NOT DISTINCT FROM y.grp THEN w ELSE 0 END) / sum(w), 6) AS edge_cut FROM e LEFT JOIN g x ON a = x.id LEFT JOIN g y ON b = y.id""")

@@ -121,6 +121,80 @@ def _(t):
     return s.select("conv_id", "turn", F.round(0.25 * F.avg("s").over(Window.partitionBy("conv_id", "ep")) + 0.30 * win + 0.45 * F.col("s"), 5).alias("score"))
 
 
+_NAME = "[A-Z][a-z]{5,}"
+_ACTS = rf"""
+s AS MATERIALIZED (SELECT conv_id, turn, turn * 1000 + i AS sent, s FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '[.!?\n]')) AS s, unnest(range(len(string_split_regex(text, '[.!?\n]')))) AS i FROM conversations)),
+said AS MATERIALIZED (SELECT DISTINCT conv_id, sent, unnest(regexp_extract_all(s, '{_NAME}')) AS entity FROM s),
+qw AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS q FROM conversations WHERE turn = 0),
+fits AS MATERIALIZED (SELECT conv_id, sent, CASE WHEN len(q) * len(w) = 0 THEN 0 ELSE round(len(list_intersect(q, w)) / sqrt(len(q) * len(w)), 9) END AS fit FROM (SELECT conv_id, sent, list_distinct(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}_]+')) AS w FROM s) JOIN qw USING (conv_id)),
+gate AS (SELECT * FROM said JOIN fits USING (conv_id, sent) WHERE fit >= 0.12 QUALIFY row_number() OVER (PARTITION BY conv_id, entity ORDER BY fit DESC, sent) <= 3),
+links AS MATERIALIZED (SELECT g.conv_id, g.entity, m.entity AS other, max(fit) AS fit FROM gate g JOIN said m USING (conv_id, sent) WHERE g.entity <> m.entity GROUP BY 1, 2, 3),
+a0 AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(text, '{_NAME}')) AS entity, 1.0::DOUBLE AS act FROM conversations WHERE turn = 0),""" + ",".join(
+    f"""
+a{n} AS MATERIALIZED (SELECT conv_id, entity, max(act) AS act FROM (SELECT * FROM a{n - 1} UNION ALL SELECT conv_id, other, act * fit * 0.72 FROM a{n - 1} JOIN links USING (conv_id, entity) WHERE act >= 0.08) GROUP BY 1, 2)"""
+    for n in (1, 2)
+)
+
+
+def _activation(t):
+    """Each conversation's first turn asks; entities are capitalised words; a sentence fits by the words that it shares with the question."""
+    c = t.conversations.select("conv_id", "turn", "text")
+    s = c.select("conv_id", "turn", F.posexplode(F.split("text", r"[.!?\n]")).alias("i", "s")).withColumn("sent", F.col("turn") * 1000 + F.col("i"))
+    words = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    names = lambda x: F.regexp_extract_all(x, F.lit(_NAME), F.lit(0))
+    asked = c.where("turn = 0")
+    q = asked.select("conv_id", words("text").alias("q"))
+    both = s.select("conv_id", "sent", words("s").alias("w")).join(q, "conv_id")
+    many = F.size("q") * F.size("w")
+    fits = both.select("conv_id", "sent", F.when(many == 0, 0.0).otherwise(F.round(F.size(F.array_intersect("q", "w")) / F.sqrt(many), 9)).alias("fit"))
+    seeds = asked.select("conv_id", F.explode(names("text")).alias("entity"), F.lit(1.0).alias("act"))
+    mentions = s.select("conv_id", "turn", "sent", F.explode(names("s")).alias("entity"))
+    return M.activate(seeds, mentions, fits, "conv_id"), mentions
+
+
+@query("entity_activation", f"WITH {_ACTS} SELECT conv_id, entity, round(act, 6) AS act FROM a2")
+def _(t):
+    return _activation(t)[0].select("conv_id", "entity", F.round("act", 6).alias("act"))
+
+
+_WALK = 20
+_GRAPH = f"""
+WITH {_ACTS}, h AS (SELECT conv_id, turn, turn // 4 AS ep, 1.0 / (1 + turn) AS score FROM conversations),
+cnt AS (SELECT conv_id, turn, entity, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(s, '{_NAME}')) AS entity FROM s) GROUP BY 1, 2, 3),
+tie AS (SELECT conv_id, 't' || turn AS src, 'e' || entity AS dst, n / sum(n) OVER (PARTITION BY conv_id, turn) AS w FROM cnt
+  UNION ALL SELECT conv_id, 't' || b, 't' || turn, 0.15 FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id, ep ORDER BY turn) AS b FROM h) WHERE turn - b = 1),
+bth AS (SELECT * FROM tie UNION ALL SELECT conv_id, dst, src, w FROM tie), o AS (SELECT conv_id, src, sum(w) AS total FROM bth GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT conv_id, src, dst, w / total AS p FROM bth JOIN o USING (conv_id, src)),
+z0 AS (SELECT conv_id, 'e' || entity AS id, act AS w FROM a2 WHERE (conv_id, entity) IN (SELECT (conv_id, entity) FROM cnt) UNION ALL SELECT conv_id, 't' || turn, 0.30 * score FROM h),
+z AS MATERIALIZED (SELECT conv_id, id, sum(w) / (SELECT sum(w) FROM z0) AS s FROM z0 GROUP BY 1, 2), r0 AS (SELECT conv_id, id, s AS r FROM z)""" + "".join(
+    f""",
+f{n} AS (SELECT m.conv_id, dst AS id, 0.6 * sum(r * p) AS f FROM r{n - 1} r JOIN m ON r.conv_id = m.conv_id AND id = src GROUP BY 1, 2),
+r{n} AS MATERIALIZED (SELECT coalesce(f.conv_id, z.conv_id) AS conv_id, coalesce(f.id, z.id) AS id, coalesce(f, 0) + 0.4 * coalesce(s, 0) AS r FROM f{n} f FULL JOIN z ON f.conv_id = z.conv_id AND f.id = z.id)"""
+    for n in range(1, _WALK + 1)
+) + f""",
+x AS (SELECT h.conv_id, turn, coalesce(r, 0) AS r FROM h LEFT JOIN r{_WALK} r ON r.conv_id = h.conv_id AND r.id = 't' || turn), y AS (SELECT *, max(r) OVER w AS hi, min(r) OVER w AS lo FROM x WINDOW w AS (PARTITION BY conv_id))
+SELECT conv_id, turn, round(CASE WHEN hi <= 0 THEN 0 WHEN (hi - lo) / hi > 1e-12 THEN (r - lo) / (hi - lo) ELSE 1 END, 5) AS score FROM y"""
+
+
+@query("graph_view", _GRAPH)
+def _(t):
+    acts, mentions = _activation(t)
+    turns = t.conversations.select("conv_id", "turn", F.floor(F.col("turn") / 4).alias("episode"), (1 / (1 + F.col("turn"))).alias("score"))
+    counts = mentions.groupBy("conv_id", "turn", "entity").agg(F.count("*").alias("n"))
+    return M.graph_view(acts, turns, counts, "conv_id", "turn", _WALK).withColumn("score", F.round("score", 5))
+
+
+@query("message_episodes", """
+WITH d AS (SELECT conv_id AS thread, turn AS message_id, min(turn * 600 + (turn // 4) * 2400) AS seconds FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT *, seconds - lag(seconds) OVER w > 1800 AS far FROM d WINDOW w AS (PARTITION BY thread ORDER BY seconds, message_id)), r AS (SELECT *, sum(coalesce(far, true)::INT) OVER (PARTITION BY thread ORDER BY seconds, message_id) AS run FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY thread, run ORDER BY seconds, message_id) - 1 AS place FROM r)
+SELECT thread, message_id, (dense_rank() OVER (PARTITION BY thread ORDER BY run, place // 12) - 1)::INT AS episode, (place % 12 + 1)::INT AS n_turns FROM k""")
+def _(t):
+    from ..streaming.sessions import index_messages
+
+    return index_messages(_turns(t).select(F.col("conv_id").alias("thread"), F.col("turn").alias("message_id"), F.timestamp_seconds("sec").alias("at")))
+
+
 @query("session_edges", r"""
 WITH m AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Z][a-z]{9,}')) AS e FROM conversations)
 SELECT conv_id, 'MENTION' AS kind, turn::VARCHAR AS src, e AS dst, count(*)::DOUBLE AS weight FROM m GROUP BY ALL
@@ -137,6 +211,15 @@ def _(t):
     return M.select_context(c, "conv_id", 620)
 
 
+@query("session_audit")
+def _(t):
+    """Every conversation under 400 tokens; the state of a turn is what it says, and of decisions on one slot the last is active."""
+    c = t.conversations.select("conv_id", "turn", "text", M.epistemic_state(F.col("text")).alias("status"), M.topic_slot(F.col("text")).alias("slot"), M.is_anaphoric(F.col("text")).alias("anaphoric"))
+    later = F.lead("turn").over(Window.partitionBy("conv_id", "slot").orderBy("turn"))
+    c = c.withColumns({"active": F.col("slot").isNull() | later.isNull(), "episode": F.floor(F.col("turn") / 4), "tokens": X.token_estimate(F.col("text")), "score": 1 / (1 + F.col("turn"))})
+    return M.audit_pack(c, "conv_id", 400)
+
+
 @query("view_weights", "SELECT * FROM (VALUES ('hybrid', 0.35), ('graph', 0.20), ('hierarchy', 0.15), ('decision', 0.30)) t(view_name, weight)")
 def _(t):
     return t.spark.createDataFrame([(k, round(v, 6)) for k, v in M.view_weights("current", 4).items()], "view_name string, weight double")

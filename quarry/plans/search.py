@@ -12,7 +12,9 @@ from ..operators import graph as G
 from ..operators import relational as R
 from ..operators import retrieval as V
 from ..operators import search as S
-from .text import _BM25, _SP, _TOK, bm25_topk
+from ..operators import tree as T
+from ..operators.staging import cut
+from .text import _SP, _TOK
 
 _T, _H = ("contains(s, ' of ')", "contains(s, ' the ')"), ("contains(h, ' of ')", "contains(h, ' the ')")
 _NEAR = "CASE WHEN contains({0}, ' of the ') OR contains({0}, ' the of ') THEN 1.0 WHEN instr({0}, ' of ') > 0 AND instr({0}, ' the ') > 0 AND abs(instr({0}, ' of ') - instr({0}, ' the ')) <= 56 THEN 0.65 ELSE 0.0 END"
@@ -53,42 +55,84 @@ def _(t):
     return S.expand(seeds, _hops(t), versions, 20).withColumn("score", F.round("score", 6))
 
 
-_SCORES = f"""
+def _scored(asked: str) -> str:
+    return f"""
 p AS (SELECT lang, lang || '/' || source AS leaf, unnest({_TOK}) AS term FROM documents),
-c AS (SELECT node, parent, term, count(*)::DOUBLE AS weight FROM (SELECT lang AS node, NULL AS parent, term FROM p UNION ALL SELECT leaf, lang, term FROM p) GROUP BY 1, 2, 3),
-f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, term) <= 64), m AS (SELECT node, sum(weight) AS m FROM f GROUP BY 1),
-q AS (SELECT DISTINCT item_id, unnest({_TOK}) AS term FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1),
-s AS (SELECT item_id, node, parent, round(0.65 * count(*) / n + 0.35 * sum(weight) / m, 6) AS score FROM q JOIN f USING (term) JOIN m USING (node) JOIN n USING (item_id) GROUP BY item_id, node, parent, n, m),
+f AS (SELECT node, parent, term, count(*)::DOUBLE AS weight FROM (SELECT lang AS node, NULL AS parent, term FROM p UNION ALL SELECT leaf, lang, term FROM p) GROUP BY 1, 2, 3),
+l AS (SELECT count(DISTINCT lang || '/' || source) AS n FROM documents), d AS (SELECT term, count(*) AS df FROM f WHERE parent IS NOT NULL GROUP BY 1),
+q AS ({asked}), a AS (SELECT item_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM q JOIN d USING (term), l), n AS (SELECT item_id, sum(idf) AS n FROM a GROUP BY 1),
+c AS (SELECT item_id, node, parent, sum(idf) AS c, sum(idf * weight) AS w FROM a JOIN f USING (term) GROUP BY 1, 2, 3),
+s AS (SELECT item_id, node, parent, round(0.65 * c / n + 0.35 * w / sum(w) OVER (PARTITION BY item_id, parent), 6) AS score FROM c JOIN n USING (item_id)),
 h AS (SELECT *, score / sum(score) OVER w AS p, count(*) OVER w AS k, row_number() OVER (PARTITION BY item_id, parent ORDER BY score DESC, node) AS r FROM s WINDOW w AS (PARTITION BY item_id, parent)),
 g AS (SELECT *, max(CASE WHEN r = 1 THEN p END) OVER w - coalesce(max(CASE WHEN r = 2 THEN p END) OVER w, 0) AS lead, CASE WHEN k > 1 THEN -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) OVER w / ln(k) ELSE 0 END AS spread FROM h WINDOW w AS (PARTITION BY item_id, parent)),
 t AS (SELECT *, k = 1 OR (round(lead, 9) >= 0.18 AND round(spread, 9) < 0.72) AS sure FROM g), x AS (SELECT * FROM t WHERE r = 1 OR (NOT sure AND r <= 3)),
 route AS (SELECT a.item_id, coalesce(b.node, a.node) AS leaf, NOT a.sure OR NOT coalesce(b.sure, true) AS broad FROM x a LEFT JOIN x b ON b.item_id = a.item_id AND b.parent = a.node WHERE a.parent IS NULL)"""
 
 
-def _routes(t):
-    """A tree of two levels, languages over their sources; every benchmark item is routed by its terms."""
+def _given_tree(t):
+    """(nodes, members): languages over their sources."""
     d = t.documents.select("doc_id", "lang", F.concat_ws("/", "lang", "source").alias("leaf"))
-    p = V.postings(t.documents, "doc_id", "text").join(d, "doc_id").withColumn("tf", F.col("tf").cast("double"))
-    parents = d.select(F.col("leaf").alias("node"), F.col("lang").alias("parent")).distinct()
-    prof = G.sparse_profile(p, "lang", "term", "tf").withColumnRenamed("lang", "node").unionByName(G.sparse_profile(p, "leaf", "term", "tf").withColumnRenamed("leaf", "node")).drop("rank")
-    q = t.benchmark.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("term"))
-    scores = G.query_node_scores(q, prof, "item_id", "node").join(parents, "node", "left")
-    return S.route(scores, "item_id", 2)
+    leaves = d.groupBy(F.col("leaf").alias("node"), F.col("lang").alias("parent")).agg(F.count("*").alias("units"))
+    tops = d.groupBy(F.col("lang").alias("node")).agg(F.count("*").alias("units")).withColumn("parent", F.lit(None).cast("string"))
+    nodes = leaves.withColumn("height", F.lit(0)).unionByName(tops.withColumn("height", F.lit(1)))
+    return nodes.withColumn("part", F.lit(0)), d.select(F.col("doc_id").alias("id"), "leaf")
 
 
-@query("route_descend", f"WITH {_SCORES} SELECT item_id, leaf, broad FROM route")
+def _asked(t):
+    return t.benchmark.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("term"))
+
+
+def _routes(t, asked):
+    """Queries (item_id, term) are routed down a tree of two levels; profiles are complete."""
+    nodes, members = _given_tree(t)
+    terms = V.postings(t.documents, "doc_id", "text").select(F.col("doc_id").alias("id"), "term", F.col("tf").cast("double").alias("weight"))
+    scores = T.signals(asked, T.profiles(terms, members, nodes), nodes, "item_id")
+    return S.route(scores.withColumn("score", F.round("score", 6)), "item_id", 2)
+
+
+_ITEMS = f"SELECT DISTINCT item_id, unnest({_TOK}) AS term FROM benchmark"
+
+
+@query("route_descend", f"WITH {_scored(_ITEMS)} SELECT item_id, leaf, broad FROM route")
 def _(t):
-    return _routes(t)
+    return _routes(t, _asked(t))
+
+
+_KNOWN = f"SELECT DISTINCT doc_id AS item_id, unnest(w[len(w) // 2 + 1:len(w) // 2 + 12]) AS term FROM (SELECT doc_id, {_TOK} AS w FROM documents WHERE doc_id % 20 = 0)"
 
 
 @query("routing_recall", f"""
-WITH {_SCORES}, top AS ({_BM25}), want AS (SELECT item_id, lang || '/' || source AS leaf FROM top JOIN documents USING (doc_id) WHERE rank <= 3)
-SELECT count(*) AS cases, round(avg(hit::INT), 6) AS recall FROM (SELECT want.item_id, want.leaf, bool_or(route.leaf IS NOT NULL) AS hit FROM (SELECT DISTINCT * FROM want) want LEFT JOIN route ON route.item_id = want.item_id AND route.leaf = want.leaf GROUP BY 1, 2)""")
+WITH {_scored(_KNOWN)}, want AS (SELECT doc_id AS item_id, lang || '/' || source AS leaf FROM documents WHERE doc_id % 20 = 0),
+u AS (SELECT lang || '/' || source AS leaf, count(*) AS units FROM documents GROUP BY 1), e AS (SELECT item_id, sum(units) AS units FROM (SELECT DISTINCT item_id, leaf FROM route) JOIN u USING (leaf) GROUP BY 1)
+SELECT count(*) AS cases, round(avg((EXISTS (SELECT 1 FROM route WHERE route.item_id = want.item_id AND route.leaf = want.leaf))::INT), 6) AS recall, round(avg(coalesce(units, 0)) / (SELECT count(*) FROM documents), 6) AS share_read FROM want LEFT JOIN e USING (item_id)""")
+def _(t):
+    """Known items: twelve words from the middle of every document whose id is divisible by 20 ask for it.
+
+    recall: how often the route leads to its source; share_read: what share of all documents the routes leave to read.
+    """
+    nodes, _ = _given_tree(t)
+    known = t.documents.where("doc_id % 20 = 0")
+    words = known.select(F.col("doc_id").alias("item_id"), F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("w"))
+    asked = words.select("item_id", F.explode(F.array_distinct(F.slice("w", F.floor(F.size("w") / 2).cast("int") + 1, F.lit(12)))).alias("term"))
+    want = known.select(F.col("doc_id").alias("item_id"), F.concat_ws("/", "lang", "source").alias("leaf"))
+    routes = cut(_routes(t, asked).select("item_id", "leaf").distinct())
+    hit = want.join(routes.withColumn("hit", F.lit(1)), ["item_id", "leaf"], "left").select("item_id", "hit")
+    read = routes.join(nodes.select(F.col("node").alias("leaf"), "units"), "leaf").groupBy("item_id").agg(F.sum("units").alias("units"))
+    n = t.documents.count()
+    return hit.join(read, "item_id", "left").agg(F.count("*").alias("cases"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"), F.round(F.avg(F.coalesce("units", F.lit(0))) / n, 6).alias("share_read"))
+
+
+@query("tree_quality", """
+WITH n AS (SELECT lang || '/' || source AS node, lang AS parent, count(*) AS units FROM documents GROUP BY 1, 2), k AS (SELECT node, parent, units, sum(units) OVER (PARTITION BY parent) AS up, count(*) OVER (PARTITION BY parent) AS kids FROM n),
+g AS (SELECT doc_id AS id, lang || '/' || source AS grp FROM documents), e AS (SELECT doc_id AS a, doc_id + 1 + doc_id % 3 AS b, 1 + doc_id % 5 AS w FROM documents)
+SELECT (SELECT round(sum(CASE WHEN x.grp IS NOT DISTINCT FROM y.grp THEN w ELSE 0 END) / sum(w), 6) FROM e LEFT JOIN g x ON a = x.id LEFT JOIN g y ON b = y.id) AS cohesion,
+(SELECT round(1 - sum(CASE WHEN x.grp IS NOT DISTINCT FROM y.grp THEN w ELSE 0 END) / sum(w), 6) FROM e LEFT JOIN g x ON a = x.id LEFT JOIN g y ON b = y.id) AS edge_cut,
+round(max(CASE WHEN kids > 1 THEN units / up END), 6) AS giant_ratio, round(ln(sum(units)) - sum(units * ln(units)) / sum(units), 6) AS child_size_entropy,
+(SELECT max(c) FROM (SELECT count(*) AS c FROM n GROUP BY parent)) AS most_children, count(*) AS leaves, max(units) AS largest_leaf FROM k""")
 def _(t):
-    """Share of the sources of each item's three best hits that its route leads to."""
-    want = bm25_topk(t).where("rank <= 3").join(t.documents, "doc_id").select("item_id", F.concat_ws("/", "lang", "source").alias("leaf")).distinct()
-    hit = want.join(_routes(t).select("item_id", "leaf", F.lit(1).alias("hit")), ["item_id", "leaf"], "left")
-    return hit.agg(F.count("*").alias("cases"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+    nodes, members = _given_tree(t)
+    edges = t.documents.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1 + F.col("doc_id") % 3).alias("b"), (1 + F.col("doc_id") % 5).alias("weight"))
+    return T.metrics(nodes, members, edges)
 
 
 @query("decision_view", """

@@ -25,24 +25,23 @@ def _pointers(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
 
-def _point(spark: SparkSession, root: str, slot: str, rows: int) -> None:
-    """Add a pointer under the next number; the largest number counts.
+def _point(spark: SparkSession, root: str, slot: str, rows: int, seen: list[int]) -> None:
+    """Add a pointer under the number after those ``seen`` before the version was written; the largest number counts.
 
-    Nothing is replaced: the new file appears whole, by a rename to a name that wasn't there, so a reader finds the old pointer or
-    the new one on any store, and two publishers at once can't both have a number.
+    The file is created without overwriting, which a store does for one of two writers only.  Until its text is there, and for good if
+    its writer dies, readers pass over it and take the pointer before.
     """
-    old = _pointers(spark, root)
-    n = old[-1] + 1 if old else 1
-    fs, new = _fs(spark, f"{root}/pointers/_{n:012d}-{uuid.uuid4().hex}")
-    _, at = _fs(spark, f"{root}/pointers/{n:012d}.json")
-    out = fs.create(new, True)
-    out.write(bytearray(json.dumps({"slot": slot, "rows": rows}).encode()))
-    out.close()
-    if fs.exists(at) or not fs.rename(new, at):
-        fs.delete(new, False)
+    n = seen[-1] + 1 if seen else 1
+    fs, at = _fs(spark, f"{root}/pointers/{n:012d}.json")
+    if _pointers(spark, root) != seen:
         raise RuntimeError(f"version {n} of {root} was published by another writer")
-    for past in old[:-KEEP]:
-        fs.delete(_fs(spark, f"{root}/pointers/{past:012d}.json")[1], False)
+    text = bytearray(json.dumps({"slot": slot, "rows": rows}).encode())
+    try:
+        out = fs.create(at, False)
+    except Exception as e:
+        raise RuntimeError(f"version {n} of {root} was published by another writer") from e
+    out.write(text)
+    out.close()
 
 
 def insert_once(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,38 +64,71 @@ def register_upload(uploads: DataFrame, versions: DataFrame, key: str, digest: s
 
 
 def publish(df: DataFrame, root: str, expected_rows: int | None = None) -> str:
-    """Write the slot that isn't live, count it, then move the pointer; readers see the old version or the new one."""
+    """Write a version into a folder of its own, count it, then point at it; readers see the old version or the new one.
+
+    No folder is ever written twice, so neither a second publisher nor a reader of an old version meets foreign files: of two
+    publishers at once, one gets the number, and the other's folder is removed and its call fails.
+    """
     spark = df.sparkSession
-    live = current_slot(spark, root)
-    slot = "b" if live == "a" else "a"
-    df.write.mode("overwrite").parquet(f"{root}/{slot}")
-    n = spark.read.parquet(f"{root}/{slot}").count()
-    if expected_rows is not None and n != expected_rows:
-        raise ValueError(f"slot {slot} has {n} rows, {expected_rows} were expected; the pointer stays")
-    _point(spark, root, slot, n)
-    return slot
+    version = f"v-{uuid.uuid4().hex}"
+    folder = f"{root}/{version}"
+    try:
+        seen = _pointers(spark, root)
+        df.write.parquet(folder)
+        n = spark.read.parquet(folder).count()
+        if expected_rows is not None and n != expected_rows:
+            raise ValueError(f"the version has {n} rows, {expected_rows} were expected; the pointer stays")
+        _point(spark, root, version, n, seen)
+    except Exception:
+        fs, at = _fs(spark, folder)
+        fs.delete(at, True)
+        raise
+    _sweep(spark, root)
+    return version
+
+
+def _sweep(spark: SparkSession, root: str) -> None:
+    """Remove the folders that only pointers beyond the last KEEP named."""
+    old = _pointers(spark, root)
+    named = {_slot(spark, root, n) for n in old[-KEEP:]}
+    for n in old[:-KEEP]:
+        version = _slot(spark, root, n)
+        if version and version not in named:
+            fs, at = _fs(spark, f"{root}/{version}")
+            fs.delete(at, True)
+        fs, _ = _fs(spark, root)
+        fs.delete(_fs(spark, f"{root}/pointers/{n:012d}.json")[1], False)
+
+
+def _slot(spark: SparkSession, root: str, number: int) -> str | None:
+    """The folder that a pointer names; None while its text isn't there."""
+    rows = spark.read.text(f"{root}/pointers/{number:012d}.json", wholetext=True).collect()
+    try:
+        return json.loads(rows[0][0])["slot"]
+    except (IndexError, ValueError):
+        return None
 
 
-def current_slot(spark: SparkSession, root: str) -> str | None:
-    numbers = _pointers(spark, root)
-    if not numbers:
-        return None
-    return json.loads(spark.read.text(f"{root}/pointers/{numbers[-1]:012d}.json", wholetext=True).first()[0])["slot"]
+def current_version(spark: SparkSession, root: str) -> str | None:
+    return next((v for n in reversed(_pointers(spark, root)) if (v := _slot(spark, root, n))), None)
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
-    slot = current_slot(spark, root)
-    if slot is None:
+    version = current_version(spark, root)
+    if version is None:
         raise FileNotFoundError(f"nothing is published in {root}")
-    return spark.read.parquet(f"{root}/{slot}")
+    return spark.read.parquet(f"{root}/{version}")
 
 
 def rollback(spark: SparkSession, root: str) -> str:
-    """Point at the other slot again."""
-    live = current_slot(spark, root)
-    slot = "b" if live == "a" else "a"
-    _point(spark, root, slot, spark.read.parquet(f"{root}/{slot}").count())
-    return slot
+    """Point again at the version before the live one."""
+    numbers = _pointers(spark, root)
+    live = current_version(spark, root)
+    before = next((v for n in reversed(numbers) if (v := _slot(spark, root, n)) not in (live, None)), None)
+    if before is None:
+        raise FileNotFoundError(f"{root} has no earlier version")
+    _point(spark, root, before, spark.read.parquet(f"{root}/{before}").count(), numbers)
+    return before
 
 
 def export_package(tables: dict[str, DataFrame], path: str) -> None:

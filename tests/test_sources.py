@@ -4,6 +4,8 @@ import io
 import threading
 import zipfile
 
+import pytest
+
 from quarry.sources import files, sinks
 
 
@@ -72,7 +74,7 @@ def test_package_round_trip(spark, tmp_path):
 
 def test_readers_always_find_a_version(spark, tmp_path):
     root, missing, stop = f"file://{tmp_path}/published", [], threading.Event()
-    assert sinks.current_slot(spark, root) is None
+    assert sinks.current_version(spark, root) is None
     sinks.publish(spark.range(1).toDF("a"), root)
     pointers = tmp_path / "published" / "pointers"
 
@@ -83,10 +85,9 @@ def test_readers_always_find_a_version(spark, tmp_path):
 
     t = threading.Thread(target=watch)
     t.start()
-    for n in range(2, 6):
-        sinks.publish(spark.range(n).toDF("a"), root, n)
-    assert sinks.read_published(spark, root).count() == 5 and sinks.current_slot(spark, root) == "a"
-    assert sinks.rollback(spark, root) == "b" and sinks.read_published(spark, root).count() == 4
+    versions = [sinks.publish(spark.range(n).toDF("a"), root, n) for n in range(2, 6)]
+    assert sinks.read_published(spark, root).count() == 5 and sinks.current_version(spark, root) == versions[-1]
+    assert sinks.rollback(spark, root) == versions[-2] and sinks.read_published(spark, root).count() == 4
     stop.set()
     t.join()
     assert not missing and sinks._pointers(spark, root) == [1, 2, 3, 4, 5, 6]
@@ -94,4 +95,37 @@ def test_readers_always_find_a_version(spark, tmp_path):
         sinks.publish(spark.range(3).toDF("a"), root, 4)
         raise AssertionError("a version of the wrong size was published")
     except ValueError:
-        assert sinks.current_slot(spark, root) == "b"
+        assert sinks.current_version(spark, root) == versions[-2]
+    folders = {p.name for p in (tmp_path / "published").iterdir() if p.name.startswith("v-")}
+    assert len(folders) == 5  # that of the wrong size is gone
+
+
+def test_two_publishers_at_once(spark, tmp_path, monkeypatch):
+    """The second one writes and points while the first one counts its rows: the first fails, and readers find the second's rows."""
+    root = f"file://{tmp_path}/published"
+    sinks.publish(spark.range(1).toDF("a"), root)
+    point = sinks._point
+
+    def late(*args):
+        monkeypatch.setattr(sinks, "_point", point)
+        sinks.publish(spark.range(9).toDF("a"), root, 9)
+        assert sinks.read_published(spark, root).count() == 9
+        point(*args)
+
+    monkeypatch.setattr(sinks, "_point", late)
+    with pytest.raises(RuntimeError):
+        sinks.publish(spark.range(5).toDF("a"), root, 5)
+    assert sinks.read_published(spark, root).count() == 9 and sinks._pointers(spark, root) == [1, 2]
+
+
+def test_old_versions_are_swept_and_dead_pointers_passed_over(spark, tmp_path):
+    root = f"file://{tmp_path}/published"
+    for n in range(1, sinks.KEEP + 3):
+        sinks.publish(spark.range(n).toDF("a"), root)
+    assert len(sinks._pointers(spark, root)) == sinks.KEEP
+    assert len([p for p in (tmp_path / "published").iterdir() if p.name.startswith("v-")]) == sinks.KEEP
+    dead = tmp_path / "published" / "pointers" / f"{sinks.KEEP + 3:012d}.json"
+    dead.write_text("")
+    assert sinks.read_published(spark, root).count() == sinks.KEEP + 2
+    sinks.publish(spark.range(77).toDF("a"), root)
+    assert sinks.read_published(spark, root).count() == 77
