@@ -119,10 +119,12 @@ def update(delta: DataFrame, edges: DataFrame, root: str, batch: int, leaf: int
     grown = placed.select("part", "subtree").distinct()
     touched = cut(members.join(grown, ["part", "subtree"], "left_semi").unionByName(placed.select(*members.columns)))
     stale = cut(touched.join(dirty, ["part", "subtree"], "left_semi"))
-    fresh = rebuild(stale.select("id", F.concat_ws("/", "part", "subtree").alias("part")), edges, leaf, least=least)
-    anew = stale.drop("leaf").join(fresh, "id")
-    kept = touched.join(dirty, ["part", "subtree"], "left_anti")
-    _write(kept.unionByName(anew.select(*kept.columns)), root)
+    rows = touched
+    if not stale.isEmpty():
+        fresh = rebuild(stale.select("id", F.concat_ws("/", "part", "subtree").alias("part")), edges, leaf, least=least)
+        anew = stale.drop("leaf").join(fresh, "id")
+        rows = touched.join(dirty, ["part", "subtree"], "left_anti").unionByName(anew.select(*touched.columns))
+    _write(rows, root)
     report.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{root}/drift")
     return report
 

@@ -129,3 +129,72 @@ def test_old_versions_are_swept_and_dead_pointers_passed_over(spark, tmp_path):
     assert sinks.read_published(spark, root).count() == sinks.KEEP + 2
     sinks.publish(spark.range(77).toDF("a"), root)
     assert sinks.read_published(spark, root).count() == 77
+
+
+def test_encodings_are_told_apart(spark):
+    from quarry.sources import charset
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ru, el = "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 3, "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία του κόσμου και των ανθρώπων. " * 3
+    more = spark.createDataFrame([(ru,), (el,)], "text string")
+    pairs = charset.model(charset.pair_counts(docs.select("text").unionByName(more), "text"))
+    texts = [r.text for r in docs.where("lang <> 'en' and length(text) > 300").orderBy("doc_id").limit(40).collect()]
+    wrong = []
+    for t in texts:
+        for name in ("utf-8", "utf-8-sig", "utf-16", "utf-32", "utf-16-le", "utf-16-be", "utf-32-le", "utf-32-be", "cp1252", "mac_roman", "cp850"):
+            try:
+                raw = t.encode(name)
+            except UnicodeEncodeError:
+                continue
+            got = charset.detect(raw, pairs)
+            wrong += [] if got and got[1] == t else [(name, got and got[0])]
+    assert not wrong
+    for t, names in ((ru, ("cp1251", "koi8_r", "cp866")), (el, ("cp1253",)), ("这是一个用来检查编码的中文句子，里面有标点。" * 3, ("gb18030", "gbk")), ("これは日本語の文章です。ひらがなとカタカナ。" * 3, ("shift_jis",))):
+        for name in names:
+            assert charset.detect(t.encode(name), pairs)[1] == t
+    assert charset.detect(None, pairs) is None and charset.detect(b"", pairs) == ("utf-8", "") and charset.detect(bytes(range(1, 32)) * 20, pairs) is None
+    rows = spark.createDataFrame([(1, bytearray(b"plain"), "plain"), (2, bytearray("été où".encode("cp1252")), "été où"), (3, None, None)], "id int, raw binary, want string")
+    out = rows.select("want", charset.decoded(rows.raw, pairs).alias("d")).collect()
+    assert all((r.d.text if r.d else None) == r.want for r in out)
+
+
+def test_runs_of_blocks(spark, tmp_path, monkeypatch):
+    """A failed run leaves the old blocks readable, a repeated one gives the same rows, a later one replaces its versions only."""
+    from quarry.sources import partitions as P
+
+    root = f"file://{tmp_path}/blocks"
+    blocks = lambda rows: spark.createDataFrame(rows, "version string, ordinal int, text string")
+    with pytest.raises(FileNotFoundError):
+        P.read_blocks(spark, root)
+    assert P.write_blocks(blocks([("v1", 0, "a"), ("v1", 1, "b"), ("v2", 0, "c")]), root, "r1") == 3
+    now = lambda: sorted((r.version, r.ordinal, r.text) for r in P.read_blocks(spark, root).collect())
+    old = now()
+    assert old == [("v1", 0, "a"), ("v1", 1, "b"), ("v2", 0, "c")]
+    with monkeypatch.context() as m:
+        m.setattr(P, "_fs", lambda *a: (_ for _ in ()).throw(OSError("no mark")) if a[1].endswith("r2.json") else P.__dict__["_real"](*a))
+        P._real = sinks._fs
+        with pytest.raises(OSError):
+            P.write_blocks(blocks([("v1", 0, "half")]), root, "r2")
+    assert now() == old
+    for _ in range(2):
+        P.write_blocks(blocks([("v1", 0, "new")]), root, "r2")
+        assert now() == [("v1", 0, "new"), ("v2", 0, "c")]
+    P.write_blocks(blocks([("v1", 0, "a"), ("v1", 1, "b"), ("v2", 0, "c")]), root, "r1")  # the first run again: still the earlier one
+    assert now() == [("v1", 0, "new"), ("v2", 0, "c")]
+
+
+def test_upserts_of_vectors(spark, tmp_path):
+    from quarry.sources import partitions as P
+
+    root = f"file://{tmp_path}/points"
+    points = lambda rows: spark.createDataFrame(rows, "id long, vec array<double>, payload string")
+    up = lambda rows: tuple(P.upsert_vectors(points(rows), root, 2, 4).first())
+    assert up([(1, [1.0, 0.0], "a"), (2, None, "b"), (2, None, "c")]) == (1, 0, 1)
+    read = lambda: {r.id: (r.vec, r.payload, r.has_vector) for r in spark.read.parquet(f"{root}/points").collect()}
+    assert read() == {1: ([1.0, 0.0], "a", True), 2: ([0.0, 0.0], "c", False)}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "points").rglob("*.parquet")}
+    assert up([(1, None, "a2")]) == (0, 1, 0) and read()[1] == ([1.0, 0.0], "a2", True)
+    assert up([(2, [0.0, 1.0], "b2")]) == (0, 1, 0) and read()[2] == ([0.0, 1.0], "b2", True)
+    assert before and all(p.parent.name in ("bucket=0", "bucket=1", "bucket=2", "bucket=3") for p in before)
+    with pytest.raises(ValueError):
+        up([(3, [1.0], "x")])
