@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -38,6 +39,26 @@ def test_minhash_against_plain_definition(spark):
     assert got[1] == want and got[2] == [0] * 128 and got[3] == [0] * 128
 
 
+def test_minhash_of_many_shingles_of_any_length(spark, monkeypatch):
+    """Blocks of shingles across texts; shingles around and beyond one block of MD5; no library call for each of the others."""
+    calls = []
+    real = hashlib.md5
+    monkeypatch.setattr(similarity.hashlib, "md5", lambda x: (calls.append(x), real(x))[1])
+    groups = [{b"x" * k for k in (0, 1, 49, 50, 51, 52, 55, 60, 64, 130)}, {"日本 đợi".encode()}, {b"w%d" % i for i in range(500)}]
+    flat = [(n, s) for n, g in enumerate(groups) for s in sorted(g)]
+    out = np.full((3, 128), 2**32 - 1, np.uint32)
+    similarity._least_heads([s for _, s in flat], np.array([n for n, _ in flat]), out)
+    assert calls and min(map(len, calls)) > 51
+    want = [[min(int(real(b"%d:" % i + s).hexdigest()[:8], 16) for s in g) for i in range(128)] for g in groups]
+    assert out.tolist() == want
+    monkeypatch.undo()
+    texts = [" ".join(f"w{i * j % 97}" for j in range(i % 50)) for i in range(1500)] + ["long" * 30 + " a b c d e"]
+    plain = lambda w: {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    got = {r.id: list(r.sig) for r in similarity.minhash(spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1), "id", "t", 3).collect()}
+    for n, t in enumerate(texts):
+        assert got[n] == ([min(int(real(f"{i}:{s}".encode()).hexdigest()[:8], 16) for s in plain(t.split())) for i in range(3)] if t else [0] * 3), n
+
+
 def test_near_duplicates_align_short_texts(spark):
     base = [f"t{i}" for i in range(30)]
     at = lambda *places: " ".join("zz" if i in places else w for i, w in enumerate(base))
