@@ -164,6 +164,24 @@ def test_turn_states(spark):
     assert slots["we dropped kafka"] == "slot:messaging_queue" and slots["we decided to use postgres"] == "slot:database" and slots["I propose nats"] == "slot:messaging_queue"
 
 
+def test_python_workers_get_few_rows_and_bytes_at_once(spark):
+    from quarry.catalog import Tables
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    Tables(spark, "unused")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    short = spark.range(3000).coalesce(1).mapInArrow(sizes, "rows long, bytes long").collect()
+    long = spark.range(300).coalesce(1).select(F.repeat(F.lit("x"), 100_000)).mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in short) == 3000 and max(r.rows for r in short) <= 512
+    assert sum(r.rows for r in long) == 300 and max(r.bytes for r in long) < 6 << 20
+
+
 def test_topic_slots_bound_words_as_the_sql_does(spark):
     import duckdb
 
