@@ -32,6 +32,7 @@ from .decontamination import words_of
 K = 10
 #: Documents and entries of a block; one document alone may have more entries.
 BLOCK_DOCS, BLOCK_ENTRIES = 128, 1 << 16
+AT_ONCE = 16  # blocks that a task decodes, or sends to Python, at once; each may come to more than a megabyte
 BLOCK_BYTES = 2 << 20  # of query texts that go to every task
 FIRST_BLOCKS = 3  # a query, for its first threshold
 
@@ -88,7 +89,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         if ids:
             yield _block(ids, bags)
 
-    return stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _INDEX).withColumn("block_id", F.monotonically_increasing_id()))
+    return stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _INDEX).withColumn("block_id", F.monotonically_increasing_id()), rows=AT_ONCE)
 
 
 class Queries:
@@ -223,7 +224,7 @@ def _part(index: DataFrame, n_docs: int, texts: list[str | None], k: int) -> Dat
 def search(index: DataFrame, queries: DataFrame, query_id: str, text: str, k: int = K) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of each row of queries."""
     spark = index.sparkSession
-    small_batches(spark)
+    small_batches(spark, AT_ONCE)
     n_docs = index.agg(F.sum(F.size("doc_ids"))).first()[0] or 0
     asked = stage(queries.select(F.col(query_id).alias("_id"), F.col(text).alias("_text")).withColumn("_n", F.monotonically_increasing_id()))
     n_parts = int((asked.agg(F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)) + 64)).first()[0] or 0) // BLOCK_BYTES) + 1

@@ -41,6 +41,21 @@ def test_blocks_and_parts_of_any_size(spark, monkeypatch, block_docs, block_entr
     assert got == sorted(lexical_search.brute_force(rows, items, 4))
 
 
+def test_few_blocks_are_decoded_and_sent_at_once(spark, monkeypatch):
+    """However many documents a file holds: row groups and Arrow batches of the index stay small."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lexical_search, "BLOCK_DOCS", 1)
+    docs = spark.createDataFrame([(i, f"word w{i}") for i in range(200)], "doc_id long, text string").coalesce(1)
+    index = lexical_search.build_index(docs)
+    groups = [f.row_group(i).num_rows for f in (pq.ParquetFile(p.removeprefix("file:")).metadata for p in index.inputFiles()) for i in range(f.num_row_groups)]
+    assert sum(groups) == 200 and max(groups) <= lexical_search.AT_ONCE
+    lexical_search.search(index, spark.createDataFrame([(1, "w7 word")], "item_id long, text string"), "item_id", "text")
+    sizes = index.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+    assert max(r.n for r in sizes) <= lexical_search.AT_ONCE
+
+
 def test_blocks_below_the_threshold_are_not_scored(spark, monkeypatch):
     """One document answers best; the blocks of the others are never opened."""
     import numpy as np
