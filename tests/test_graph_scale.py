@@ -30,3 +30,27 @@ def test_posting_candidates_join_no_pairs(spark):
     rows = [(i, "k") for i in range(30)]
     plan = graph.posting_candidates(spark.createDataFrame(rows, "id long, key string"), "id", "key")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_symmetric_bm25_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCKS", 3)
+    random.seed(5)
+    docs = [(i, " ".join(f"w{random.randrange(12)}" for _ in range(random.randrange(1, 9)))) for i in range(12)]
+    pairs = [(a, b) for a in range(12) for b in range(a + 1, 12) if random.random() < 0.6]
+    post = retrieval.postings(spark.createDataFrame(docs, "id long, text string"), "id", "text")
+    got = {(r.a, r.b): r.lexical for r in graph.symmetric_bm25(spark.createDataFrame(pairs, "a long, b long"), post, "id").collect()}
+    tf = {i: Counter(t.split()) for i, t in docs}
+    df = Counter(w for c in tf.values() for w in c)
+    avg = sum(sum(c.values()) for c in tf.values()) / 12
+    w = lambda i, t: math.log(1 + (12 - df[t] + 0.5) / (df[t] + 0.5)) * tf[i][t] * 2.5 / (tf[i][t] + 1.5 * (0.25 + 0.75 * sum(tf[i].values()) / avg))
+    want = {(a, b): sum(0.5 * (w(a, t) + w(b, t)) for t in tf[a].keys() & tf[b].keys()) for a, b in pairs}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_percentiles_are_exact(spark):
+    random.seed(7)
+    values = [(round(random.gauss(0, 1), random.choice([1, 6])),) for _ in range(3001)] + [(0.0,)] * 500 + [(None,)]
+    df = spark.createDataFrame(values, "v double")
+    want = df.agg(F.percentile("v", [0.05, 0.5, 0.95])).first()[0]
+    assert all(abs(x - y) < 1e-12 for x, y in zip(graph.percentiles(df, "v", [0.05, 0.5, 0.95]), want, strict=True))
+    assert graph.percentiles(df.where("v is null"), "v", [0.05]) == [None]
