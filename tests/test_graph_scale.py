@@ -54,3 +54,17 @@ def test_percentiles_are_exact(spark):
     want = df.agg(F.percentile("v", [0.05, 0.5, 0.95])).first()[0]
     assert all(abs(x - y) < 1e-12 for x, y in zip(graph.percentiles(df, "v", [0.05, 0.5, 0.95]), want, strict=True))
     assert graph.percentiles(df.where("v is null"), "v", [0.05]) == [None]
+
+
+def test_degree_cap_is_one_walk_and_takes_an_edge_given_twice_once(spark):
+    random.seed(11)
+    rows = sorted({(a, b): (0, a, b, random.randrange(20) / 10, random.random() < 0.5) for a, b in ((random.randrange(30), random.randrange(30)) for _ in range(400)) if a < b}.values())
+    n, inside, want = defaultdict(int), defaultdict(int), set()
+    for _, a, b, _, same in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+        if max(n[a], n[b]) < 5 and not (same and max(inside[a], inside[b]) >= 2):
+            want.add((a, b))
+            for x in (a, b):
+                n[x] += 1
+                inside[x] += same
+    got = graph.cap_degree(spark.createDataFrame(rows + rows[:50], "part int, a int, b int, weight double, same_doc boolean"), "part", 5).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(want)
