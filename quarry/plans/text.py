@@ -216,8 +216,7 @@ def bm25_topk(t):
 WITH {_POST}, x AS (SELECT tf.doc_id, (('0x' || substr(md5(term), 1, 8))::UBIGINT % 1000000)::BIGINT AS bucket, round(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl.n / 256.0)), 4) AS w FROM tf JOIN dl USING (doc_id) WHERE NOT regexp_matches(term, '[a-z].*[0-9]|[0-9].*[a-z]'))
 SELECT doc_id, bucket, max(w) AS weight FROM x GROUP BY 1, 2""")
 def _(t):
-    plain = V.postings(t.documents, "doc_id", "text").where(~F.col("term").rlike("[a-z].*[0-9]|[0-9].*[a-z]"))
-    return V.sparse_weights(plain, "doc_id", stems=False)
+    return V.sparse_rows(t.documents, "doc_id", "text", "[a-z].*[0-9]|[0-9].*[a-z]")
 
 
 @query("query_weights", "SELECT token, weight FROM (VALUES ('report', 1.0::DOUBLE), ('alpha', 1.2426), ('2018', 1.0)) t(token, weight)")

@@ -74,3 +74,11 @@ def test_degree_cap_is_one_walk_and_takes_an_edge_given_twice_once(spark):
 def test_terms_of_groups_shuffle_no_row_a_text(spark, monkeypatch, name):
     monkeypatch.setattr(retrieval, "postings", lambda *_: pytest.fail("a row a text and term"))
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_sparse_rows_shuffle_nothing(spark):
+    docs = spark.createDataFrame([(1, "Alpha beta alpha a1 7"), (2, None), (3, "")], "doc_id long, text string")
+    got = retrieval.sparse_rows(docs, "doc_id", "text", "[a-z].*[0-9]|[0-9].*[a-z]")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = retrieval.sparse_weights(retrieval.postings(docs, "doc_id", "text").where("term <> 'a1'"), "doc_id", stems=False)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 3
