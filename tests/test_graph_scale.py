@@ -56,6 +56,13 @@ def test_percentiles_are_exact(spark):
     assert graph.percentiles(df.where("v is null"), "v", [0.05]) == [None]
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 7])
+def test_percentiles_of_few_values(spark, n):
+    df = spark.createDataFrame([(float(i * i),) for i in range(n)], "v double").coalesce(1)
+    want = df.agg(F.percentile("v", [0.05, 0.95])).first()[0]
+    assert all(abs(x - y) < 1e-12 for x, y in zip(graph.percentiles(df, "v", [0.05, 0.95]), want, strict=True))
+
+
 def test_degree_cap_is_one_walk_and_takes_an_edge_given_twice_once(spark):
     random.seed(11)
     rows = sorted({(a, b): (0, a, b, random.randrange(20) / 10, random.random() < 0.5) for a, b in ((random.randrange(30), random.randrange(30)) for _ in range(400)) if a < b}.values())
