@@ -221,3 +221,39 @@ def test_expansion_is_capped_by_version(spark):
     versions = spark.createDataFrame([(i, i // 10) for i in range(1, 30)], "id int, version int")
     got = search.expand(seeds, {"near": (edges, 0.9), "far": (edges, 0.5)}, versions, 8).collect()
     assert sorted(r.id for r in got) == [2, 3, 10, 11, 20, 21] and {r.kind for r in got} == {"near"}
+
+
+def test_near_duplicates_sign_only_texts_that_may_match(spark, monkeypatch):
+    """Copies are one text and long texts without common shingles get no signature; the matches are those of all pairs."""
+    import random
+
+    from quarry.operators import similarity as M
+
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(4000)]
+    long = [" ".join(rnd.choices(words, k=rnd.randint(120, 200))) for _ in range(30)]
+    texts = [*long, None, "", *[long[0]] * 6, long[1] + " more", long[1] + " more!", long[1].upper(), long[2][:160], "a b a b a b a b a b", "b a b a b a b a b a b a", "short one of six plain words", "short one of six plain words now"]
+    rnd.shuffle(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    signed, hashed = [], M.minhash
+    sig = {r.id: r.sig for r in hashed(df, "id", "t").collect()}
+    tokens = [M.X.minhash_tokens(M.F.col("t")).alias("w")]
+    words_of = {r.id: list(r.w or []) for r in df.select("id", *tokens).collect()}
+    want = {}
+    for b in sig:
+        for a in range(b):
+            if any(sig[a][4 * k : 4 * k + 4] == sig[b][4 * k : 4 * k + 4] for k in range(32)):
+                s = sum(x == y for x, y in zip(sig[a], sig[b])) / 128
+                if 0.35 <= s < 0.85 and 1 <= min(len(words_of[a]), len(words_of[b])) < M.SHORT:
+                    s = max(s, M.difflib.SequenceMatcher(None, words_of[a], words_of[b], autojunk=False).ratio())
+                if s >= 0.85:
+                    want[b] = max(want.get(b, (0.0, -1)), (s, a))
+
+    def counted(part, *args):
+        signed.append(part.count())
+        return hashed(part, *args)
+
+    monkeypatch.setattr(M, "minhash", counted)
+    got = {r.id: (r.similarity, r.match_id) for r in M.near_duplicates(df, "id", "t").collect()}
+    assert got == want and len(got) >= 9
+    assert signed == [len({tuple(w) for w in words_of.values() if len(w) <= M.LONG} | {tuple(w) for w in words_of.values() if w[:50] == long[1].split()[:50]})]
