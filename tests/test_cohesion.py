@@ -157,3 +157,14 @@ def test_units_of_every_document_cover_its_blocks(spark):
         own = by.get(d.doc_id, [])
         assert sorted({i for u in own for i in range(u.block_from, u.block_to + 1)}) == list(range(len(blocks)))
         assert all(x.block_to <= y.block_from for x, y in zip(own, own[1:])) and not any(x.block_to == y.block_from and not y.is_part for x, y in zip(own, own[1:]))
+
+
+def test_products_and_dealing(spark):
+    """Products of sentences hold no column for a gram of one sentence, and one file is no single task."""
+    rng = np.random.default_rng(3)
+    dense = rng.integers(0, 3, (20, 300)) * (rng.random((20, 300)) < 0.05)
+    rows, grams = np.nonzero(dense)
+    assert np.allclose(C._products(grams, dense[rows, grams].astype(float), rows, 20), dense @ dense.T)
+    one = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, text string").coalesce(1)
+    for made in (C.prose_segments(one, "id", "text"), C.search_units(one, "id", "text")):
+        assert "RoundRobinPartitioning" in made._jdf.queryExecution().executedPlan().toString() and made.count() == 2
