@@ -105,5 +105,6 @@ def test_pagerank_of_hubs_keeps_edges_in_place(spark):
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true" and not [t for t in spark.catalog.listTables() if t.name.startswith("quarry_")]
     with staging.bucketed(spark, 8, "part") as put:
         a = put(spark.range(100).selectExpr("cast(id % 10 as int) part", "id"))
-        plan = a.join(a.withColumnRenamed("id", "other").repartition(8, "part").hint("shuffle_hash"), "part")._jdf.queryExecution().executedPlan().toString()
+        b = spark.range(100).selectExpr("cast(id % 10 as int) part", "id", "id other").repartition(8, "part")
+        plan = a.join(b.hint("shuffle_hash"), ["part", "id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
