@@ -19,6 +19,7 @@ columns are read.
 
 from __future__ import annotations
 
+import codecs
 import gc
 import hashlib
 import re
@@ -29,6 +30,7 @@ from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,6 +41,7 @@ from .common import n_partitions, shared_dir, small_batches, table
 END_ID = 2
 WINDOW, MEAN_BITS, MIN_IDS, MAX_IDS = 16, 9, 128, 2048
 CACHE_WORDS, CACHE_CHARS, CACHE_TAILS = 350_000, 32, 20_000
+AT_ONCE = 256  # words in one call of the model
 
 
 def default_tokenizer() -> str:
@@ -60,6 +63,12 @@ SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^`{|}~'
 _SPACES = ["  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
 
 
+#: Stands before a text's first piece, where it is in no text.
+START = "\x02"
+#: Texts with such white space, or with white space at an end, aren't cut by Arrow.
+_ODD = "  |\n\n| \n|\n |\\A[ \n]|[ \n]\\z|[" + "".join(x for x in _SPACES if len(x) == 1) + START + "]"
+
+
 def _latin(word: str) -> bool:
     try:
         return bool(word.encode("latin-1"))
@@ -86,6 +95,39 @@ class _Known(dict):
         self.older = dict(self)
         self.clear()
 
+    def learn(self, words: list[str]) -> None:
+        """Words of Latin letters; the model gets many in one call, with a letter between them that no merge knows."""
+        e = self.encoder
+        for i in range(0, len(words), AT_ONCE):
+            some = words[i : i + AT_ONCE]
+            raw = self.space.encode() + (b"\xff" + self.space.encode()).join(map(str.encode, some))
+            found = self.tokenize(codecs.charmap_decode(raw, "strict", e.alphabet)[0])
+            ids = np.fromiter(map(_ID, found), e.kind, len(found))
+            raw, at = ids.tobytes(), 0
+            for w, to in zip(some, [*(np.flatnonzero(ids == e.between_id) * ids.itemsize).tolist(), len(raw)], strict=True):
+                self[w], at = raw[at:to], to + ids.itemsize
+
+    def of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces; one that begins with START has nothing before it."""
+        e, older, words, left = self.encoder, self.older, [], []
+        found = list(map(self.get, pieces))
+        for i in [i for i, x in enumerate(found) if x is None]:
+            p = pieces[i]
+            if p in older:
+                self[p] = found[i] = older[p]
+                continue
+            left.append(i)
+            if p.isalpha():
+                words.append(p)
+            elif (base := p.rstrip(SIGNS)) not in self and base not in older and base.isalpha():
+                words.append(base)
+        if e.between is not None:
+            self.learn([w for w in dict.fromkeys(words) if len(w) <= CACHE_CHARS and (w.isascii() or _latin(w))])
+        for i in left:
+            p = pieces[i]
+            found[i] = e.starts[p[1:]] if p[0] == START else self[p]
+        return found
+
     def __missing__(self, piece: str) -> bytes:
         if piece in self.older:
             self[piece] = ids = self.older[piece]
@@ -119,6 +161,7 @@ class Encoder:
     has such characters on both sides, and the pieces encoded alone.  A piece seen before comes from a
     bounded cache.  A new one of Latin letters, with ASCII signs after them or not, is two units to the
     pre-tokenizer, which go straight to the library's BPE model; any other goes through its whole encoder.
+    ``encode_all`` takes a batch of texts, and looks for each of its different pieces once.
     """
 
     _cut = re.compile(r"(?<=\S)(?=[ ]\S)")
@@ -134,6 +177,12 @@ class Encoder:
         self.kind = "<u4" if self.wide else "<u2"
         self.byte_level = _byte_letters()
         self.packed = [self.pack([i]) for i in range(self.library.get_vocab_size())]
+        # 0xFF is in no UTF-8 text, so no merge should know its letter
+        letter, names = self.byte_level.get(0xFF, chr(0xFF)), self.library.get_vocab()
+        plain = self.direct and not any(getattr(self.bpe, a) for a in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        self.between = letter if plain and letter in names and sum(letter in x for x in names) == 1 else None
+        self.between_id = names.get(letter)
+        self.alphabet = "".join(self.byte_level.get(b, chr(b)) for b in range(256))
         self.newline = self.whole("\n")
         self.starts, self.known = _Known(self, ""), _Known(self, " ")
 
@@ -143,12 +192,43 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self.pack(self.library.encode(text, add_special_tokens=False).ids)
 
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, self.kind)
+    def age(self) -> None:
         if len(self.known) + len(self.starts) > CACHE_WORDS:
             self.known.age()
             self.starts.age()
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, each with its end id, and how many each has.
+
+        Arrow cuts the texts and numbers their different pieces, so that each of these is looked for once.
+        """
+        self.age()
+        full = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False)
+        odd = full & pc.fill_null(pc.match_substring_regex(texts, _ODD), False).to_numpy(zero_copy_only=False)
+        plain, rest = np.flatnonzero(full & ~odd), np.flatnonzero(odd)
+        cut = pc.split_pattern(pc.binary_join_element_wise(START, pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), ""), " ")
+        own = cut.flatten().dictionary_encode()
+        ids = self.known.of(own.dictionary.to_numpy(zero_copy_only=False).tolist())
+        count = np.zeros(len(texts), np.int64)
+        count[plain] = np.diff(cut.offsets.to_numpy())
+        ends, n = np.cumsum(count), len(ids)
+        ids += [self.encode(t).tobytes() for t in texts.take(pa.array(rest)).to_pylist()] + [self.pack([end_id])]
+        # an odd text is one piece, and every text has its end
+        pieces = np.insert(own.indices.to_numpy(), ends[rest], np.arange(n, n + len(rest)))
+        count[rest] = 1
+        ends = np.cumsum(count)
+        pieces = np.insert(pieces, ends, n + len(rest))
+        ends += np.arange(1, len(texts) + 1)
+        flat, sizes = np.frombuffer(b"".join(ids), self.kind), np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.kind).itemsize
+        size, start = sizes[pieces], np.cumsum(sizes) - sizes
+        upto = np.cumsum(size)
+        whole = flat[np.repeat(start[pieces] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+        return whole, np.diff(upto[ends - 1], prepend=0)
+
+    def encode(self, text: str) -> np.ndarray:
+        if not text:
+            return np.empty(0, self.kind)
+        self.age()
         if text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, _SPACES)):
             first, *rest = self._cut.split(text)
             if first[:1] == "\n":  # such a key stands for a line end between two other characters
@@ -160,37 +240,54 @@ class Encoder:
 
 
 def _gear() -> np.ndarray:
-    """A fixed pseudo-random 64-bit number for each id (splitmix64)."""
+    """A fixed pseudo-random number for each id (low half of splitmix64)."""
     x = (np.arange(1, 1 << 17, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return (x ^ (x >> np.uint64(31))).astype(np.uint32)
 
 
 GEAR = _gear()
 
 
-def cut_points(ids: np.ndarray, bits: int = MEAN_BITS, least: int = MIN_IDS, most: int = MAX_IDS) -> list[int]:
-    """Ends of the chunks.  The hash at i sums GEAR[id] << age over 16 ids, by four doublings."""
+def _marks(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Where a chunk may end.  The hash at i sums GEAR[id] << age over 16 ids, by four doublings; its bits from 32 on are not asked for."""
     h = GEAR[ids % np.uint32(len(GEAR))] if ids.dtype.itemsize > 2 else GEAR[ids]
     step = 1
     while step < WINDOW:
-        older = np.zeros_like(h)
-        older[step:] = h[:-step] << np.uint64(step)
-        h, step = h + older, step * 2
-    mask = np.uint64((1 << bits) - 1) << np.uint64(WINDOW)
-    ends, at, n = [], 0, len(ids)
-    for c in (np.flatnonzero((h & mask) == 0) + 1).tolist():
-        while c - at > most:
+        h[step:] += h[:-step] << np.uint32(step)
+        step *= 2
+    return np.flatnonzero((h & np.uint32(((1 << bits) - 1) << WINDOW)) == 0) + 1
+
+
+def cut_texts(ids: np.ndarray, sizes: np.ndarray, bits: int = MEAN_BITS, least: int = MIN_IDS, most: int = MAX_IDS) -> list[list[int]]:
+    """Ends of each text's chunks, counted from its start; the texts' ids stand one after the other.
+
+    No chunk ends in the first ``least`` ids of a text, and the hash of any other place looks at ids of its own text alone.
+    """
+    assert least >= WINDOW and bits + WINDOW <= 32
+    marks, stop = _marks(ids, bits), np.cumsum(sizes)
+    start = stop - sizes
+    first, last = np.searchsorted(marks, start, "right").tolist(), np.searchsorted(marks, stop, "right").tolist()
+    out = []
+    for x, y, s, n in zip(first, last, start.tolist(), sizes.tolist(), strict=True):
+        ends, at = [], 0
+        for c in (marks[x:y] - s).tolist():
+            while c - at > most:
+                at += most
+                ends.append(at)
+            if c - at >= least and c < n:
+                ends.append(c)
+                at = c
+        while n - at > most:
             at += most
             ends.append(at)
-        if c - at >= least and c < n:
-            ends.append(c)
-            at = c
-    while n - at > most:
-        at += most
-        ends.append(at)
-    return [*ends, n]
+        out.append([*ends, n])
+    return out
+
+
+def cut_points(ids: np.ndarray, bits: int = MEAN_BITS, least: int = MIN_IDS, most: int = MAX_IDS) -> list[int]:
+    return cut_texts(ids, np.array([len(ids)]), bits, least, most)[0]
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -255,27 +352,29 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _ENCODERS[path] if path in _ENCODERS else _ENCODERS.setdefault(path, Encoder(path))
         compress = zstandard.ZstdCompressor(level=1).compress
-        end, sha, seen = np.array([end_id], enc.kind), hashlib.sha256, set()
+        sha, seen = hashlib.sha256, set()
         gc.disable()  # millions of small tokens, and no cycles among them
         try:
-            yield from rows(batches, enc, compress, end, sha, seen)
+            yield from rows(batches, enc, compress, sha, seen)
         finally:
             gc.enable()
 
-    def rows(batches, enc, compress, end, sha, seen):
+    def rows(batches, enc, compress, sha, seen):
         for b in batches:
             chunks, recipes = [], []
-            for text in b.column(1).to_pylist():
-                ids = np.concatenate([enc.encode(text), end])
-                raw, names, at = ids.tobytes(), [], 0
-                for to in cut_points(ids):
-                    part = raw[at * ids.itemsize : to * ids.itemsize]
+            ids, sizes = enc.encode_all(b.column(1), end_id)
+            size, raw, base = ids.itemsize, ids.tobytes(), 0
+            for n, ends in zip(sizes.tolist(), cut_texts(ids, sizes), strict=True):
+                names, at = [], 0
+                for to in ends:
+                    part = raw[(base + at) * size : (base + to) * size]
                     names.append(name := sha(part).digest())
                     if name not in seen:
                         seen.add(name)
                         chunks.append((name, to - at, compress(part)))
                     at = to
-                recipes.append((len(ids), names))
+                recipes.append((n, names))
+                base += n
             if len(seen) > SEEN:
                 seen.clear()
             n, m, id_type = len(chunks), len(recipes), b.schema.field(0).type

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -337,6 +338,33 @@ def test_encoder_equals_the_library():
         assert e.encode(t).tolist() == e.library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_texts_of_a_batch_equal_the_library_in_few_calls(monkeypatch):
+    """Odd texts, nulls and slices among plain ones; the model is asked for many new words at once, and for none twice."""
+    e = tokens.Encoder(tokens.default_tokenizer())
+    rnd = random.Random(4)
+    parts = ["the", "word,", "Ärger", "x1", "it's", "“q”", "a\nb", "naïve.", "(see)", "日本", "<|endoftext|>", "x" * 40, " y", "\x02z", "ÿ", "\n", "\t"]
+    texts = [None, "", *(" ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9))) for _ in range(600)), None]
+    for a in range(0, len(texts), 100):
+        ids, sizes = e.encode_all(pa.array(texts, pa.string())[a : a + 100], 2)
+        want = [[*e.library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts[a : a + 100]]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert [x.tolist() for x in e.encode_all(pa.array([], pa.string()), 2)] == [[], []]
+    calls = []
+    monkeypatch.setattr(e.known, "tokenize", lambda text: calls.append(text) or e.bpe.tokenize(text))
+    words = ["".join(rnd.choice("abcdefghijé") for _ in range(12)) for _ in range(1000)]
+    text = "the " + " ".join(w + rnd.choice(["", ",", "."]) for w in words)
+    for _ in range(2):
+        assert e.encode_all(pa.array([text] * 3), 2)[0].tolist() == [*e.library.encode(text, add_special_tokens=False).ids, 2] * 3
+    assert len(calls) <= 1000 / tokens.AT_ONCE + 1
+
+
+def test_chunks_of_a_batch_are_those_of_each_text():
+    rnd = np.random.default_rng(5)
+    sizes = np.array([1, 5000, 127, 128, 129, 9000, 1, 3000, 16])
+    ids = rnd.integers(0, 50000, sizes.sum()).astype("<u2")
+    assert tokens.cut_texts(ids, sizes) == [tokens.cut_points(x) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
 def test_store_round_trip(spark, odd, none, tmp_path):
     path = f"file://{tmp_path}/store"
     tokens.write_store(odd, path, tokens.default_tokenizer())
