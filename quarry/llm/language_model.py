@@ -9,7 +9,7 @@ added; a word that training never saw is one more word of its class.  So the pro
 Training is noise-contrastive, in numpy: slots drawn from the unigram distribution are told from real ones, which needs no sum over
 slots.  Every position of every training text is used once, a third in each round; in a round each task starts from the same
 parameters, and the steps of all tasks are averaged, weighed by their positions, as integers, in Spark.  Scoring
-takes the full softmax of a batch of positions by one matrix product.
+takes the full softmax; a context's sum over all slots comes from tables of exponentials, once while a task remembers it.
 
 Counts cover every training token.  What goes to the driver has a fixed size: the vocabulary, the classes' sums, the parameters.
 Counts of the ``FREQUENT`` most frequent words go to every task; the other words, each too rare to be a hot key, meet their counts in
@@ -25,9 +25,11 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ START = SLOTS
 ROUNDS, BATCH, NOISE, RATE = 3, 1024, 96, 0.2
 #: Words whose counts may go to every task.
 FREQUENT = 1 << 19
-AT_ONCE, GROUP = 512, 1 << 16  # contexts whose softmax is taken at once, tokens whose contexts are told apart at once
+AT_ONCE, GROUP = 128, 1 << 16  # contexts whose softmax is taken at once, tokens whose contexts are told apart at once
+NORM_BITS = 21  # contexts whose sum is remembered in a task, as a power of two
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 STEP = 1 << 20  # parameters' steps are added up as multiples of 1 / STEP
 
@@ -65,6 +68,38 @@ class WordKeys(WordHashes):
 END = int(np.uint64(WordKeys()[b""]).view(np.int64))
 
 
+@cache
+def _classes() -> np.ndarray:
+    """The class of a word by its last two bytes; from 1 << 16 on, of words of one byte."""
+    ends = [bytes([a, b]) for a in range(256) for b in range(256)] + [bytes([b]) for b in range(256)]
+    return np.array([zlib.crc32(x) % CLASSES for x in ends], np.uint64)
+
+
+def word_keys(words: pa.Array) -> np.ndarray:
+    """The keys of different words, none of them empty, as WordKeys has them."""
+    import xxhash
+
+    words = words.cast(pa.binary())
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.empty(0, np.uint8)
+    last, before = data[ends[1:] - 1].astype(np.int64), data[np.maximum(ends[1:] - 2, 0)].astype(np.int64)
+    kind = _classes()[np.where(np.diff(ends) > 1, before * 256, 1 << 16) + last]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(words))
+    return (hashes & ~np.uint64(CLASSES - 1) | kind).view(np.int64)
+
+
+def token_keys(texts: pa.Array) -> list[np.ndarray]:
+    """The keys of each text's words, and END.  Arrow cuts the texts and numbers their different words, so each of these is hashed once."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, ends = cut.flatten(), cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()
+    real = pc.binary_length(words).to_numpy() > 0
+    if not real.all():  # white space at an end of a text
+        words, ends = words.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])[ends]
+    own = words.dictionary_encode()
+    keys = np.insert(word_keys(own.dictionary)[own.indices.to_numpy()], ends, END)
+    return np.split(keys, (ends + np.arange(1, len(ends) + 1))[:-1]) if len(ends) else []
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -75,11 +110,9 @@ def bags(docs: DataFrame) -> DataFrame:
     small_batches(spark)
 
     def run(batches):
-        known = WordKeys()
         for b in batches:
             keys, tf, ends, places = [], [], [0], []
-            for text in b.column(2).to_pylist():
-                tokens = np.append(known.of(words_of(text)).view(np.int64), END)
+            for tokens in token_keys(b.column(2)):
                 own, place, n = np.unique(tokens, return_inverse=True, return_counts=True)
                 keys.append(own)
                 tf.append(n.astype(np.int32))
@@ -155,39 +188,70 @@ class Model:
     def hidden(self, contexts: np.ndarray) -> np.ndarray:
         return sum(self.context[contexts[:, i]] @ self.matrix[i] for i in range(CONTEXT))
 
-    def log10(self, contexts: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """log10 of the slots' normalised probabilities; the normaliser of each distinct context comes from a matrix product."""
-        through = [self.context @ m for m in self.matrix]
+    def log10(self, contexts: np.ndarray, slots: np.ndarray, norms: Norms | None = None) -> np.ndarray:
+        """log10 of the slots' normalised probabilities; the normaliser of a context is worked out once while it is remembered."""
+        norms = Norms(self, 0) if norms is None else norms
         code = contexts[:, 0].astype(np.int64)
         for i in range(1, CONTEXT):
             code = code * (SLOTS + 1) + contexts[:, i]
-        code, of = np.unique(code, return_inverse=True)
-        hidden = np.ones((len(code), DIMS + 1), np.float32)  # the bias is the target of a coordinate that is always 1
-        rest = code
-        hidden[:, :DIMS] = 0
-        for i in reversed(range(CONTEXT)):
+        own = self.bias[slots] + sum(x[contexts[:, i], slots] for i, x in enumerate(norms.logs))
+        return (own.astype(float) - norms.of(code)) / math.log(10)
+
+
+class Norms:
+    """Logs of the sums over all slots, by context; 1 << bits of those met before are remembered, each at a place that its code gives.
+
+    A slot's score is a sum of one number for each place of the context, so its exponential is a product of numbers from tables.
+    """
+
+    def __init__(self, model: Model, bits: int = NORM_BITS):
+        self.bits, self.bias = bits, model.bias
+        self.codes, self.norms = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, np.float32)
+        self.logs = [model.context @ m @ model.target.T for m in model.matrix]
+        self.near = sum(float(np.abs(x).max()) for x in [*self.logs, model.bias]) < 60  # no product can overflow
+        self.factors = [np.exp(x) for x in self.logs] if self.near else []
+        if self.near:
+            self.factors[0] *= np.exp(model.bias)
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        place = (code * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - self.bits)
+        out, new = self.norms[place], np.flatnonzero(self.codes[place] != code)
+        if len(new):
+            codes, at = np.unique(code[new], return_inverse=True)
+            found = self.worked_out(codes)
+            out[new] = found[at]
+            place = (codes * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - self.bits)
+            last = np.unique(place[::-1], return_index=True)[1]  # one code a place
+            self.codes[place[::-1][last]], self.norms[place[::-1][last]] = codes[::-1][last], found[::-1][last]
+        return out
+
+    def worked_out(self, codes: np.ndarray) -> np.ndarray:
+        rest, slots = codes, []
+        for _ in range(CONTEXT):
             rest, slot = np.divmod(rest, SLOTS + 1)
-            hidden[:, :DIMS] += through[i][slot]
-        target = np.concatenate([self.target, self.bias[:, None]], axis=1)
-        norm = np.empty(len(code), np.float32)
-        for a in range(0, len(code), AT_ONCE):
-            scores = hidden[a : a + AT_ONCE] @ target.T
-            top = max(0.0, float(scores.max()) - 60)  # only where it would overflow
-            if top:
-                scores -= top
-            norm[a : a + AT_ONCE] = np.log(np.exp(scores, out=scores).sum(axis=1)) + top
-        own = np.einsum("ij,ij->i", hidden[of], target[slots])
-        return (own.astype(float) - norm[of]) / math.log(10)
+            slots.insert(0, slot)
+        norm = np.empty(len(codes), np.float32)
+        product, factor = (np.empty((AT_ONCE, SLOTS), np.float32) for _ in range(2))
+        for a in range(0, len(codes), AT_ONCE):
+            at = [x[a : a + AT_ONCE] for x in slots]
+            if self.near:
+                x, y = product[: len(at[0])], factor[: len(at[0])]
+                self.factors[0].take(at[0], axis=0, out=x, mode="clip")
+                for f, i in zip(self.factors[1:-1], at[1:-1], strict=True):
+                    x *= f.take(i, axis=0, out=y, mode="clip")
+                norm[a : a + AT_ONCE] = np.log(np.einsum("ij,ij->i", x, self.factors[-1].take(at[-1], axis=0, out=y, mode="clip")))
+            else:
+                scores = self.bias + sum(f[i] for f, i in zip(self.logs, at, strict=True))
+                top = scores.max(axis=1)
+                norm[a : a + AT_ONCE] = np.log(np.exp(scores - top[:, None]).sum(axis=1)) + top
+        return norm
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Values added up by row."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    out = np.zeros((n, values.shape[1]), np.float32)
-    out[rows[first]] = np.add.reduceat(values[order], first, axis=0)
-    return out
+    d = values.shape[1]
+    at = rows.astype(np.int64)[:, None] * d + np.arange(d)
+    return np.bincount(at.reshape(-1), values.reshape(-1), n * d).reshape(n, d).astype(np.float32)
 
 
 def contrast(model: Model, past: np.ndarray, contexts: np.ndarray, slots: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> None:
@@ -211,9 +275,9 @@ def contrast(model: Model, past: np.ndarray, contexts: np.ndarray, slots: np.nda
     np.subtract.at(grad.bias, noise, down.sum(axis=0))
     back = up[:, None] * target - down @ drawn
     for i in range(CONTEXT):
-        grad.matrix[i] = model.context[contexts[:, i]].T @ back
-    places = contexts.T.reshape(-1)
-    grad.context[:] = _summed(places, np.concatenate([back @ m.T for m in model.matrix]), SLOTS + 1)
+        own = _summed(contexts[:, i], back, SLOTS + 1)
+        grad.matrix[i] = model.context.T @ own
+        grad.context += own @ model.matrix[i].T
     g = grad.flat / len(slots)
     past += g * g
     model.flat += RATE * g / np.sqrt(past + 1e-6)
@@ -337,13 +401,14 @@ def slot_scores(rows: DataFrame, model: Model, lexicon: Lexicon) -> DataFrame:
 
     def run(batches):
         m = Model(flat)
+        norms = Norms(m)
         for b in batches:
             found = []
             for group in _groups(b.column(len(kept)).to_pylist()):
                 t = Flat(group)
                 at = t.places()
                 slots = t.slots[at]
-                found += np.add.reduceat(m.log10(t.contexts(at), slots) - share[slots], np.cumsum(t.n) - t.n).tolist()
+                found += np.add.reduceat(m.log10(t.contexts(at), slots, norms) - share[slots], np.cumsum(t.n) - t.n).tolist()
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(found, pa.float64())], [*kept, "slot_score"])
         give_back()
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,33 @@ def test_probabilities_of_all_words_add_up_to_one(scored):
         assert math.fsum(word) + unseen + empty == pytest.approx(1, abs=1e-4)
 
 
+def test_words_of_a_batch_have_the_keys_of_each_text():
+    odd = [None, "", " ", "\n a\tB ", "x\x0b y", "É é\xa0z\x1cq", "  ", " a", "the The the", "日本 x"]
+    known = lm.WordKeys()
+    for texts in (pa.array(odd), pa.array(odd)[3:8], pa.array(["a b"] * 300), pa.array([None], pa.string()), pa.array([], pa.string())):
+        want = [[*known.of(lm.words_of(t)).view(np.int64).tolist(), lm.END] for t in texts.to_pylist()]
+        assert [k.tolist() for k in lm.token_keys(texts)] == want
+
+
+@pytest.mark.parametrize(("scale", "bits"), [(1, 0), (1, 12), (40, 12)])
+def test_a_context_is_summed_up_once_while_it_is_remembered(monkeypatch, scale, bits):
+    """With few and many places, and where exponentials would overflow."""
+    rng = np.random.default_rng(6)
+    model = lm.Model((lm.Model.start(np.full(lm.SLOTS, 1 / lm.SLOTS)).flat + rng.normal(0, 0.3, lm.Model.size()).astype(np.float32)) * np.float32(scale))
+    contexts, slots = rng.integers(0, lm.SLOTS + 1, (300, lm.CONTEXT))[rng.integers(0, 300, 2000)], rng.integers(0, lm.SLOTS, 2000)
+    norms, asked = lm.Norms(model, bits), []
+    assert norms.near == (scale == 1)
+    whole = norms.worked_out
+    monkeypatch.setattr(norms, "worked_out", lambda codes: asked.append(len(codes)) or whole(codes))
+    hidden = sum(model.context[contexts[:, i]].astype(float) @ model.matrix[i].astype(float) for i in range(lm.CONTEXT))
+    scores = hidden @ model.target.T.astype(float) + model.bias
+    top = scores.max(axis=1)
+    want = (scores[np.arange(2000), slots] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))) / math.log(10)
+    for _ in range(2):
+        assert model.log10(contexts, slots, norms) == pytest.approx(want, rel=1e-4, abs=1e-3)
+    assert asked[0] <= 300 and (sum(asked[1:]) < 60 or not bits)
+
+
 def test_steps_follow_the_gradient_of_the_contrastive_loss():
     """The step's direction against differences of the loss itself."""
     rng = np.random.default_rng(3)
