@@ -115,8 +115,7 @@ def _(t):
 
 @query("content_shingle_jaccard", r"""
 WITH n AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS n FROM documents),
-x AS (SELECT doc_id, CASE WHEN length(n) > 4096 THEN substr(n, 1, 1024) || chr(10) || substr(n, (length(n) - 1024) // 3 + 1, 1024) || chr(10) || substr(n, (length(n) - 1024) * 2 // 3 + 1, 1024) || chr(10) || substr(n, length(n) - 1023, 1024) ELSE n END AS n FROM n),
-k AS (SELECT doc_id, n, CASE WHEN length(n) >= 6 THEN 6 ELSE 3 END AS k FROM x),
+k AS (SELECT doc_id, n, CASE WHEN length(n) >= 6 THEN 6 ELSE 3 END AS k FROM n),
 s AS (SELECT doc_id, CASE WHEN length(n) = 0 THEN [] WHEN length(n) < 3 THEN [n] ELSE list_distinct(list_transform(range(1, greatest(length(n) - k + 2, 2)), lambda i: substr(n, i, k))) END AS s FROM k)
 SELECT a.doc_id AS a, b.doc_id AS b, round(CASE WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0 ELSE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END, 6) AS jaccard FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""")
 def _(t):

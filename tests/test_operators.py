@@ -102,6 +102,23 @@ def test_mmr_collapses_copies_and_spreads_documents(spark):
     assert [(r.id, r.place) for r in retrieval.mmr(df, "q", 3).orderBy("place").collect()] == [(1, 1), (3, 2)]
 
 
+def _long(places: dict[int, str]) -> str:
+    """A text of 20,000 characters without repeated runs, with other words at some places."""
+    s = "".join(f"{i:x}".rjust(5, "q") for i in range(4000))
+    for at, word in places.items():
+        s = s[:at] + word + s[at + len(word) :]
+    return s
+
+
+def test_shingles_cover_whole_texts(spark):
+    """Between the first, middle and last thousands of characters as well."""
+    texts = [_long({}), _long({3000: "x" * 400, 9000: "y" * 400, 16000: "z" * 400})]
+    runs = [{t[i : i + 6] for i in range(len(t) - 5)} for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    got = {r.id: set(r.s) for r in df.select("id", retrieval.shingles(F.col("t")).alias("s")).collect()}
+    assert [len(got[i]) for i in (0, 1)] == [len(r) for r in runs] and len(got[0] & got[1]) == len(runs[0] & runs[1])
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in graph.components(edges).collect()}
