@@ -120,9 +120,7 @@ s AS (SELECT doc_id, CASE WHEN length(n) = 0 THEN [] WHEN length(n) < 3 THEN [n]
 SELECT a.doc_id AS a, b.doc_id AS b, round(CASE WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0 ELSE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END, 6) AS jaccard FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""")
 def _(t):
     """Each document against the one of the next id: the pairs are given, never all against all."""
-    d = cut(t.documents.select("doc_id", S.shingles(F.col("text")).alias("s")))  # hashed once, for both sides
-    p = d.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"), (F.col("doc_id") + 1).alias("b")).join(d.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    return p.select("a", "b", F.round(S.jaccard(F.col("sa"), F.col("sb")), 6).alias("jaccard"))
+    return S.next_jaccard(t.documents, "doc_id", "text").withColumn("jaccard", F.round("jaccard", 6))
 
 
 def _hits(t):

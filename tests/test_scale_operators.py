@@ -257,3 +257,15 @@ def test_near_duplicates_sign_only_texts_that_may_match(spark, monkeypatch):
     got = {r.id: (r.similarity, r.match_id) for r in M.near_duplicates(df, "id", "t").collect()}
     assert got == want and len(got) >= 9
     assert signed == [len({tuple(w) for w in words_of.values() if len(w) <= M.LONG} | {tuple(w) for w in words_of.values() if w[:50] == long[1].split()[:50]})]
+
+
+def test_next_jaccard_sends_each_text_once(spark, tmp_path):
+    """Pairs across stretches, gaps, an id twice, texts without runs; no list of runs is shuffled or written."""
+    texts = {-1: "minus one", 0: "minus ones", 254: "abcdef", 255: "abcdefg", 256: "abcdefgh", 257: None, 258: "--", 511: "ab", 512: "ab", 600: "alone"}
+    rows = [*texts.items(), (256, "abcdefghi"), (None, "no id")]
+    got = sorted((r.a, r.b, round(r.jaccard, 6)) for r in retrieval.next_jaccard(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect())
+    assert got == [(-1, 0, 0.75), (254, 255, 0.5), (255, 256, 0.5), (255, 256, round(2 / 3, 6)), (256, 257, 0.0), (256, 257, 0.0), (257, 258, 0.0), (511, 512, 1.0)]
+    from quarry.catalog import QUERIES
+
+    plan = QUERIES["content_shingle_jaccard"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "array<bigint>" not in plan and "Join" not in plan and plan.count("Exchange") == 1
