@@ -119,6 +119,14 @@ def test_shingles_cover_whole_texts(spark):
     assert [len(got[i]) for i in (0, 1)] == [len(r) for r in runs] and len(got[0] & got[1]) == len(runs[0] & runs[1])
 
 
+def test_mmr_tells_long_texts_apart_anywhere(spark):
+    """Long texts that differ between the first, middle and last thousands only are no copies."""
+    a = _long({})
+    b = _long({1500 + i: "x7w" for i in range(0, 3000, 6)} | {14000 + i: "x7w" for i in range(0, 4000, 6)})
+    df = spark.createDataFrame([(1, 1, "d1", 1.0, 0, a), (1, 2, "d2", 0.9, 1, b), (1, 3, "d3", 0.8, 2, a)], "q int, id int, doc string, score double, rank int, text string")
+    assert [r.id for r in retrieval.mmr(df, "q", 3).orderBy("place").collect()] == [1, 2]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in graph.components(edges).collect()}
