@@ -108,3 +108,32 @@ def test_pagerank_of_hubs_keeps_edges_in_place(spark):
         b = spark.range(100).selectExpr("cast(id % 10 as int) part", "id", "id other").repartition(8, "part")
         plan = a.join(b.hint("shuffle_hash"), ["part", "id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("at_once", [1 << 17, 3])
+def test_all_pairs_bm25_has_every_pair_of_a_key(spark, monkeypatch, at_once):
+    """Each pair that shares a key once, with the value of symmetric_bm25; keys and ids that are null and texts without terms among them."""
+    monkeypatch.setattr(graph, "BLOCKS", 3)
+    monkeypatch.setattr(graph, "PAIRS_AT_ONCE", at_once)
+    random.seed(11)
+    docs = [(i, " ".join(f"w{random.randrange(12)}" for _ in range(random.randrange(1, 9))) if i else "...") for i in range(60)]
+    keys = [(i, f"k{random.randrange(30)}") for i in range(60) for _ in range(2)] + [(i, "hot") for i in range(40)] + [(50, None), (51, None), (None, "hot"), (0, "hot")]
+    post = retrieval.postings(spark.createDataFrame(docs, "id long, text string"), "id", "text")
+    got = [(r.a, r.b, r.lexical) for r in graph.all_pairs_bm25(spark.createDataFrame(keys, "id long, key string"), post, "id", "key").collect()]
+    of = defaultdict(set)
+    for i, k in keys:
+        if k and i is not None:
+            of[k].add(i)
+    want = {(a, b) for ids in of.values() for a in ids for b in ids if a < b}
+    assert len(got) == len(want) and {g[:2] for g in got} == want
+    plain = {(r.a, r.b): r.lexical for r in graph.symmetric_bm25(spark.createDataFrame(sorted(want), "a long, b long"), post, "id").collect()}
+    assert all(abs(plain[a, b] - x) < 1e-9 for a, b, x in got)
+
+
+def test_knowledge_edges_of_units_far_apart_in_a_list(spark, tmp_path):
+    """Units that share one word only are held against each other wherever they stand in its list."""
+    docs = [(i, "shared " * 5 if i in (0, 39) else "shared " + " ".join(f"own{i}x{j}" for j in range(30)), f"source {i}") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.a, r.b) for r in QUERIES["knowledge_edges"](spark, str(tmp_path)).collect()]
+    assert max(b - a for a, b in got) > 24
+    assert max(Counter(i for e in got for i in e).values()) <= 32
