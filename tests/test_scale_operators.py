@@ -269,3 +269,19 @@ def test_next_jaccard_sends_each_text_once(spark, tmp_path):
 
     plan = QUERIES["content_shingle_jaccard"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "array<bigint>" not in plan and "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_what_is_left_of_a_greedy_choice_is_walked_in_one_task(spark, monkeypatch):
+    """Rounds alone, a walk alone and a walk after rounds take the same edges; few edges take no round."""
+    rnd = random.Random(9)
+    rows = [(rnd.randrange(2), rnd.randrange(8), 100 + rnd.randrange(8), rnd.randrange(5) / 4, rnd.choice([True, False, None])) for _ in range(60)] + [(None, 1, 1, 0.5, False), (0, 3, 3, 2.0, False)]
+    df = spark.createDataFrame(rows, "part int, a int, b int, weight double, same_doc boolean")
+    got = []
+    for most in (0, 30, 1 << 19):
+        monkeypatch.setattr(graph, "WALK", most)
+        got.append(sorted(map(tuple, graph.cap_degree(df, "part", 2).collect()), key=repr))
+    assert got[0] == got[1] == got[2]
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda d: written.append(1) or staging.cut(d))
+    graph.cap_degree(df, "part", 4)
+    assert len(written) == 2
