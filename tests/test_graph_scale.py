@@ -137,3 +137,17 @@ def test_knowledge_edges_of_units_far_apart_in_a_list(spark, tmp_path):
     got = [(r.a, r.b) for r in QUERIES["knowledge_edges"](spark, str(tmp_path)).collect()]
     assert max(b - a for a, b in got) > 24
     assert max(Counter(i for e in got for i in e).values()) <= 32
+
+
+def test_buckets_of_a_graph_follow_its_edges(spark, monkeypatch):
+    """A bucket gets a bounded number of edges, so what its joins hold does not grow with the graph; ranks stay the same."""
+    edges = spark.createDataFrame([(f"o{i}", f"s{i % 3}", 1.0 + i) for i in range(60)], "src string, dst string, weight double")
+    edges = edges.union(edges.select("dst", "src", "weight"))
+    seeds = spark.createDataFrame([("o1", 1.0)], "id string, weight double")
+    seen, bucketed = [], graph.bucketed
+    monkeypatch.setattr(graph, "bucketed", lambda s, n, c: seen.append(n) or bucketed(s, n, c))
+    ranks = []
+    for most in (graph.BUCKET_EDGES, 10):
+        monkeypatch.setattr(graph, "BUCKET_EDGES", most)
+        ranks.append({r.id: round(r.r, 9) for r in graph.pagerank(edges, seeds, rounds=2, to_hub=F.col("dst").startswith("s")).collect()})
+    assert seen == [8, 12] and ranks[0] == ranks[1]
